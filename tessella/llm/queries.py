@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat_format, exact_dedup
+from tessella.llm import chat_format, exact_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,3 +66,10 @@ SELECT conv_id, count(*) AS n_turns,
        count(*) FILTER (hard) AS n_escaped
 FROM e GROUP BY conv_id
 """
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES["op2_token_counts"] = op2_token_counts
