@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat_format, exact_dedup, token_counts
+from tessella.llm import chat_format, exact_dedup, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,3 +73,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_token_counts"] = op2_token_counts
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES["op8_best_fit_packing"] = op8_best_fit_packing
