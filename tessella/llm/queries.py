@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat_format, exact_dedup, packing, token_counts
+from tessella.llm import chat_format, exact_dedup, minhash_dedup, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -80,3 +80,30 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_best_fit_packing"] = op8_best_fit_packing
+
+
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_minhash_dedup"] = op1_minhash_dedup
+ORACLE_SQL["op1_minhash_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh
+  FROM w),
+post AS MATERIALIZED (SELECT doc_id, len(sh) AS n, hash(unnest(sh)) AS s FROM sets),
+pairs AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM post a JOIN post b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, len(sh) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(y, doc_id)) AS kept
+FROM sets LEFT JOIN low ON x = doc_id
+"""
