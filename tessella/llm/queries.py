@@ -91,10 +91,10 @@ ORACLE_SQL["op1_minhash_dedup"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 sets AS (
-  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')))
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
                       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh
   FROM w),
 post AS MATERIALIZED (SELECT doc_id, len(sh) AS n, hash(unnest(sh)) AS s FROM sets),
