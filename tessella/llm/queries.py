@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat_format, exact_dedup, minhash_dedup, packing, token_counts
+from tessella.llm import chat_format, exact_dedup, minhash_dedup, packing, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -107,3 +107,10 @@ SELECT doc_id, len(sh) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS comp
        doc_id = least(doc_id, coalesce(y, doc_id)) AS kept
 FROM sets LEFT JOIN low ON x = doc_id
 """
+
+
+def op6_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+QUERIES["op6_toxicity_neighbours"] = op6_toxicity_neighbours
