@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat_format, exact_dedup, minhash_dedup, packing, token_counts, toxicity
+from tessella.llm import chat_format, exact_dedup, language_id, minhash_dedup, packing, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -114,3 +114,10 @@ def op6_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_toxicity_neighbours"] = op6_toxicity_neighbours
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+QUERIES["op9_language_id"] = op9_language_id
