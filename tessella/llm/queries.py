@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat_format, exact_dedup, language_id, minhash_dedup, packing, token_counts, toxicity
+from tessella.llm import chat_format, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, source_mixing, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -121,3 +121,34 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_language_id"] = op9_language_id
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op7_embedding_dedup"] = op7_embedding_dedup
+ORACLE_SQL["op7_embedding_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (
+  SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS size FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+reach AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(y, vec_id)) AS kept
+FROM v LEFT JOIN low ON low.x = vec_id LEFT JOIN n ON n.x = vec_id
+"""
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_source_mixing"] = op10_source_mixing
