@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat_format, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, source_mixing, token_counts, toxicity
+from tessella.llm import chat_format, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, pii_surrogates, source_mixing, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -152,3 +152,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_source_mixing"] = op10_source_mixing
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_pii_surrogates"] = op5_pii_surrogates
