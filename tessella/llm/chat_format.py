@@ -40,9 +40,8 @@ def _role_out(role: Column) -> Column:
 
 
 def _role_in(role: Column) -> Column:
-    # \x00 keeps an escaped backslash apart from the letter after it; roles with \x00 come out of
-    # the split below unharmed, as each part is treated alone.
-    parts = F.split(role, r"\\\\\\\\")
+    # Split at escaped backslashes, which keeps them apart from the letter after them.
+    parts = F.split(role, r"\\\\")
     return F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\l"), F.lit("<"))), "\\")
 
 
