@@ -32,3 +32,17 @@ def runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.
             held = [part]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest one that the links a[i] - b[i] connect it with."""
+    low = np.arange(n)
+    while len(a):
+        before = low.copy()
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        low = low[low]
+        if (low == before).all():
+            break
+    return low

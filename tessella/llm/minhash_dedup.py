@@ -10,7 +10,9 @@ are confirmed on their whole shingle sets.
 A list is not expanded into its pairs.  First each member is held against the list's smallest one,
 which makes as many candidates as there are postings and joins groups of copies into components.
 Then only the lists that still hold several components are gone through, block by block, for pairs
-across components.
+across components: first signatures, which leaves clusters of candidates, then the whole sets of
+each cluster.  A pair of blocks gives a forest that connects what its links connect, so the rows
+that leave a task never grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.arrow_groups import forest, runs
 from tessella.llm.components import connected_components
 from tessella.llm.store import keep_rows, persist, with_row_key
 
@@ -33,8 +36,8 @@ WORDS = 5
 #: Counters of the table that tells rare pairs from common ones; its size does not depend on the
 #: data, and any value in it gives the same links.
 SLOT_BITS = 20
-#: Members of a list that are compared with each other at once.
-BLOCK = 256
+#: Members of a list or cluster in a block; two blocks are compared with each other at once.
+BLOCK = 512
 #: Bytes of text whose words are hashed at once.
 SPAN = 4_000_000
 
@@ -238,58 +241,106 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of agreeing signatures in one list but different components.
+def _blocks(members: DataFrame, by: str) -> DataFrame:
+    """Rows dealt out so that any two of a group meet in one task, which holds two blocks at most.
 
-    ``members``: key, id, n, component.  A list of more than BLOCK members is dealt out as pairs of
-    blocks, so that no task meets more than two blocks of it at once.
+    Adds own (the row's block) and x, y (the pair of blocks, x the lower), rows sorted by them.
     """
-    size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.join(size, "key").withColumn("own", own)
+    size = members.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(size, by).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "component")
-    rows = dealt.join(classes.select("id", "sig"), "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other", "blocks")
+
+
+def _candidates(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs, one from each block, across components and alike in size and signature."""
+    own, n, part, ids = (group[c].to_numpy() for c in ("own", "n", "component", "id"))
+    signs = _matrix(group["sig"].combine_chunks())
+    left, right = np.flatnonzero(own == group["x"][0].as_py()), np.flatnonzero(own == group["y"][0].as_py())
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(left), 64):
+        i = left[at : at + 64]
+        ok = (part[i][:, None] != part[right]) & (100 * np.minimum(n[i][:, None], n[right]) >= 75 * np.maximum(n[i][:, None], n[right]))
+        ok &= ids[i][:, None] != ids[right]
+        if group["x"][0].as_py() == group["y"][0].as_py():
+            ok &= i[:, None] < right
+        a, b = np.nonzero(ok)
+        a, b = i[a], right[b]
+        for k in range(0, len(a), 1 << 16):
+            enough = (signs[a[k : k + (1 << 16)]] == signs[b[k : k + (1 << 16)]]).sum(axis=1) >= MATCHES
+            found.append((a[k : k + (1 << 16)][enough], b[k : k + (1 << 16)][enough]))
+    nothing = np.zeros(0, np.int64)
+    return tuple(np.concatenate([nothing, *(f[k] for f in found)]) for k in (0, 1))
+
+
+def _edges(group: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """A forest that connects what the links a - b of a group connect."""
+    ids = group["id"].to_numpy()
+    low = forest(a, b, len(ids))
+    some = np.flatnonzero(low != np.arange(len(ids)))
+    return pa.record_batch([pa.array(ids[some]), pa.array(ids[low[some]])], ["a", "b"])
+
+
+def _agreeing_across(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges that connect all classes with agreeing signatures in one list but different components.
+
+    ``members``: key, id, n, component.
+    """
+    rows = _blocks(members, "key").join(classes.select("id", "sig"), "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ("key", "x", "y")):
-            ids, n, part, own = (group[c].to_numpy() for c in ("id", "n", "component", "own"))
-            signs = _matrix(group["sig"].combine_chunks())
-            left = np.flatnonzero(own == group["x"][0].as_py())
-            right = np.flatnonzero(own == group["y"][0].as_py())
-            out: list[np.ndarray] = []
-            for i in left:
-                j = right[(part[right] != part[i]) & (ids[right] != ids[i])]
-                j = j[100 * np.minimum(n[j], n[i]) >= 75 * np.maximum(n[j], n[i])]
-                j = j[(signs[j] == signs[i]).sum(axis=1) >= MATCHES]
-                out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
-            pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        for group in runs(batches, ("key", "x", "y")):
+            yield _edges(group, *_candidates(group))
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Runs of rows that are equal in the columns ``by``; a run may stretch over batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = [batch.column(c).to_numpy() for c in by]
-        change = np.zeros(batch.num_rows, bool)
-        for k in keys:
-            change[1:] |= k[1:] != k[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            part = batch.slice(lo, hi - lo)
-            if held and lo == 0 and all(held[-1].column(c)[-1] == part.column(c)[0] for c in by):
-                held.append(part)
-                continue
-            if held:
-                yield pa.Table.from_batches(held)
-            held = [part]
-    if held:
-        yield pa.Table.from_batches(held)
+def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles the sets a[i] and b[i] have in common."""
+    if len(a) <= 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
+    # Many pairs of few sets: products of incidence matrices, a span of shingles at a time.
+    which, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    names, code, often = np.unique(which, return_inverse=True, return_counts=True)
+    row, code = row[often[code] > 1], code[often[code] > 1]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    out = np.zeros(len(a), np.int64)
+    for low in range(0, len(names), 4096):
+        some = slice(*np.searchsorted(code, (low, low + 4096)))
+        if some.stop > some.start:
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[row[some], code[some] - low] = 1
+            both = m @ m.T
+            out += both[a, b].astype(np.int64)
+    return out
+
+
+def _linked_across(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges that connect all classes in one cluster of candidates whose whole sets are similar.
+
+    ``members``: cluster, id, component.  Sets are compared where they stand, block by block; only
+    the forest of the links leaves the task.
+    """
+    used = texts.join(members.select("id"), "id", "left_semi").dropDuplicates(["id", "text"])
+    rows = _blocks(members.join(classes.select("id", "n", "sig"), "id"), "cluster").join(used, "id")
+    rows = rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for group in runs(batches, ("cluster", "x", "y")):
+                a, b = _candidates(group)
+                if len(a):
+                    ends, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+                    sets = list(shingle_sets(group["text"].take(pa.array(ends)).to_pylist()))
+                    i, j = place[: len(a)], place[len(a) :]
+                    size = np.array([len(x) for x in sets])
+                    shared = _shared(sets, i, j)
+                    ok = (shared > 0) & (100 * shared >= 75 * (size[i] + size[j] - shared))
+                    a, b = a[ok], b[ok]
+                yield _edges(group, a, b)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -325,10 +376,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = members.select("key", "id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
     known = persist(known.withColumn("component", F.coalesce("component", "id")), "members")
     apart = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rest = persist(_across(known.join(apart.select("key"), "key", "left_semi"), classes), "pairs")
-    more = persist(_confirmed(rest, texts), "links")
-    ties = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = persist(connected_components(ties), "components") if not more.isEmpty() else joined
+    across = persist(_agreeing_across(known.join(apart.select("key"), "key", "left_semi"), classes), "candidates")
+    final = joined
+    if not across.isEmpty():
+        clusters = connected_components(across).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+        clusters = clusters.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = _linked_across(persist(clusters, "clusters"), classes, texts)
+        ties = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        final = persist(connected_components(ties), "components")
 
     of_class = classes.select("n", "h1", "h2", "id").join(final.withColumnRenamed("node", "id"), "id", "left")
     of_class = of_class.select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id"))
