@@ -21,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.minhash_dedup import MATCHES, shingle_sets, signature
 from tessella.llm.store import persist
 
-#: Labelled rows that the classifier is fitted on at most (those of smallest hash), terms that it
-#: uses at most, and the likelihood ratio that a term needs.
-SAMPLE, TERMS, RATIO = 8000, 1024, 12.0
+#: Labelled rows that the classifier is fitted on at most (those of smallest hash), and terms that it
+#: uses at most.
+SAMPLE, TERMS = 8000, 1024
+#: Toxic texts that a term is in at least, and how many times as common it is in toxic texts as in
+#: others at least.
+SUPPORT, LIFT = 3, 4
 #: Neighbours that vote, examples in a block of the index, and weight of the prior.
 NEAREST, BLOCK, PRIOR = 15, 64, 1.0
 THRESHOLD = 0.7
@@ -146,8 +150,40 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _distinct(sample: DataFrame) -> list[int]:
+    """doc_ids of the sample without near copies, of which the first stays.
+
+    A text that was copied many times would make each of its words look like a mark.  The sample is
+    bounded by SAMPLE, so its signatures are compared here; texts without words are all kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                signs = [signature(x).tobytes() if len(x) else None for x in shingle_sets(batch.column("text").to_pylist())]
+                yield pa.record_batch([batch.column("doc_id"), pa.array(signs, pa.binary())], ["doc_id", "sig"])
+
+    rows = sample.select("doc_id", "text").mapInArrow(run, "doc_id long, sig binary").orderBy("doc_id").collect()
+    kept, posted = [], {}
+    for row in rows:
+        if row["sig"] is None:
+            kept.append(row["doc_id"])
+            continue
+        own = np.frombuffer(row["sig"], np.uint64)
+        met = Counter(i for pair in enumerate(own.tolist()) for i in posted.get(pair, ()))
+        if not met or max(met.values()) < MATCHES:
+            for pair in enumerate(own.tolist()):
+                posted.setdefault(pair, []).append(row["doc_id"])
+            kept.append(row["doc_id"])
+    return sorted(set(kept))
+
+
 def _select_terms(sample: DataFrame, n1: int, n0: int) -> list[str]:
-    """The terms that mark toxic texts of the sample."""
+    """The terms that mark toxic texts of the sample.
+
+    A term's likelihood ratio must exceed what chance alone gives the luckiest of all terms tried,
+    2 ln(number of terms), so that a larger vocabulary lets no more terms through that mark nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
@@ -160,7 +196,10 @@ def _select_terms(sample: DataFrame, n1: int, n0: int) -> list[str]:
         yield pa.record_batch([pa.array(words, pa.string()), pa.array([0] * len(words), pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], ["term", "a", "b"])
 
     counted = sample.select("text", "toxic").mapInArrow(run, "term string, a long, b long")
-    counted = counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter((F.col("a") >= 3) & (F.col("a") * n0 > F.col("b") * n1))
+    counted = counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = persist(counted.filter(F.col("a") >= SUPPORT), "term-counts")
+    least = 2 * math.log(max(2, counted.count()))
+    counted = counted.filter(F.col("a") * n0 >= F.col("b") * (n1 * LIFT))
 
     def part(seen: F.Column, total: F.Column, share: float) -> F.Column:
         return F.when(seen > 0, seen * F.log(seen / (total * share))).otherwise(0.0)
@@ -170,7 +209,7 @@ def _select_terms(sample: DataFrame, n1: int, n0: int) -> list[str]:
         part(F.col("a"), both, n1 / n) + part(F.col("b"), both, n0 / n)
         + part(n1 - F.col("a"), n - both, n1 / n) + part(n0 - F.col("b"), n - both, n0 / n)
     )
-    top = counted.withColumn("ratio", F.round(ratio, 9)).filter(F.col("ratio") >= RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS)
+    top = counted.withColumn("ratio", F.round(ratio, 9)).filter(F.col("ratio") >= least).orderBy(F.desc("ratio"), "term").limit(TERMS)
     return [row["term"] for row in top.select("term").collect()]
 
 
@@ -196,6 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     ids = rows.select("doc_id").join(labels, "doc_id").select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     chosen = persist(ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "sample-ids")
     sample = persist(rows.join(F.broadcast(chosen), "doc_id"), "sample")  # at most SAMPLE ids
+    kept = docs.sparkSession.createDataFrame([(i,) for i in _distinct(sample)], "doc_id long")
+    chosen, sample = (x.join(F.broadcast(kept), "doc_id") for x in (chosen, sample))
     n1, n0 = (sample.filter(F.col("toxic") == k).count() for k in (1, 0))
     number = {t: i for i, t in enumerate(_select_terms(sample, n1, n0))} if n1 and n0 else {}
 
