@@ -20,8 +20,8 @@ def topological_layers(jobs: DataFrame, edges: DataFrame, most: int = 64) -> Dat
     ``edges``: job_id, needs; dependencies that are no jobs are ignored.  One join a layer; a cycle
     never ends and is an error.
     """
-    known = edges.join(jobs.select(F.col("job_id").alias("needs")), "needs", "left_semi")
-    out = jobs.select("job_id").join(known, "job_id", "left_anti").withColumn("layer", F.lit(0))
+    known = cut(edges.join(jobs.select(F.col("job_id").alias("needs")), "needs", "left_semi"))
+    out = cut(jobs.select("job_id").join(known, "job_id", "left_anti").withColumn("layer", F.lit(0)))
     front, layers = out, [out]
     for depth in range(1, most + 1):
         front = cut(known.join(front.select(F.col("job_id").alias("needs")), "needs", "left_semi").select("job_id").distinct().withColumn("layer", F.lit(depth)))
