@@ -8,6 +8,13 @@ import numpy as np
 import pyarrow as pa
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows: what a task makes of texts is held for one part only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
     """Runs of rows that are equal in the columns ``by``; a run may stretch over batches.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.arrow_groups import forest, runs
+from tessella.llm.arrow_groups import forest, runs, slices
 from tessella.llm.components import connected_components
 from tessella.llm.store import keep_rows, persist, with_row_key
 
@@ -39,7 +39,7 @@ SLOT_BITS = 20
 #: Members of a list or cluster in a block; two blocks are compared with each other at once.
 BLOCK = 512
 #: Bytes of text whose words are hashed at once.
-SPAN = 4_000_000
+SPAN = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -139,7 +139,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        for batch in batches:
+        for batch in slices(batches):
             sizes, one, two, signs = [], [], [], []
             for found in shingle_sets(batch.column("text").to_pylist()):
                 sizes.append(len(found))
@@ -225,9 +225,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 first = batch.column("text_a").to_pylist()
-                # Rows come sorted by a: its set is made once for all its rows.
+                # Rows come sorted by a: its set is made once for all its rows in a part.
                 new = [i for i, x in enumerate(first) if not i or x != first[i - 1]]
                 own = shingle_sets([first[i] for i in new])
                 fresh, linked, mine = set(new), [], None

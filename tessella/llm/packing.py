@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import pretokens
+from tessella.llm.arrow_groups import slices
 from tessella.llm.store import exclusive_offsets, persist
 
 #: Encodings of text pieces that a worker remembers; beyond it begins anew, which costs time only.
@@ -88,7 +89,7 @@ def cut(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_pylist()
             rows: list[tuple] = []
             for i, tokens in _documents(encode, batch.column("text").to_pylist(), end_id):

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.arrow_groups import slices
 from tessella.llm.minhash_dedup import MATCHES, shingle_sets, signature
 from tessella.llm.store import persist
 
@@ -159,7 +160,7 @@ def _distinct(sample: DataFrame) -> list[int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 signs = [signature(x).tobytes() if len(x) else None for x in shingle_sets(batch.column("text").to_pylist())]
                 yield pa.record_batch([batch.column("doc_id"), pa.array(signs, pa.binary())], ["doc_id", "sig"])
 
@@ -215,7 +216,7 @@ def _select_terms(sample: DataFrame, n1: int, n0: int) -> list[str]:
 
 def _features(docs: DataFrame, number: dict[str, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [_found(text, number) for text in batch.column("text").to_pylist()]
             which, often = (pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))
             yield pa.record_batch([batch.column("doc_id"), which, often], ["doc_id", "which", "often"])
@@ -298,7 +299,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores, _ = held.value.score([_found(text, held.value.number) for text in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(scores < THRESHOLD))
 
