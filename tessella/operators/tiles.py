@@ -2,7 +2,8 @@
 
 A tile is first reduced to what joins need: its four edge lines, the mean differences of its inner
 lines, and its quadrants' sorted channels.  Pairs of tiles then cost edge data, not pixels.
-``px``: tile_id, x, y, r, g, b; all tiles have one width and height.
+``px``: tile_id, x, y, r, g, b; all tiles have one width and height.  Where it has a column tileset,
+tiles are paired and numbered within their tileset.
 """
 
 from __future__ import annotations
@@ -25,17 +26,18 @@ def edges(px: DataFrame) -> DataFrame:
     """(tile_id, axis, first, last, inner): the first and last line across the axis as channel
     arrays in order, and the mean absolute differences of adjacent lines."""
     out = None
+    keys = [*(["tileset"] if "tileset" in px.columns else []), "tile_id"]
     for axis, along, across in AXES:
-        line = px.groupBy("tile_id", F.col(along).alias("i")).agg(F.array_sort(F.collect_list(F.struct(F.col(across), "r", "g", "b"))).alias("cells"))
+        line = px.groupBy(*keys, F.col(along).alias("i")).agg(F.array_sort(F.collect_list(F.struct(F.col(across), "r", "g", "b"))).alias("cells"))
         flat = F.flatten(F.transform("cells", lambda c: F.array(c["r"], c["g"], c["b"])))
         w = Window.partitionBy("tile_id").orderBy("i")
         diff = F.aggregate(F.zip_with("line", "before", lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda a, x: a + x) / F.size("line")
         rows = line.withColumn("line", flat).withColumn("before", F.lag("line").over(w)).withColumn("diff", F.when(F.col("before").isNotNull(), diff))
-        one = rows.groupBy("tile_id").agg(
+        one = rows.groupBy(*keys).agg(
             F.min(F.struct("i", "line"))["line"].alias("first"), F.max(F.struct("i", "line"))["line"].alias("last"), F.array_sort(F.array_compact(F.collect_list("diff"))).alias("inner")
         ).withColumn("axis", F.lit(axis))
         out = one if out is None else out.unionByName(one)
-    return out.select("tile_id", "axis", "first", "last", "inner")
+    return out.select(*keys, "axis", "first", "last", "inner")
 
 
 def _median(values: Column) -> Column:
@@ -63,7 +65,12 @@ def pair_measures(edge: DataFrame, block: int = 64) -> DataFrame:
 
     A tileset compares all with all by its nature.  Tiles are dealt into blocks and blocks are
     joined by key, so that each task has two blocks' edges and the pairs spread over all tasks.
+    Tilesets are joined by themselves: the pairs grow with their number, not with its square.
     """
+    if "tileset" in edge.columns:
+        a = edge.select("tileset", "axis", F.col("tile_id").alias("src"), "last", F.col("inner").alias("inner_a"))
+        pairs = a.join(edge.select("tileset", "axis", F.col("tile_id").alias("dst"), "first", F.col("inner").alias("inner_b")), ["tileset", "axis"])
+        return pairs.withColumns(_pair_measures("first", "last", "inner_a", "inner_b")).select("axis", "src", "dst", "seam_ratio", "color_gap")
     ids = edge.select("tile_id").distinct().count()
     blocks = max(1, -(-ids // block))
     own = edge.withColumn("own", F.pmod(F.xxhash64("tile_id"), F.lit(blocks)))
@@ -142,10 +149,11 @@ def map_violations(cells: DataFrame, allowed: DataFrame) -> DataFrame:
 def atlas(tiles: DataFrame) -> DataFrame:
     """Place of each tile in a near-square atlas in the order of tile_id: col, row, columns, gid."""
     # A window without partitions sees one row a tile; a tileset is one file in the end.
-    place = F.row_number().over(Window.orderBy("tile_id")) - 1
-    columns = F.ceil(F.sqrt(F.count(F.lit(1)).over(Window.partitionBy()).cast("double"))).cast("int")
-    rows = tiles.select("tile_id").distinct().withColumns({"i": place, "columns": columns})
-    return rows.select("tile_id", (F.col("i") % F.col("columns")).alias("col"), F.floor(F.col("i") / F.col("columns")).cast("int").alias("row"), "columns", (F.col("i") + 1).alias("gid"))
+    by = ["tileset"] if "tileset" in tiles.columns else []
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("tile_id")) - 1
+    columns = F.ceil(F.sqrt(F.count(F.lit(1)).over(Window.partitionBy(*by)).cast("double"))).cast("int")
+    rows = tiles.select(*by, "tile_id").distinct().withColumns({"i": place, "columns": columns})
+    return rows.select(*by, "tile_id", (F.col("i") % F.col("columns")).alias("col"), F.floor(F.col("i") / F.col("columns")).cast("int").alias("row"), "columns", (F.col("i") + 1).alias("gid"))
 
 
 def transposed(allowed: DataFrame) -> DataFrame:

@@ -49,6 +49,16 @@ def tiles(spark: SparkSession, sf_dir: str, below: int = 40) -> DataFrame:
     return px.select(F.format_string("t%03d", "vec_id").alias("tile_id"), "x", "y", "r", "g", "b")
 
 
+#: Tiles in a tileset.
+TILESET = 40
+
+
+def tilesets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a 4 x 4 tile of a tileset of TILESET successive ids."""
+    tileset = F.floor(F.col("vec_id") / TILESET).cast("long").alias("tileset")
+    return rgba4(spark, sf_dir).select(tileset, F.format_string("t%03d", "vec_id").alias("tile_id"), "x", "y", "r", "g", "b")
+
+
 #: Words that hit or nearly hit the rules over descriptions.
 WORDS = ["green", "lime", "slime", "purple", "teal", "bear", "bearded", "ghost", "sword", "no shield", "plain", "without a bow, with an axe"]
 

@@ -24,12 +24,32 @@ LINES = (
 
 @query(f"WITH {b.TILES}, {LINES} SELECT axis, src AS tile_id, round(seam_ratio, 6) AS seam_ratio, round(color_gap, 6) AS color_gap FROM pm WHERE src = dst")
 def seam_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.seams(tiles.edges(b.tiles(spark, sf_dir))).select("axis", "tile_id", F.round("seam_ratio", 6).alias("seam_ratio"), F.round("color_gap", 6).alias("color_gap"))
+    return _seam_ratio(b.tiles(spark, sf_dir))
+
+
+# The SQL of the tile queries reads the first 40 embeddings and that of grid_cells the first 200
+# parts.  The queries named _full do the same over every row, tile pairs within their tileset.
+@query(None)
+def seam_ratio_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seam_ratio(b.tilesets(spark, sf_dir))
+
+
+def _seam_ratio(px: DataFrame) -> DataFrame:
+    return tiles.seams(tiles.edges(px)).select("axis", "tile_id", F.round("seam_ratio", 6).alias("seam_ratio"), F.round("color_gap", 6).alias("color_gap"))
 
 
 @query(f"WITH {b.TILES}, {LINES} SELECT axis, src, dst, round(seam_ratio, 6) AS seam_ratio, round(color_gap, 6) AS color_gap, seam_ratio <= 1.0 AND color_gap <= 28 AS compatible FROM pm")
 def tile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tiles.pair_measures(tiles.edges(b.tiles(spark, sf_dir)))
+    return _tile_pairs(b.tiles(spark, sf_dir))
+
+
+@query(None)
+def tile_pairs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tile_pairs(b.tilesets(spark, sf_dir))
+
+
+def _tile_pairs(px: DataFrame) -> DataFrame:
+    found = tiles.pair_measures(tiles.edges(px))
     ok = (F.col("seam_ratio") <= 1.0) & (F.col("color_gap") <= 28)
     return found.select("axis", "src", "dst", F.round("seam_ratio", 6).alias("seam_ratio"), F.round("color_gap", 6).alias("color_gap"), ok.alias("compatible"))
 
@@ -42,20 +62,33 @@ ALLOWED = (
 )
 
 
-def allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.adjacency(tiles.pair_measures(tiles.edges(b.tiles(spark, sf_dir))), 1.0, 28.0)
+def allowed(px: DataFrame) -> DataFrame:
+    return tiles.adjacency(tiles.pair_measures(tiles.edges(px)), 1.0, 28.0)
+
+
+def _neighbours(found: DataFrame) -> DataFrame:
+    return found.select("tile_id", "direction", F.size("neighbours").cast("long").alias("n"), F.array_join("neighbours", ",").alias("neighbours"))
 
 
 @query(f"WITH {b.TILES}, {LINES}, {ALLOWED} SELECT tile_id, direction, n, neighbours FROM ne")
 def tile_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return allowed(spark, sf_dir).select("tile_id", "direction", F.size("neighbours").cast("long").alias("n"), F.array_join("neighbours", ",").alias("neighbours"))
+    return _neighbours(allowed(b.tiles(spark, sf_dir)))
+
+
+@query(None)
+def tile_adjacency_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(allowed(b.tilesets(spark, sf_dir)))
 
 
 @query(f"WITH {b.TILES}, {LINES}, {ALLOWED} SELECT tile_id, direction, n, neighbours FROM ne")
 def adjacency_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turned around, all four directions together are the same again."""
-    turned = tiles.transposed(allowed(spark, sf_dir))
-    return turned.select("tile_id", "direction", F.size("neighbours").cast("long").alias("n"), F.array_join("neighbours", ",").alias("neighbours"))
+    return _neighbours(tiles.transposed(allowed(b.tiles(spark, sf_dir))))
+
+
+@query(None)
+def adjacency_transposed_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(tiles.transposed(allowed(b.tilesets(spark, sf_dir))))
 
 
 GRAIN = (
@@ -70,6 +103,11 @@ def border_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.border_deviation(b.tiles(spark, sf_dir), 4, 4).withColumn("border_deviation", F.round("border_deviation", 6))
 
 
+@query(None)
+def border_deviation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.border_deviation(b.tilesets(spark, sf_dir), 4, 4).withColumn("border_deviation", F.round("border_deviation", 6))
+
+
 _VIEWS = ["r * 6", "g * 6", "b * 6", *(f"(r * {x} + g * {y} + b * {z}) * {6 // (abs(x) + abs(y) + abs(z))}" for x, y, z in tiles.PROJECTIONS)]
 TERRAIN = (
     "qv AS (SELECT tile_id, CASE WHEN y < 2 THEN 'top_' ELSE 'bottom_' END || CASE WHEN x < 2 THEN 'left' ELSE 'right' END AS corner, k, CASE k "
@@ -84,7 +122,16 @@ TERRAIN = (
 
 @query(f"WITH {b.TILES}, {TERRAIN} SELECT tile_id, corner, CASE WHEN distance <= 30 THEN CASE base WHEN 't000' THEN 'grass' WHEN 't001' THEN 'rock' ELSE 'sand' END END AS terrain, distance FROM nr".replace("(d, base)", "(d, CASE base WHEN 't000' THEN 'grass' WHEN 't001' THEN 'rock' ELSE 'sand' END)"))
 def terrain_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quads = tiles.quadrants(b.tiles(spark, sf_dir), 4, 4)
+    return _terrain_corners(spark, b.tiles(spark, sf_dir))
+
+
+@query(None)
+def terrain_corners_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _terrain_corners(spark, b.tilesets(spark, sf_dir))
+
+
+def _terrain_corners(spark: SparkSession, px: DataFrame) -> DataFrame:
+    quads = tiles.quadrants(px, 4, 4)
     bases = dims.table(spark, [("t000", "grass"), ("t001", "rock"), ("t002", "sand")], "tile_id string, terrain string")
     return tiles.terrain_corners(quads, bases, 30.0)
 
@@ -103,7 +150,22 @@ def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT map, x, y, direction, tile_id, other FROM pa ANTI JOIN ok USING (direction, tile_id, other)"
 )
 def map_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.map_violations(maps(spark, sf_dir), allowed(spark, sf_dir)).select("map", "x", "y", "direction", "tile_id", "other")
+    return tiles.map_violations(maps(spark, sf_dir), allowed(b.tiles(spark, sf_dir))).select("map", "x", "y", "direction", "tile_id", "other")
+
+
+def maps_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as cells of maps whose tiles come from all tilesets, one tileset a map."""
+    at, sets = F.col("event_id") % 60, F.ceil(F.col("n") / b.TILESET)
+    first = F.col("user_id") % sets * b.TILESET
+    vec_id = first + (F.col("event_id") * 7 + F.col("user_id")) % F.least(F.lit(b.TILESET), F.col("n") - first)
+    n = b.read(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
+    rows = b.read(spark, sf_dir, "events").crossJoin(F.broadcast(n))
+    return rows.groupBy(F.col("user_id").alias("map"), (at % 10).alias("x"), F.floor(at / 10).alias("y")).agg(F.min(F.format_string("t%03d", vec_id.cast("long"))).alias("tile_id"))
+
+
+@query(None)
+def map_violations_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.map_violations(maps_full(spark, sf_dir), allowed(b.tilesets(spark, sf_dir))).select("map", "x", "y", "direction", "tile_id", "other")
 
 
 @query(f"WITH {b.TILES}, n AS (SELECT tile_id, row_number() OVER (ORDER BY tile_id) - 1 AS i, ceil(sqrt(count(*) OVER ()))::INT AS columns FROM (SELECT DISTINCT tile_id FROM ti)) SELECT tile_id, i % columns AS col, (i // columns)::INT AS row, columns, i + 1 AS gid FROM n")
@@ -111,6 +173,12 @@ def tile_atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.atlas(b.tiles(spark, sf_dir))
 
 
+@query(None)
+def tile_atlas_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An atlas for each tileset."""
+    return tiles.atlas(b.tilesets(spark, sf_dir))
+
+
 @query(None)
 def wave_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps of 8 x 6 that a four-tile adjacency allows, one for each customer nation."""
@@ -147,8 +215,17 @@ def fit_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT p_partkey, frames, i, round_even(c * w / cols, 0)::INT AS left_px, round_even(r * h / rows, 0)::INT AS top_px, round_even((c + 1) * w / cols, 0)::INT AS right_px, round_even((r + 1) * h / rows, 0)::INT AS bottom_px FROM c"
 )
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid_cells(spark, sizes(spark, sf_dir).filter("p_partkey <= 200"))
+
+
+@query(None)
+def grid_cells_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid_cells(spark, sizes(spark, sf_dir))
+
+
+def _grid_cells(spark: SparkSession, parts: DataFrame) -> DataFrame:
     grid = F.broadcast(dims.table(spark, dims.GRIDS, "frames int, cols int, rows int"))
-    cells = sizes(spark, sf_dir).filter("p_partkey <= 200").join(grid).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)))
+    cells = parts.join(grid).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)))
     box = geometry.cell_box(F.col("i"), F.col("cols"), F.col("rows"), F.col("w"), F.col("h"))
     return cells.select("p_partkey", "frames", "i", *(box[s].alias(f"{s}_px") for s in ("left", "top", "right", "bottom")))
 
