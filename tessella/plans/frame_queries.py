@@ -138,6 +138,19 @@ def duplicate_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.exact_duplicates(digest, "key", "frame_idx", "digest")
 
 
+@query(None)
+def duplicate_frames_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that equal an earlier one in all their values; the SQL of duplicate_frames compares a corner's signs."""
+    return whole_duplicates(b.frames(spark, sf_dir))
+
+
+def whole_duplicates(frames: DataFrame) -> DataFrame:
+    # No two numbers are written the same.
+    digest = F.sha2(F.array_join(F.transform("embedding", lambda v: v.cast("string")), ",", "null"), 256)
+    whole = frames.filter("embedding IS NOT NULL").select("key", "frame_idx", digest.alias("digest"))
+    return sequence.exact_duplicates(whole, "key", "frame_idx", "digest")
+
+
 @query(
     f"WITH {b.mask_sql()}, s AS (SELECT vec_id, 4 - trunc(avg(y))::INT AS dy, 4 - trunc(avg(x))::INT AS dx FROM m GROUP BY vec_id), "
     "c AS (SELECT vec_id, key, frame_idx, (x + dx + 8) % 8 AS x, (y + dy + 8) % 8 AS y FROM m JOIN s USING (vec_id)), "

@@ -62,3 +62,10 @@ def test_grid_cells_of_every_part(spark, sql):
     con.execute("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.01/part.parquet'")
     want = con.execute(ORACLE_SQL["grid_cells"].replace(" AND p_partkey <= 200", "")).df()
     assert rows(QUERIES["grid_cells_full"](spark, "/root/testdata/sf0.01").toPandas()) == rows(want)
+
+
+def test_duplicates_are_whole_frames(spark, tmp_path):
+    one = [0.01 * i - 0.3 for i in range(64)]
+    rows_ = [(0, 1, one), (1, 1, [*one[:63], 0.5]), (2, 1, one), (3, 2, one), (4, 1, [*one[:63], 0.5]), (5, 1, [*one[:63], None]), (6, 1, one)]
+    spark.createDataFrame(rows_, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(map(tuple, QUERIES["duplicate_frames_full"](spark, str(tmp_path)).collect())) == [(1, 0, 2), (1, 0, 5), (1, 1, 3)]
