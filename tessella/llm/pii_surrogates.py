@@ -44,6 +44,8 @@ SYLLABLES = {
 }
 #: Redraws before the operator gives up; each round leaves a fraction of the collisions.
 ROUNDS = 40
+#: From this attempt on a unit's surrogate has a character more at each attempt, so that no pool runs out.
+WIDER = 3
 
 
 def _lit(values: list[str]) -> Column:
@@ -124,8 +126,10 @@ def _byte(seed: Column, i: Column) -> Column:
     return F.conv(F.substr(F.sha2(F.concat_ws(":", seed, block), 512), ((i - 1) % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _like(text: Column, seed: Column) -> Column:
-    """Random text of the same shape: letters for letters in their case, digits for digits."""
+def _like(text: Column, seed: Column, loose: Column | None = None) -> Column:
+    """Random text of the same shape: letters for letters in their case, digits for digits; where
+    ``loose`` holds, letters for marks too."""
+    loose = F.lit(False) if loose is None else loose
 
     def one(i: Column) -> Column:
         c, b = F.substr(text, i, F.lit(1)), _byte(seed, i)
@@ -133,26 +137,34 @@ def _like(text: Column, seed: Column) -> Column:
             F.when(c.rlike("[0-9]"), (b % 10).cast("string"))
             .when(c.rlike(r"\p{Lu}"), F.char(65 + b % 26))
             .when(c.rlike(r"\p{L}"), F.char(97 + b % 26))
+            .when(loose, F.char(97 + b % 26))
             .otherwise(c)
         )
 
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")).otherwise("")
 
 
+def _wider(seed: Column, attempt: Column, digits: bool = False) -> Column:
+    """What later attempts add to a surrogate."""
+    one = (lambda i: (_byte(seed, i + 1024) % 10).cast("string")) if digits else (lambda i: F.char(97 + _byte(seed, i + 1024) % 26))
+    return F.when(attempt >= WIDER, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), attempt - WIDER + 1)), one), "")).otherwise("")
+
+
 def draw(of: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a unit at an attempt, in canonical form."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), of, canon, attempt.cast("string")), 256)
     b = lambda i: _byte(seed, F.lit(i))
-    like = _like(canon, seed)
+    like = _like(canon, seed, (of == "secret") & (attempt >= WIDER))
+    letters, digits = _wider(seed, attempt), _wider(seed, attempt, digits=True)
     local, n = F.substring_index(canon, "@", 1), F.length(canon)
-    email = F.concat(_like(local, seed), F.lit("@mail"), (b(60) % 10).cast("string"), F.lit(".example."), F.element_at(_lit(["com", "org", "net"]), b(61) % 3 + 1))
-    ip = F.concat_ws(".", (240 + b(1) % 16).cast("string"), b(2).cast("string"), b(3).cast("string"), b(4).cast("string"))
+    email = F.concat(_like(local, seed), letters, F.lit("@mail"), (b(60) % 10).cast("string"), F.lit(".example."), F.element_at(_lit(["com", "org", "net"]), b(61) % 3 + 1))
+    ip = F.concat_ws(".", (240 + b(1) % 16).cast("string"), b(2).cast("string"), b(3).cast("string"), b(4).cast("string"), F.when(attempt >= WIDER, digits))
     # 0 is the first digit of no area or group, so that these numbers are nobody's.
-    ssn = F.concat(F.lit("9"), F.substring(like, 2, 20))
-    body = F.concat(F.substring(canon, 1, 1), F.substr(like, F.lit(2), n - 2))
+    ssn = F.concat(F.lit("9"), F.substring(like, 2, 20), digits)
+    body = F.concat(F.substring(canon, 1, 1), F.substr(like, F.lit(2), n - 2), digits)
     card = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
     # The country code of a long number stays.
-    phone = F.when(n > 10, F.concat(F.substr(canon, F.lit(1), n - 10), F.substr(like, n - 9, F.lit(10)))).otherwise(like)
+    phone = F.when(n > 10, F.concat(F.substr(canon, F.lit(1), n - 10), F.substr(like, n - 9, F.lit(10)), digits)).otherwise(F.concat(like, digits))
 
     def by_script(make) -> Column:
         return reduce(lambda rest, s: F.when(_script(canon) == s, make(s)).otherwise(rest), ("cyrillic", "greek"), make("latin"))
@@ -175,7 +187,7 @@ def draw(of: Column, canon: Column, attempt: Column, key: str) -> Column:
 
     return (
         F.when(of == "email", email).when(of == "ip", ip).when(of == "ssn", ssn).when(of == "card", card).when(of == "phone", phone)
-        .when(of == "family", by_script(family)).when(of.startswith("given"), by_script(given)).otherwise(like)
+        .when(of == "family", by_script(family)).when(of.startswith("given"), by_script(given)).otherwise(F.concat(like, letters))
     )
 
 
@@ -209,7 +221,7 @@ def assign(distinct: DataFrame, key: str) -> DataFrame:
 
 
 def _fill(value: Column, surrogate: Column) -> Column:
-    """The digits of a surrogate in the places of the digits of an entity."""
+    """The digits of a surrogate in the places of the digits of an entity; further ones at its end."""
     at = F.sequence(F.lit(1), F.length(value))
     chars = F.transform(at, lambda i: F.substr(value, i, F.lit(1)))
     walked = F.aggregate(
@@ -219,7 +231,7 @@ def _fill(value: Column, surrogate: Column) -> Column:
             c.rlike("[0-9]"), F.struct((acc["n"] + 1).alias("n"), F.concat(acc["out"], F.substr(surrogate, acc["n"], F.lit(1))).alias("out"))
         ).otherwise(F.struct(acc["n"].alias("n"), F.concat(acc["out"], c).alias("out"))),
     )
-    return walked["out"]
+    return F.concat(walked["out"], F.substr(surrogate, walked["n"], F.length(surrogate)))
 
 
 def _capital(name: Column) -> Column:

@@ -65,3 +65,10 @@ def test_collisions_are_redrawn(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e"))
     assert p.replace(spark.read.parquet(str(tmp_path / "e"))).count() == 0
+
+
+def test_no_pool_runs_out(spark, tmp_path):
+    texts = ["password=________", "password: --------", "token=11111111"] + [f"write to {c}@site{i}.org now" for i in range(60) for c in "abcdefghijklmnopqrstuvwxyz"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: r["text"] for r in p.replace(spark.read.parquet(str(tmp_path / "d")), "k").collect()}
+    assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
