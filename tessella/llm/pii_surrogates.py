@@ -25,10 +25,13 @@ IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?|1[ .-])?(?:\(\d{2,4}\)|(?<=[ .-])\d{2,4}|\d{3})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])"
-SECRET = r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}\x22?[A-Za-z0-9+/_-]{8,256})"
+SECRET = r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}\x22?[A-Za-z0-9+/_.=-]{7,}[A-Za-z0-9+/_=-])"
 TITLES_M = "Mr|Herr|Herrn|Señor|Monsieur|Sir|г-н|Κύριος"
 TITLES_F = "Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mademoiselle|г-жа|Κυρία"
-NAME = rf"(?<!\p{{L}})(?:{TITLES_M}|{TITLES_F}|Dr|Prof)\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?(?!\p{{L}})"
+#: A name's word without a genitive's 's; repeats of it are possessive, which Java matches without recursion.
+WORD = r"\p{Lu}[\p{L}\p{M}'’-]*[\p{L}\p{M}](?<!['’]s)(?![\p{L}\p{M}])"
+PART = rf"(?:\p{{Lu}}\.(?= \p{{Lu}})|{WORD})"
+NAME = rf"(?<!\p{{L}})(?:{TITLES_M}|{TITLES_F}|Dr|Prof)\.? {PART}(?: {PART})*+"
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IP, SSN, CARD, PHONE, NAME))
 
 #: Given names by script and gender, and syllables of family names by script.
@@ -82,7 +85,7 @@ def _title(value: Column) -> Column:
 
 
 def _name_words(value: Column) -> Column:
-    return F.split(F.substring(value, F.length(_title(value)) + 1, 1000), " ")
+    return F.split(F.substr(value, F.length(_title(value)) + 1, F.length(value)), " ")
 
 
 def _gender(value: Column) -> Column:
@@ -100,13 +103,14 @@ def _national(digits: Column) -> Column:
 
 
 def units(value: Column, of: Column) -> Column:
-    """array<struct<kind, canon>>: the units of an entity; a name has its given and family name."""
+    """array<struct<kind, canon>>: the units of an entity; a name has its given names and its family name."""
     digits, words = F.regexp_replace(value, r"\D", ""), _name_words(value)
-    given = F.struct(F.concat(F.lit("given-"), _gender(value)).alias("kind"), F.lower(words[0]).alias("canon"))
+    first = F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - 1))
+    given = F.transform(first, lambda x: F.struct(F.concat(F.lit("given-"), _gender(value)).alias("kind"), F.lower(x).alias("canon")))
     family = F.struct(F.lit("family").alias("kind"), F.lower(F.element_at(words, -1)).alias("canon"))
     one = lambda c: F.array(F.struct(of.alias("kind"), c.alias("canon")))
     return (
-        F.when(of == "name", F.when(F.size(words) > 1, F.array(given, family)).otherwise(F.array(family)))
+        F.when(of == "name", F.concat(given, F.array(family)))
         .when(of == "email", one(F.lower(value)))
         .when(of == "ip", one(value))
         .when(of == "secret", one(_secret(value)))
@@ -250,13 +254,21 @@ def _written(value: Column, of: Column, drawn: Column) -> Column:
     )
 
 
+def _bare(text: Column, known: Column) -> Column:
+    """Text with the words that ``known`` has replaced, where they begin with a capital."""
+    bare = rf"(?<![\p{{L}}\p{{M}}]){WORD}"
+    new = F.transform(F.regexp_extract_all(text, F.lit(bare), F.lit(0)), lambda x: F.coalesce(_capital(F.element_at(known, F.lower(x))), x))
+    return F.array_join(F.flatten(F.zip_with(F.split(text, bare, -1), new, lambda g, x: F.array(g, F.coalesce(x, F.lit(""))))), "")
+
+
 def replace(docs: DataFrame, key: str = "tessella") -> DataFrame:
     """doc_id, text, n_entities, kinds of every row of ``docs`` (doc_id, text), personal data replaced.
 
     ``key`` is the secret that surrogates are drawn with: equal keys give equal surrogates.  Found
     are e-mail addresses, telephone and social security numbers, cards with a valid check digit,
-    IPv4 addresses, secrets (keys, passwords, tokens) and names after a title.  kinds holds the
-    kinds found, sorted.  E-mail surrogates are in example domains and IPv4 ones in the reserved
+    IPv4 addresses, secrets (keys, passwords, tokens) and names after a title, whose words are
+    replaced in the rest of the row too (n_entities does not count those).  kinds holds the kinds
+    found, sorted.  E-mail surrogates are in example domains and IPv4 ones in the reserved
     block 240.0.0.0/4, so neither reaches anybody.
 
     A null text stays null and an empty one empty, both with no entities, as do texts without
@@ -271,18 +283,23 @@ def replace(docs: DataFrame, key: str = "tessella") -> DataFrame:
     values = persist(values.filter("kind IS NOT NULL").withColumn("units", units(F.col("value"), F.col("kind"))), "values")
     each = values.select("value", F.posexplode("units").alias("place", "u")).select("value", "place", F.col("u.kind").alias("kind"), F.col("u.canon").alias("canon"))
     drawn = each.join(assign(each.select("kind", "canon").distinct(), key), ["kind", "canon"])
-    drawn = drawn.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("place", "surrogate"))).alias("drawn"))  # two at most
+    drawn = drawn.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("place", "surrogate", "canon"))).alias("drawn"))  # one for each word
     written = values.select("value", "kind").join(drawn, "value")
-    written = persist(written.select("value", "kind", _written(F.col("value"), F.col("kind"), F.col("drawn.surrogate")).alias("new")), "written")
+    # Words of a name that may stand without its title; initials are too common.
+    words = F.transform(F.filter("drawn", lambda d: ~d["canon"].endswith(".")), lambda d: F.struct(d["canon"].alias("canon"), d["surrogate"].alias("surrogate")))
+    written = written.withColumn("words", F.when(F.col("kind") == "name", words))
+    written = persist(written.select("value", "kind", _written(F.col("value"), F.col("kind"), F.col("drawn.surrogate")).alias("new"), "words"), "written")
 
     mentions = found.select(row, F.posexplode("found").alias("place", "value")).join(written, "value", "left")
     mentions = mentions.groupBy(row).agg(
         F.array_sort(F.collect_list(F.struct("place", F.coalesce("new", "value").alias("new")))).alias("m"),
-        F.count("kind").alias("n"), F.array_sort(F.collect_set("kind")).alias("kinds"),
+        F.count("kind").alias("n"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"),
     )
-    mentions = persist(mentions.filter("n > 0").select(row, F.col("m.new").alias("new"), "n", "kinds"), "mentions")
+    # Of a word's surrogates, as a given name of any gender or a family name, one.
+    known = F.map_from_entries(F.filter("words", lambda x, i: (i == 0) | (x["canon"] != F.get("words", i - 1)["canon"])))
+    mentions = persist(mentions.filter("n > 0").select(row, F.col("m.new").alias("new"), "n", "kinds", known.alias("known")), "mentions")
     joined = keyed.join(mentions, row, "left")
-    gaps = F.split("text", PATTERN, -1)
+    gaps = F.when(F.size("known") > 0, F.transform(F.split("text", PATTERN, -1), lambda g: _bare(g, F.col("known")))).otherwise(F.split("text", PATTERN, -1))
     text = F.array_join(F.flatten(F.zip_with(gaps, "new", lambda g, x: F.array(g, F.coalesce(x, F.lit(""))))), "")
     return joined.select(
         "doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"),

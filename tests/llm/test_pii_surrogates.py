@@ -72,3 +72,18 @@ def test_no_pool_runs_out(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     got = {r["doc_id"]: r["text"] for r in p.replace(spark.read.parquet(str(tmp_path / "d")), "k").collect()}
     assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
+
+
+def test_entities_are_replaced_to_their_end(spark, tmp_path):
+    texts = [
+        "token=" + "a1B2c3" * 50 + " end", "token: eyJhbGci.eyJzdWIi.SflKxwRJ= end", "Dr Anna Maria Schmidt and Frau Mueller-Luedenscheidt.",
+        "Mr. McDonald met Mrs O'Brien's friend Prof A. Jones.", "Herr Keller came. Keller left, and Kellers came; keller.", "Mr " + "Aab Bbc " * 9000,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: r["text"] for r in p.replace(spark.read.parquet(str(tmp_path / "d")), "k").collect()}
+    assert re.fullmatch(r"token=[A-Za-z0-9]{300} end", got[0]) and "a1B2c3" not in got[0]
+    assert re.fullmatch(r"token: [A-Za-z]{8}\.[A-Za-z]{8}\.[A-Za-z]{8}= end", got[1]) and not re.search("eyJ|Sflk", got[1])
+    assert not re.search("Anna|Maria|Schmidt|Mueller|Luedenscheidt", got[2]) and re.fullmatch(r"Dr \S+ \S+ \S+ and Frau \S+\.", got[2])
+    assert not re.search("McDonald|Brien|Jones|A\\.", got[3]) and re.fullmatch(r"Mr\. \S+ met Mrs \S+'s friend Prof \S+ \S+\.", got[3])
+    a, b = re.fullmatch(r"Herr (\S+) came\. (\S+) left, and Kellers came; keller\.", got[4]).groups()
+    assert a == b != "Keller" and not re.search("Aab|Bbc", got[5])
