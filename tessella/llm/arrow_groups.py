@@ -6,13 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of so many rows: what a task makes of texts is held for one part only."""
+def slices(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("text",), rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows and, in the columns ``by``, bytes at most (or one row):
+    what a task makes of texts is held for one part only."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        upto = np.zeros(batch.num_rows + 1, np.int64)
+        for c in by:
+            upto[1:] += np.cumsum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, min(at + rows, int(np.searchsorted(upto, upto[at] + size, "right")) - 1))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.store import keep_rows, new_path, persist, with_row_key
+from tessella.llm.store import keep_rows, looked_up, new_path, persist, with_row_key
 
 #: Deleted before texts are compared: space and the control characters from tab to carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -25,11 +25,12 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table (digest, keep_id, n_rows) of every text seen so far.
+    """A table (digest, keep_id, n_rows, batch) of every text seen so far.
 
     ``path`` names a folder of an earlier index to go on with; without it a new one is made in the
     shared folder.  ``buckets`` is fixed when the index is made: choose it so that a bucket of the
-    full index (about 60 bytes a text) fits in a task.
+    full index (about 60 bytes a text) fits in a task.  ``close`` takes the table's name out of the
+    catalog and leaves the files; what ``dedup`` has returned does not need the name.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32) -> None:
@@ -37,23 +38,39 @@ class DigestIndex:
         self.path = path or new_path(spark, "digest-index")
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, n_rows BIGINT) USING parquet "
+            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, n_rows BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, fresh: DataFrame) -> None:
-        """Add digests that the index lacks; one file for each bucket and call."""
-        dealt = fresh.select("digest", "keep_id", "n_rows").repartition(self.buckets, "digest")
-        dealt.sortWithinPartitions("digest").write.insertInto(self.table)
+    def append(self, fresh: DataFrame, batch: str) -> None:
+        """Add the digests of ``fresh`` (digest, keep_id, n_rows) that this batch has not added yet;
+        one file for each bucket and call.  ``fresh`` must lack what other batches have added.  No
+        rows, or only known ones, add nothing."""
+        own = self.read().filter(F.col("batch") == batch).select("digest").hint("merge")
+        dealt = fresh.select("digest", "keep_id", "n_rows", F.lit(batch).alias("batch")).join(own, "digest", "left_anti")
+        dealt.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.table)
 
-    def dedup(self, docs: DataFrame, row_key: str | None = None) -> DataFrame:
+    def dedup(self, docs: DataFrame, row_key: str | None = None, batch: str | None = None) -> DataFrame:
         """Decide on every row of ``docs`` (doc_id, text) and append what is new.
 
         Returns doc_id, keep_id, group_size, kept, text_sha256, and ``row_key`` if one is named.
 
+        ``batch`` names the batch.  A batch that comes again, because what was to be done with its
+        rows failed, is not held against itself: it gets the same result and adds nothing twice.
+        Without a name every call is a batch of its own.
+
         Of equal texts in a batch, the row with the most code points stays, then the smallest
         doc_id, then (with ``row_key``) the smallest key.  A text that an earlier batch had is
         dropped in favour of the earlier row.  group_size counts the batch's rows with that text and
@@ -61,9 +78,11 @@ class DigestIndex:
 
         Null and empty texts, and texts of white space alone, are equal to each other.  A null
         doc_id loses ties against any number.  Without ``row_key``, rows that repeat both doc_id and
-        text are all marked kept when that doc_id is kept.  An empty table gives no rows and appends
-        none.  Other columns of ``docs``, whatever their names, are not read.
+        text are all marked kept when that doc_id is kept.  Very long texts are digested whole.  An
+        empty table gives no rows and appends none.  Other columns of ``docs``, whatever their
+        names, are not read.
         """
+        batch = batch or uuid.uuid4().hex
         key = F.col(row_key) if row_key else F.lit(0).cast("long")
         rows = persist(
             docs.select(
@@ -75,20 +94,19 @@ class DigestIndex:
             "digests",
         )
         best = F.min(F.struct((-F.col("size")).alias("s"), F.col("doc_id").isNull().alias("z"), "doc_id", "k"))
-        batch = persist(
-            rows.groupBy("digest").agg(best.alias("b"), F.count(F.lit(1)).alias("n_rows"))
-            .select("digest", F.col("b.doc_id").alias("keep_id"), F.col("b.k").alias("keep_key"), "n_rows"),
+        groups = persist(
+            rows.groupBy("digest").agg(best.alias("b"), F.count(F.lit(1)).alias("n"))
+            .select("digest", F.col("b.doc_id").alias("keep_id"), F.col("b.k").alias("keep_key"), "n"),
             "batch",
         )
-        index = self.read()
-        fresh = persist(batch.join(index.select("digest").hint("merge"), "digest", "left_anti"), "fresh")
-        seen = batch.alias("b").join(index.alias("i").hint("merge"), "digest").select(
-            "digest", F.col("i.keep_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_key"),
-            (F.col("b.n_rows") + F.col("i.n_rows")).alias("n_rows"),
-        )
-        decided = persist(fresh.select("digest", "keep_id", "keep_key", "n_rows").unionByName(seen), "decided")
-        self.append(fresh)
-        joined = rows.join(decided, "digest")
+        earlier = self.read().filter(F.col("batch") != batch)
+        fresh = groups.join(earlier.select("digest").hint("merge"), "digest", "left_anti")
+        fresh = persist(fresh.withColumn("n_rows", F.col("n")), "fresh")
+        seen = groups.join(earlier.select("digest", F.col("keep_id").alias("first"), F.col("n_rows").alias("before")).hint("merge"), "digest")
+        seen = seen.select("digest", F.col("first").alias("keep_id"), F.lit(None).cast(rows.schema["k"].dataType).alias("keep_key"), "n", (F.col("n") + F.col("before")).alias("n_rows"))
+        decided = persist(fresh.select("digest", "keep_id", "keep_key", "n", "n_rows").unionByName(seen), "decided")
+        self.append(fresh, batch)
+        joined = looked_up(rows, decided, ["digest"], "n")
         return joined.select(
             "doc_id",
             "keep_id",
@@ -99,8 +117,15 @@ class DigestIndex:
         )
 
 
-def dedup_documents(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each text, with all their columns."""
+def dedup_documents(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each text, with all their columns.
+
+    Null and empty texts are equal, so one of them stays; of repeated rows one stays; very long texts
+    are compared whole; an empty table gives no rows.  With ``index``, texts that its earlier batches
+    had do not stay; name the ``batch`` so that it can be done again.
+    """
     keyed, key = with_row_key(docs)
-    decided = (index or DigestIndex(spark)).dedup(keyed, key)
-    return keep_rows(keyed, key, decided.filter("kept"))
+    if index:
+        return keep_rows(keyed, key, index.dedup(keyed, key, batch).filter("kept"))
+    with DigestIndex(spark) as own:
+        return keep_rows(keyed, key, own.dedup(keyed, key).filter("kept"))

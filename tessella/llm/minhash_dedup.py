@@ -4,8 +4,9 @@ Every document has the MinHash signature of its five-word shingles.  Documents w
 are one class.  Classes are posted under pairs of coordinate and value.  Two signatures of K
 coordinates that agree in T of them agree in one of any K - T + 1, so a class is posted only under
 its K - T + 1 rarest pairs (prefix); the rest, among them what common passages bring about, make no
-lists and are looked up in the signatures of candidates (skip).  Candidates with T agreements
-are confirmed on their whole shingle sets.
+lists and are looked up in the signatures of candidates (skip).  Collisions in lists are counted; a
+pair that they leave undecided is looked up, and pairs with T agreements are confirmed on their whole
+shingle sets.
 
 A list is not expanded into its pairs.  First each member is held against the list's smallest one,
 which makes as many candidates as there are postings and joins groups of copies into components.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.arrow_groups import forest, runs, slices
 from tessella.llm.components import connected_components
-from tessella.llm.store import keep_rows, persist, with_row_key
+from tessella.llm.store import keep_rows, looked_up, persist, with_row_key
 
 #: Coordinates of a signature, and how many must agree.  At a similarity of 0.75, 48 agree on
 #: average, and fewer than 32 with a probability of 3e-6.
@@ -38,8 +39,10 @@ WORDS = 5
 SLOT_BITS = 20
 #: Members of a list or cluster in a block; two blocks are compared with each other at once.
 BLOCK = 512
+#: Bytes of shingle sets in a block.
+BLOCK_BYTES = 1 << 23
 #: Bytes of text whose words are hashed at once.
-SPAN = 1_000_000
+SPAN = 250_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -147,7 +150,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 two.append(int(mixed(found ^ np.uint64(_P)).sum(dtype=np.uint64).view(np.int64)))
                 signs.append(signature(found).tobytes() if len(found) else None)
             columns = [pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(signs, pa.binary())]
-            yield pa.record_batch([batch.column("doc_id"), *columns], ["doc_id", "n", "h1", "h2", "sig"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("k"), *columns], ["doc_id", "k", "n", "h1", "h2", "sig"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -203,29 +206,54 @@ def _alike_in_size(a: str, b: str) -> F.Column:
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in MATCHES coordinates, looked up in all of them."""
+    """The pairs (a, b) that agree in MATCHES coordinates.
+
+    ``pairs`` has their collisions in the lists that were merged.  Where these are MATCHES already,
+    they decide; otherwise the coordinates that made no lists are looked up.
+    """
+    known = pairs.filter(F.col("collisions") >= MATCHES).select("a", "b")
+    open_ = persist(pairs.filter(F.col("collisions") < MATCHES).select("a", "b"), "open")
     signs = classes.select("id", "sig")
-    both = pairs.join(signs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    both = both.join(signs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+    # One class may be the smallest of very many lists.
+    often = open_.groupBy("a").agg(F.count(F.lit(1)).alias("pairs"))
+    of_a = persist(often.join(signs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a"), "signatures")
+    both = looked_up(open_, of_a, ["a"], "pairs").join(signs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             enough = (_matrix(batch.column("sig_a")) == _matrix(batch.column("sig_b"))).sum(axis=1) >= MATCHES
             yield batch.select(["a", "b"]).filter(pa.array(enough))
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return known.unionByName(both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long"))
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles): the sorted hashes of each text's shingles as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in slices(batches):
+                sets = [x.tobytes() for x in shingle_sets(batch.column("text").to_pylist())]
+                yield pa.record_batch([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have a similarity of 0.75 or more."""
+    """The pairs (a, b) whose whole shingle sets have a similarity of 0.75 or more.
+
+    The pairs of one a are dealt out over tasks, each with its text once.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     used = persist(texts.join(ends, "id", "left_semi"), "candidates")
-    both = pairs.join(used.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(used.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    shares = persist(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("shares", F.ceil(F.col("n") / BLOCK).cast("int")), "shares")
+    dealt = looked_up(pairs, shares, ["a"], "n").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
+    first = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).join(used.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = dealt.join(used.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(first, ["a", "share"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in slices(batches):
+            for batch in slices(batches, ("text_a", "text_b")):
                 first = batch.column("text_a").to_pylist()
                 # Rows come sorted by a: its set is made once for all its rows in a part.
                 new = [i for i, x in enumerate(first) if not i or x != first[i - 1]]
@@ -241,13 +269,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _blocks(members: DataFrame, by: str) -> DataFrame:
+def _blocks(members: DataFrame, by: str, room: F.Column) -> DataFrame:
     """Rows dealt out so that any two of a group meet in one task, which holds two blocks at most.
 
-    Adds own (the row's block) and x, y (the pair of blocks, x the lower), rows sorted by them.
+    ``room``: what share of a block a row takes.  Adds own (the row's block) and x, y (the pair of
+    blocks, x the lower).
     """
-    size = members.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(size, by).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    size = members.groupBy(by).agg(F.ceil(F.sum(room)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("rows"))
+    dealt = looked_up(members, persist(size, "blocks"), [by], "rows").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other", "blocks")
 
@@ -286,7 +315,7 @@ def _agreeing_across(members: DataFrame, classes: DataFrame) -> DataFrame:
 
     ``members``: key, id, n, component.
     """
-    rows = _blocks(members, "key").join(classes.select("id", "sig"), "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    rows = _blocks(members, "key", F.lit(1 / BLOCK)).join(classes.select("id", "sig"), "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ("key", "x", "y")):
@@ -322,8 +351,9 @@ def _linked_across(members: DataFrame, classes: DataFrame, texts: DataFrame) ->
     ``members``: cluster, id, component.  Sets are compared where they stand, block by block; only
     the forest of the links leaves the task.
     """
-    used = texts.join(members.select("id"), "id", "left_semi").dropDuplicates(["id", "text"])
-    rows = _blocks(members.join(classes.select("id", "n", "sig"), "id"), "cluster").join(used, "id")
+    sets = persist(_sets(texts.join(members.select("id"), "id", "left_semi")), "sets")
+    room = F.greatest(F.lit(1 / BLOCK), F.col("n") * 8 / BLOCK_BYTES)
+    rows = _blocks(persist(members.join(classes.select("id", "n", "sig"), "id"), "members"), "cluster", room).join(sets, "id")
     rows = rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +362,7 @@ def _linked_across(members: DataFrame, classes: DataFrame, texts: DataFrame) ->
                 a, b = _candidates(group)
                 if len(a):
                     ends, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-                    sets = list(shingle_sets(group["text"].take(pa.array(ends)).to_pylist()))
+                    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["shingles"].take(pa.array(ends))]
                     i, j = place[: len(a)], place[len(a) :]
                     size = np.array([len(x) for x in sets])
                     shared = _shared(sets, i, j)
@@ -343,40 +373,38 @@ def _linked_across(members: DataFrame, classes: DataFrame, texts: DataFrame) ->
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
-
-    Words are lower-cased in A-Z only and stand between white space.  Documents are linked at a
-    Jaccard similarity of 0.75 or more of their whole sets of five-word shingles; a text of one to
-    four words has its whole sequence as its one shingle.  component_id is the smallest doc_id that
-    links reach, kept is whether the row has it.
+def _decided(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(doc_id, k, n, first) of every row, the keyed rows, and the name of their key.
 
-    Null texts and texts without words have no shingles and are linked with nothing.  A row with a
-    null doc_id is linked with nothing, has a null component_id and is kept.  Rows that repeat a
-    doc_id and its text each give the same row; rows with one doc_id and different texts are each
-    judged by their own text.  An empty table gives no rows.  Other columns are not read.
+    first is the (doc_id, k) of the first row that links reach from the row's text; null for rows
+    that link with nothing because they have no words or no doc_id.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = persist(rows.mapInArrow(_signatures, "doc_id long, n long, h1 long, h2 long, sig binary"), "signatures")
+    keyed, key = with_row_key(docs)
+    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("k"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["k"].dataType.simpleString()
+    signed = persist(rows.mapInArrow(_signatures, f"doc_id long, k {kind}, n long, h1 long, h2 long, sig binary"), "signatures")
     some = signed.filter("n > 0 AND doc_id IS NOT NULL")
     # Copies have one set; a group of them is one row here, however large.
-    classes = persist(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
+    classes = some.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows"))
+    # Numbers of written rows do not change.
+    classes = persist(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     posted = _postings(classes)
     lists = posted.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     lists = lists.select("key", F.col("c.id").alias("a"), F.col("c.n").alias("m"))
     members = persist(posted.join(lists, "key"), "postings")
 
-    texts = rows.withColumnRenamed("doc_id", "id")
-    # Count collisions with each list's smallest member, then look the rest up.
+    own = classes.select(F.col("first.k").alias("k"), "id")
+    texts = rows.select("k", "text").join(own, "k").select("id", "text")
+    # Count collisions with each list's smallest member.
     stars = members.filter((F.col("id") != F.col("a")) & _alike_in_size("n", "m"))
-    stars = stars.groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("collisions")).select("a", "b")
-    links = persist(_confirmed(persist(_agreeing(stars, classes), "pairs"), texts), "links")
+    stars = stars.groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("collisions"))
+    links = persist(_confirmed(persist(_agreeing(persist(stars, "collisions"), classes), "pairs"), texts), "links")
     joined = persist(connected_components(links), "components")
 
     known = members.select("key", "id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
     known = persist(known.withColumn("component", F.coalesce("component", "id")), "members")
     apart = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    across = persist(_agreeing_across(known.join(apart.select("key"), "key", "left_semi"), classes), "candidates")
+    across = persist(_agreeing_across(persist(known.join(apart.select("key"), "key", "left_semi"), "apart"), classes), "candidates")
     final = joined
     if not across.isEmpty():
         clusters = connected_components(across).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
@@ -385,11 +413,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ties = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
         final = persist(connected_components(ties), "components")
 
-    of_class = classes.select("n", "h1", "h2", "id").join(final.withColumnRenamed("node", "id"), "id", "left")
-    of_class = of_class.select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(
+    parts = persist(final.join(classes.select(F.col("id").alias("node"), "first"), "node"), "parts")
+    least = persist(parts.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("nodes")), "least")
+    least = looked_up(parts.select("node", "component"), least, ["component"], "nodes").select(F.col("node").alias("id"), "least")
+    of_class = classes.select("n", "h1", "h2", "id", "first", "rows").join(least, "id", "left")
+    of_class = persist(of_class.select("n", "h1", "h2", "rows", F.coalesce("least", "first").alias("first")), "decided")
+    columns = ["doc_id", "k", "n", "first"]
+    found = looked_up(some.drop("sig"), of_class, ["n", "h1", "h2"], "rows").select(*columns)
+    nothing = F.lit(None).cast(found.schema["first"].dataType).alias("first")
+    return found.unionByName(signed.filter("n = 0 OR doc_id IS NULL").select("doc_id", "k", "n", nothing)), keyed, key
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
+
+    Words are lower-cased in A-Z only and stand between white space.  Documents are linked at a
+    Jaccard similarity of 0.75 or more of their whole sets of five-word shingles; a text of one to
+    four words has its whole sequence as its one shingle.  component_id is the smallest doc_id that
+    links reach, kept is whether the row has it.
+
+    Null texts and texts without words have no shingles and are linked with nothing.  A row with a
+    null doc_id is linked with nothing, has a null component_id and is kept.  Rows that repeat a
+    doc_id and its text each give the same row; rows with one doc_id and different texts are each
+    judged by their own text and linked only if the texts are alike.  Very long texts are compared
+    whole.  An empty table gives no rows.  Other columns are not read.
+    """
+    component = F.coalesce("first.doc_id", "doc_id")
+    return _decided(docs)[0].select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
@@ -398,14 +448,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, that of the smallest doc_id, with all its columns.
 
-    Rows without words and rows with a null doc_id stay.  Of rows that repeat a doc_id within a
-    group, the first stays.
+    Of rows that repeat a doc_id within a group, one stays; rows with one doc_id and unlike texts are
+    of different groups.  Rows without words (null and empty texts) and rows with a null doc_id stay.
+    An empty table gives no rows.
     """
-    keyed, key = with_row_key(docs)
-    decided = near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
-    kept = decided.filter((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    bare = decided.filter("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    ids = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), key)
-    first = ids.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(key).alias(key)).select(key)
-    rest = ids.join(bare.join(kept, "doc_id", "left_anti"), "doc_id", "left_semi").select(key)
-    return keep_rows(keyed, key, first.unionByName(rest).unionByName(ids.filter("doc_id IS NULL").select(key)))
+    decided, keyed, key = _decided(docs)
+    kept = decided.filter(F.col("first").isNull() | (F.col("k") == F.col("first.k")))
+    return keep_rows(keyed, key, kept.select(F.col("k").alias(key)))

@@ -11,22 +11,25 @@ that of the whole corpus, not of shards.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import pretokens
-from tessella.llm.arrow_groups import slices
+from tessella.llm.arrow_groups import runs, slices
 from tessella.llm.store import exclusive_offsets, persist
 
-#: Encodings of text pieces that a worker remembers; beyond it begins anew, which costs time only.
-REMEMBERED = 600_000
+#: Encodings of text pieces that a worker remembers (about 150 bytes each); beyond it begins anew,
+#: which costs time only.
+REMEMBERED = 150_000
 
 
 class Encoder:
@@ -38,8 +41,16 @@ class Encoder:
         if len(special) > 1:
             raise ValueError("one special string at most is handled")
         self.special = special[0] if special else None
+        self.seams = pretokens.Seams(path)
         self.known: dict[int, bytes] = {}
 
+    def _encoded(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of each piece as bytes; long ones are encoded between seams."""
+        parts = [self.seams.cut(x) for x in pieces]
+        found = iter(self.library.encode_batch_fast([x for some in parts for x in some], add_special_tokens=False))
+        for some in parts:
+            yield b"".join(np.array(next(found).ids, "<u4").tobytes() for _ in some)
+
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the text, ids), in order; a very long text comes in several parts."""
         for low, high, pieces in pretokens.split(texts, self.special):
@@ -48,8 +59,7 @@ class Encoder:
             known, keys = self.known, pieces.keys.tolist()
             new = [i for i, key in enumerate(keys) if key not in known]
             if new:
-                found = self.library.encode_batch_fast([pieces.text(i) for i in new], add_special_tokens=False)
-                known.update(zip([keys[i] for i in new], [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
+                known.update(zip([keys[i] for i in new], self._encoded([pieces.text(i) for i in new]), strict=True))
             pool = [known[key] for key in keys]
             flat = np.frombuffer(b"".join(pool), "<u4")
             size = np.array([len(b) for b in pool], np.int64) // 4
@@ -66,6 +76,8 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str) -> Encoder:
+    # Spark deals out the cores; the library's own threads would only hold memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
@@ -83,29 +95,30 @@ def _documents(encode: Encoder, texts: list[str | None], end_id: int) -> Iterato
 
 
 def cut(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32, and (part, rank): the task
-    that made it and its place among the task's pieces of that length."""
+    """Pieces of every document (stretch, doc_id, text): stretch, doc_id, piece, start, length,
+    ids_crc32, and (part, rank): the task that made it and its place among the task's pieces of that
+    stretch and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path), TaskContext.get().partitionId()
-        seen = [0] * (capacity + 1)
+        seen: Counter[tuple[int, int]] = Counter()
         for batch in slices(batches):
-            ids = batch.column("doc_id").to_pylist()
+            ids, stretch = batch.column("doc_id").to_pylist(), batch.column("stretch").to_pylist()
             rows: list[tuple] = []
             for i, tokens in _documents(encode, batch.column("text").to_pylist(), end_id):
                 n = len(tokens)
                 at, stop, piece = 0, n % capacity or min(n, capacity), 0
                 while at < n:
-                    rows.append((ids[i], piece, at, stop - at, zlib.crc32(tokens[at:stop].tobytes()), part, seen[stop - at]))
-                    seen[stop - at] += 1
+                    kind = (stretch[i], stop - at)
+                    rows.append((stretch[i], ids[i], piece, at, stop - at, zlib.crc32(tokens[at:stop].tobytes()), part, seen[kind]))
+                    seen[kind] += 1
                     at, stop, piece = stop, stop + capacity, piece + 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank")
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            names = ("stretch", "doc_id", "piece", "start", "length", "ids_crc32", "part", "rank")
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return docs.mapInArrow(run, "stretch int, doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def plan(counts: np.ndarray) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -167,7 +180,33 @@ def _two(rest: np.ndarray, room: int) -> tuple[int, ...]:
     return int(sizes[best]), int(sizes[place[best]])
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def _plans(counts: DataFrame, capacity: int) -> np.ndarray:
+    """Rows (stretch, length, first rank, how many, first bin, offset), sorted; bins are numbered over
+    all stretches in their order.
+
+    ``counts`` has a row for each stretch and length; each stretch is planned in a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ("stretch",)):
+            histogram = np.zeros(capacity + 1, np.int64)
+            histogram[group["length"].to_numpy()] = group["n"].to_numpy()
+            rows, bins = plan(histogram)
+            stretch = group["stretch"][0].as_py()
+            table = np.array([(stretch, *row, bins) for row in rows], np.int64)
+            yield pa.record_batch([pa.array(c) for c in table.T], ["stretch", "length", "first", "times", "bin", "offset", "bins"])
+
+    schema = ", ".join(f"{c} long" for c in ("stretch", "length", "first", "times", "bin", "offset", "bins"))
+    found = counts.repartition("stretch").sortWithinPartitions("stretch").mapInArrow(run, schema).toArrow()
+    table = np.stack([found[c].to_numpy() for c in found.column_names], axis=1) if found.num_rows else np.zeros((0, 7), np.int64)
+    table = table[np.lexsort((table[:, 2], table[:, 1], table[:, 0]))]
+    stretches, where = np.unique(table[:, 0], return_index=True)
+    before = np.cumsum(table[where, 6]) - table[where, 6]
+    table[:, 4] += before[np.searchsorted(stretches, table[:, 0])]
+    return table[:, :6]
+
+
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, stretch: Column | None = None) -> DataFrame:
     """Pack all documents (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     Returns a row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
@@ -176,32 +215,37 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> D
     of more than ``capacity`` tokens are cut; of their pieces all are full but the first, which may
     be shorter.  Repeated rows and rows with a null doc_id are each packed.  An empty table gives no
     rows.  Other columns are not read.  ``path`` is a tokenizer file that every executor can open.
+
+    ``stretch`` gives each row the number of its stretch, for documents whose order matters: each
+    stretch is packed by itself, and sequences are numbered in the order of stretches, so reading
+    them by number follows the order of the documents from stretch to stretch.  There should be few:
+    their plans, some rows for each length, are known to every task.  Without it the whole corpus is
+    packed as one.
     """
-    pieces = persist(cut(docs, path, capacity, end_id), "pieces")
-    dealt = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    # At most one row for each length comes to the driver, whatever the corpus.
-    counts = np.zeros(capacity + 1, np.int64)
-    for row in dealt.groupBy("length").agg(F.sum("n").alias("n")).collect():
-        counts[row["length"]] = row["n"]
-    rows, _ = plan(counts)
-    order = np.array(sorted(rows), np.int64).reshape(-1, 5)
-    edges = np.searchsorted(order[:, 0], np.arange(capacity + 2))
+    number = F.lit(0) if stretch is None else F.coalesce(stretch.cast("int"), F.lit(0))
+    rows = docs.select(number.alias("stretch"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    pieces = persist(cut(rows, path, capacity, end_id), "pieces")
+    dealt = persist(pieces.groupBy("stretch", "length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
+    # A plan has some rows for each length, whatever the corpus.
+    order = _plans(dealt.groupBy("stretch", "length").agg(F.sum("n").alias("n")), capacity)
+    kinds = order[:, 0] * (capacity + 1) + order[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            bins, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-            by = np.argsort(length, kind="stable")
-            stops = np.searchsorted(length[by], np.arange(capacity + 2))
-            for size in np.unique(length):
-                mine = by[stops[size] : stops[size + 1]]
-                own = order[edges[size] : edges[size + 1]]
-                row = own[np.searchsorted(own[:, 1], rank[mine], "right") - 1]
-                bins[mine], offset[mine] = row[:, 3] + rank[mine] - row[:, 1], row[:, 4]
+            kind = batch.column("stretch").to_numpy() * np.int64(capacity + 1) + batch.column("length").to_numpy()
+            rank = batch.column("rank").to_numpy()
+            bins, offset = np.empty(len(kind), np.int64), np.empty(len(kind), np.int64)
+            by = np.argsort(kind, kind="stable")
+            for mine in np.split(by, np.flatnonzero(np.diff(kind[by])) + 1):
+                if len(mine):
+                    own = order[slice(*np.searchsorted(kinds, [kind[mine[0]], kind[mine[0]] + 1]))]
+                    row = own[np.searchsorted(own[:, 2], rank[mine], "right") - 1]
+                    bins[mine], offset[mine] = row[:, 4] + rank[mine] - row[:, 2], row[:, 5]
             keep = batch.select(["doc_id", "piece", "start", "length", "ids_crc32"])
             yield pa.record_batch([*keep.columns, pa.array(bins), pa.array(offset)], [*keep.schema.names, "sequence_id", "offset"])
 
-    before = exclusive_offsets(dealt, "length", "part", "n", "before").select("length", "part", "before")
-    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    by = ["stretch", "length", "part"]
+    before = exclusive_offsets(dealt, ["stretch", "length"], "part", "n", "before").select(*by, "before")
+    ranked = pieces.join(before, by).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = ranked.select("stretch", "doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

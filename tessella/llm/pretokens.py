@@ -11,6 +11,8 @@ string inside a text is a piece of its own.
 from __future__ import annotations
 
 import functools
+import hashlib
+import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,7 +22,7 @@ import regex
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points that are worked on together; a longer text is cut where a piece surely ends.
-CHUNK = 1_000_000
+CHUNK = 250_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -97,16 +99,25 @@ def _starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return start
 
 
-def _cut(text: str) -> list[str]:
-    """A text in parts of about CHUNK code points, cut only before a blank between two letters."""
-    out, at = [], 0
+#: What ends a piece whatever comes after: a letter before anything else, a number likewise, and
+#: anything before white space.
+_END = r"\p{L}(?=[^\p{L}])|\p{N}(?=[^\p{N}])|\S(?=\s)"
+_NEXT, _LAST = regex.compile(_END), regex.compile(f"(?r){_END}")
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def _cut(text: str) -> Iterator[str]:
+    """A text in parts of about CHUNK code points, cut only where a piece surely ends.  A run without
+    such a place is a part of its own, however long."""
+    at = 0
     while len(text) - at > 2 * CHUNK:
-        m = regex.compile(r"\p{L} (?=\p{L})").search(text, at + CHUNK)
-        if not m:
-            break
-        out.append(text[at : m.start() + 1])
-        at = m.start() + 1
-    return [*out, text[at:]]
+        found = _NEXT.search(text, at + CHUNK - 1)
+        stop = found.end() if found else len(text)
+        if stop - at > 2 * CHUNK and (found := _LAST.search(text, at, at + CHUNK)):
+            stop = found.end()
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
 
 
 def split(texts: list[str | None], special: str | None = None) -> Iterator[tuple[int, int, Pieces]]:
@@ -121,9 +132,12 @@ def split(texts: list[str | None], special: str | None = None) -> Iterator[tuple
             some = [x for x in regex.split(f"({regex.escape(special)})", text) if x]
         for whole in some:
             for part in _cut(whole):
-                if size and size + len(part) > CHUNK:
+                if parts and size + len(part) > CHUNK:
                     yield _chunk(parts, owner, special)
                     parts, owner, size = [], [], 0
+                if len(part) > 4 * CHUNK:
+                    yield _unbroken(part, i)
+                    continue
                 parts.append(part)
                 owner.append(i)
                 size += len(part)
@@ -131,6 +145,46 @@ def split(texts: list[str | None], special: str | None = None) -> Iterator[tuple
         yield _chunk(parts, owner, special)
 
 
+def _unbroken(part: str, i: int) -> tuple[int, int, Pieces]:
+    """The pieces of a long run, found one by one, so that its code points need no arrays."""
+    edges = np.array([0, *(m.end() for m in _PIECE.finditer(part))], np.int64)
+    keys = [int.from_bytes(hashlib.blake2b(part[a:b].encode(), digest_size=8).digest(), "little") for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return i, i + 1, Pieces(np.arange(len(keys)), np.array([len(keys)], np.int64), np.array(keys, np.uint64), part, edges[:-1], edges[1:])
+
+
+class Seams:
+    """Pairs of bytes that no token of a byte-level vocabulary has within it: no merge crosses them."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        letters = byte_letters()
+        self.within = np.zeros((256, 256), bool)
+        for token in vocabulary:
+            data = [letters[c] for c in token if c in letters]
+            self.within[data[:-1], data[1:]] = True
+
+    def cut(self, piece: str, size: int = 1 << 12) -> list[str]:
+        """A long piece in parts of about ``size`` bytes whose tokens together are the piece's own."""
+        if len(piece) <= 4 * size:
+            return [piece]
+        data = piece.encode()
+        raw = np.frombuffer(data, np.uint8)
+        seams = np.flatnonzero(~self.within[raw[:-1], raw[1:]] & ((raw[1:] & 0xC0) != 0x80)) + 1
+        cuts, at = [0], 0
+        while (k := int(np.searchsorted(seams, at + size))) < len(seams):
+            at = int(seams[k])
+            cuts.append(at)
+        return [data[a:b].decode() for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write for bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def _chunk(parts: list[str], owner: list[int], special: str | None) -> tuple[int, int, Pieces]:
     low, high = owner[0], owner[-1] + 1
     joined = "".join(parts)
@@ -148,7 +202,7 @@ def _chunk(parts: list[str], owner: list[int], special: str | None) -> tuple[int
             start[upto[k] - sizes[k] + 1 : upto[k]] = False
     begin = np.flatnonzero(start)
     stop = np.append(begin[1:], len(points))
-    up, down = _powers(max(2 * CHUNK, 1 << int(len(points)).bit_length()))
+    up, down = _powers(max(4 * CHUNK, 1 << int(len(points)).bit_length()))
     with np.errstate(over="ignore"):
         total = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(_mixed(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])

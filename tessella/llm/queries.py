@@ -18,7 +18,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.DigestIndex(spark).dedup(read(spark, sf_dir, "documents"))
+    with exact_dedup.DigestIndex(spark) as index:
+        return index.dedup(read(spark, sf_dir, "documents"))
 
 
 QUERIES["op4_exact_dedup"] = op4_exact_dedup

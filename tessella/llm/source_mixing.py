@@ -20,81 +20,21 @@ from math import lcm
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.store import exclusive_offsets, free_name, persist, with_row_key
 
-#: Slots in a period of the rounded schedule (shares, one_period, phases), which mix() does not use.
-PERIOD = 1000
-#: Not a bound any more: every source has a weight of its own.
-SOURCES = 200
 #: Blocks of a source whose slots are one row of the plan.
 CHUNK = 1024
-#: Code points in a block.
-BLOCK = 1 << 16
+#: Code points in a block, and blocks at most: a larger corpus has larger blocks, so that the plan
+#: on the driver stays within 12 bytes for each of them.
+BLOCK, BLOCKS = 1 << 16, 1 << 20
 #: Where target weights are not given, they follow the sources' mass to this power.
 TEMPER = 0.7
 
 
-def shares(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Whole slots in a period for each weight, by largest remainder, one at least."""
-    total = sum(weights)
-    exact = [w / total * period for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))
-    step = 0
-    while sum(out) < period:
-        out[order[step % len(order)]] += 1
-        step += 1
-    while sum(out) > period:
-        out[max(range(len(out)), key=lambda i: (out[i], -i))] -= 1
-    return out
-
-
-def one_period(slots: list[int]) -> list[int]:
-    """The source of each slot of a period, earliest deadline first among released blocks."""
-    period, done, out = sum(slots), [0] * len(slots), []
-    for now in range(period):
-        best = None
-        for i, n in enumerate(slots):
-            k = done[i] + 1
-            if k <= n and (k - 1) * period // n <= now:
-                due = -(-k * period // n)
-                # On a tie the block whose next one is released before this one's deadline.
-                key = (due, 0 if k * period % n else 1, i)
-                best = min(best or key, key)
-        out.append(best[2])
-        done[best[2]] += 1
-    return out
-
-
-def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[tuple[int, int, int, int, list[int]]]:
-    """Rows (source, blocks before, blocks in the phase, first slot, slots in a period) by phase.
-
-    A phase ends with the slot in which a source's last block goes.
-    """
-    left, before, first = list(blocks), [0] * len(blocks), 0
-    out = []
-    while live := [i for i, n in enumerate(left) if n > 0]:
-        slots = shares([weights[i] for i in live], max(period, len(live)))
-        order = one_period(slots)
-        places = [[t for t, x in enumerate(order) if x == j] for j in range(len(live))]
-        # The slot that takes the last block of each source, were it to run out in this phase.
-        ends = [(left[i] - 1) // len(p) * len(order) + p[(left[i] - 1) % len(p)] for i, p in zip(live, places, strict=True)]
-        length = min(ends) + 1
-        for i, p in zip(live, places, strict=True):
-            n = length // len(order) * len(p) + sum(t < length % len(order) for t in p)
-            n = min(n, left[i])
-            out.append((i, before[i], n, first, p))
-            before[i] += n
-            left[i] -= n
-        first += length
-    return out
-
-
 def plan(blocks: list[int], weights: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
     """The slot and the phase of every block of each source, by exact weights.
 
@@ -148,12 +88,12 @@ def plan(blocks: list[int], weights: list[float]) -> list[tuple[np.ndarray, np.n
 
 
 def _measured(docs: DataFrame, key: str) -> DataFrame:
-    """(key, doc_id, source, part, before, mass): what a task has seen of the source before the row."""
+    """(k, doc_id, source, part, before, mass): what a task has seen of the source before the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
-            masses = np.maximum(1, pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy())
+            masses = batch.column("mass").to_numpy()
             codes = batch.column("source").dictionary_encode()
             which, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
             before = np.empty(len(masses), np.int64)
@@ -161,13 +101,15 @@ def _measured(docs: DataFrame, key: str) -> DataFrame:
                 mine = np.flatnonzero(which == j)
                 upto = np.cumsum(masses[mine]) + seen.get(name, 0)
                 before[mine], seen[name] = upto - masses[mine], int(upto[-1])
-            columns = [*(batch.column(c) for c in ("k", "doc_id", "source")), pa.array(np.full(len(masses), part, np.int32)), pa.array(before), pa.array(masses.astype(np.int64))]
-            yield pa.record_batch(columns, ["k", "doc_id", "source", "part", "before", "mass"])
+            extra = [pa.array(np.full(len(masses), part, np.int32)), pa.array(before)]
+            yield pa.record_batch([*batch.columns, *extra], [*batch.schema.names, "part", "before"])
 
     rows = docs.select(
-        F.col(key).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"),
+        F.col(key).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
+        F.greatest(F.lit(1), F.coalesce(F.length(F.col("text").cast("string")), F.lit(0))).cast("long").alias("mass"),
     )
-    return rows.mapInArrow(run, "k long, doc_id long, source string, part int, before long, mass long")
+    kind = rows.schema["k"].dataType.simpleString()
+    return rows.mapInArrow(run, f"k {kind}, doc_id long, source string, mass long, part int, before long")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, row_key: str | None = None) -> DataFrame:
@@ -189,7 +131,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     dealt = rows.groupBy("source", "part").agg(F.sum("mass").alias("n"))
     offsets = persist(exclusive_offsets(dealt, "source", "part", "n", "offset"), "offsets")
     mass = {r["source"]: r["n"] for r in offsets.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    names = sorted(mass)
+    names, block = sorted(mass), max(block, -(-sum(mass.values()) // BLOCKS))
     if weights:
         least = min(weights.values())
         targets = [weights.get(x, least) for x in names]
@@ -199,7 +141,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     pieces = [(x, at // CHUNK, slots[at : at + CHUNK], numbers[at : at + CHUNK]) for x, (slots, numbers) in zip(names, table, strict=True) for at in range(0, len(slots), CHUNK)]
     columns = [list(c) for c in zip(*pieces, strict=True)] or [[]] * 4
     kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-    # Twelve bytes a block: 6 MB at 30 GB.
+    # Twelve bytes a block, BLOCKS of them at most.
     chunks = docs.sparkSession.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["source", "chunk", "slots", "phases"]))
     found = rows.join(offsets.select("source", "part", "offset"), ["source", "part"])
     found = found.withColumn("at", F.col("before") + F.col("offset")).withColumn("block", F.floor(F.col("at") / block).cast("long"))
@@ -213,7 +155,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, partitions: int | None = None) -> DataFrame:
-    """All rows of ``docs`` in the order of the mixture: sorted partitions of successive slots."""
+    """All rows of ``docs`` in the order of the mixture: sorted partitions of successive slots.
+
+    Every row is kept, repeated ones, null and empty texts, and null sources and doc_ids included; a
+    very long text stands where its first block does.  An empty table gives no rows.
+    """
     keyed, key = with_row_key(docs)
     placed = mix(keyed, weights, row_key=key)
     slot, place = free_name(docs, "slot"), free_name(docs, "place")
@@ -221,12 +167,3 @@ def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, pa
     joined = keyed.join(placed, key)
     ordered = joined.repartitionByRange(partitions, slot, place) if partitions else joined.repartitionByRange(slot, place)
     return ordered.sortWithinPartitions(slot, place, key).select(*docs.columns)
-
-
-def deviation(order: list[int], slots: list[int]) -> Fraction:
-    """The largest distance, in blocks, between what a source has had and its share, over all slots."""
-    period, done, worst = sum(slots), [0] * len(slots), Fraction(0)
-    for t, i in enumerate(order, 1):
-        done[i] += 1
-        worst = max(worst, *(abs(done[j] - Fraction(slots[j] * t, period)) for j in range(len(slots))))
-    return worst

@@ -1,18 +1,29 @@
-"""Intermediate tables in the shared folder, row keys and distributed running offsets."""
+"""Intermediate tables in the shared folder, row keys, running offsets and joins on hot keys."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A key of which more than one row in so many is, is hot; there can be no more hot keys than that.
+HOT = 256
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine gets a fresh local folder; on a cluster, whose
+    machines do not see each other's folders, it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,7 +37,8 @@ def persist(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a later loss of executors recomputes from these files, never from the
-    steps before them, and columns that later steps do not use are not read.
+    steps before them, and columns that later steps do not use are not read.  The files belong to
+    the job: results are lazy and may be read again, so they stay until the folder is cleared.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
@@ -43,14 +55,32 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a scan of files with nothing but selections over it, so that each of its rows
+    is one row of a file."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        return bool(df.select("_metadata.file_path", "_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
-    """Add a key that tells rows apart even when they are equal in every column.
+    """``df`` with a key that tells rows apart even when they are equal in every column, and its name.
 
-    ``df`` must be a plain scan of files, as the input of every pipeline stage is: the key is made
-    of the scan's partition and the place in it, which do not change between two reads.
+    The key is the row's file and its place there, which no later read changes, however the files
+    are dealt out to tasks.  What is not a scan of files is written first, with a number for each row.
     """
     key = free_name(df, "row_key")
-    return df.withColumn(key, F.monotonically_increasing_id()), key
+    if is_scan(df):
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return df.select("*", place.alias(key)), key
+    number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return persist(df.select("*", number.alias(key)), "keyed"), key
 
 
 def keep_rows(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -58,7 +88,7 @@ def keep_rows(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return df.join(keys.select(F.col(key)), key, "left_semi").drop(key)
 
 
-def exclusive_offsets(counts: DataFrame, key: str, part: str, n: str, out: str) -> DataFrame:
+def exclusive_offsets(counts: DataFrame, key: str | list[str], part: str, n: str, out: str) -> DataFrame:
     """Where each part's rows of a key begin, counted over all parts before it.
 
     ``counts`` has one row per (key, part): the window sorts those, never the rows themselves, so a
@@ -66,3 +96,19 @@ def exclusive_offsets(counts: DataFrame, key: str, part: str, n: str, out: str)
     """
     w = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long"))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, by: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key and says in column ``n``
+    how many rows have it.
+
+    Keys that more than one row in HOT has are no more than HOT: their rows find them in a broadcast
+    and never meet in a task.  The others are joined by a shuffle.  ``table`` and ``rows`` should be
+    written tables, as both are read twice.  ``how``: inner or left.  The column ``n`` is left out.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = table.filter(F.col(n) * HOT > total)
+    cold = table.filter(F.col(n) * HOT <= total).drop(n)
+    keys = F.broadcast(hot.select(*by))
+    near = rows.join(F.broadcast(hot.drop(n)), by)
+    return near.unionByName(rows.join(keys, by, "left_anti").join(cold, by, how))

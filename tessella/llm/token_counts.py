@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import pretokens
+from tessella.llm.arrow_groups import slices
 
 #: Counts of pieces that a worker remembers; beyond it begins anew, which costs time only.
-REMEMBERED = 1_000_000
-
-
-def _byte_letters() -> dict[str, int]:
-    """The letters that byte-level vocabularies write for bytes."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+REMEMBERED = 300_000
 
 
 class Merger:
@@ -37,7 +32,7 @@ class Merger:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = pretokens.byte_letters()
         number: dict[bytes, int] = {bytes([b]): b for b in range(256)}
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -48,31 +43,41 @@ class Merger:
         if len(special) > 1:
             raise ValueError("one special string at most is handled")
         self.special = special[0] if special else None
+        self.seams = pretokens.Seams(path)
         self.known: dict[int, int] = {}
 
     def count(self, piece: str) -> int:
+        """The number of tokens of a piece.  A long one is merged between seams that no merge crosses."""
         if piece == self.special:
             return 1
-        pairs, symbol = self.pairs, list(piece.encode())
-        n = len(symbol)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*pairs[p], i, *p) for i in range(n - 1) if (p := (symbol[i], symbol[i + 1])) in pairs]
+        return sum(map(self._merged, self.seams.cut(piece)))
+
+    def _merged(self, piece: str) -> int:
+        data = piece.encode()
+        n = len(data)
+        held = list if n < 1 << 12 else functools.partial(array, "q")
+        pairs, symbol = self.pairs, held(iter(data))
+        after, before = held(range(1, n + 1)), held(range(-1, n - 1))
+        # One number for rank and place; the pair is read again when its turn comes.
+        heap = [(found[0] << 40) | i for i in range(n - 1) if (found := pairs.get((symbol[i], symbol[i + 1])))]
         heapq.heapify(heap)
         merges = 0
         while heap:
-            _, new, i, a, b = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFFFF
             j = after[i]
-            if symbol[i] != a or j >= n or symbol[j] != b:
+            if symbol[i] < 0 or j >= n or (found := pairs.get((symbol[i], symbol[j]))) is None or found[0] != top >> 40:
                 continue
             merges += 1
+            new = found[1]
             symbol[i], symbol[j] = new, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (p := (new, symbol[k])) in pairs:
-                    heapq.heappush(heap, (*pairs[p], i, *p))
-            if (h := before[i]) >= 0 and (p := (symbol[h], new)) in pairs:
-                heapq.heappush(heap, (*pairs[p], h, *p))
+                if found := pairs.get((new, symbol[k])):
+                    heapq.heappush(heap, (found[0] << 40) | i)
+            if (h := before[i]) >= 0 and (found := pairs.get((symbol[h], new))):
+                heapq.heappush(heap, (found[0] << 40) | h)
         return n - merges
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
@@ -103,13 +108,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
     ``path`` is a tokenizer file of byte-level BPE that every executor can open.  Null and empty
     texts have no bytes and no tokens.  Rows that repeat, or whose doc_id is null, each give a row.
-    A special string inside a text is one token.  Very long texts are worked on in parts, without a
-    change of result.  An empty table gives no rows.  Other columns are not read.
+    A special string inside a text is one token.  Very long texts are worked on in parts, and very long
+    pieces between seams, without a change of result.  An empty table gives no rows.  Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = merger(path)
-        for batch in batches:
+        for batch in slices(batches):
             tokens = count.counts(batch.column("text").to_pylist())
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": size, "n_tokens": pa.array(tokens), "over_limit": pa.array(tokens > limit)})

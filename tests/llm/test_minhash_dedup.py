@@ -78,3 +78,22 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None)], "doc_id long, text string")
     got = sorted(map(str, m.near_duplicates(docs).select("doc_id", "component_id", "kept").collect()))
     assert got == sorted(["Row(doc_id=1, component_id=1, kept=True)"] * 2 + ["Row(doc_id=None, component_id=None, kept=True)", "Row(doc_id=2, component_id=2, kept=True)"])
+
+
+def test_one_doc_id_of_unlike_texts(spark, tmp_path):
+    words = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, words("a")), (1, words("b")), (1, words("a")), (2, words("b") + " end"), (3, ""), (3, words("c")), (None, words("c")), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS k", "2 AS first").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = m.dedup_documents(docs)
+    assert got.columns == docs.columns
+    want = [(1, words("a")), (1, words("b")), (3, ""), (3, words("c")), (None, words("c")), (4, None)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_a_hub_of_links(spark):
+    from tessella.llm.components import connected_components
+
+    edges = [(0, i) for i in range(1, 900)] + [(i, i + 1) for i in range(2000, 2050)] + [(5, 2050), (7, 7), (None, 3)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(900), *range(2000, 2051)]}

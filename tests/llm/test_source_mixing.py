@@ -5,28 +5,6 @@ import pytest
 from tessella.llm import source_mixing as s
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_less_than_one_block_from_the_share(seed):
-    r = random.Random(seed)
-    weights = [r.random() ** 3 + 0.001 for _ in range(r.randint(1, 25))]
-    slots = s.shares(weights)
-    assert sum(slots) == s.PERIOD and s.deviation(s.one_period(slots) * 2, slots) < 1
-
-
-@pytest.mark.parametrize("seed", range(20))
-def test_phases_place_each_block_once(seed):
-    r = random.Random(seed)
-    blocks = [r.randint(0, 300) for _ in range(r.randint(1, 12))]
-    weights = [r.random() + 0.01 for _ in blocks]
-    used, got = set(), [[] for _ in blocks]
-    for i, low, n, first, places in s.phases(blocks, weights, 100):
-        period = 100
-        for j in range(n):
-            used.add(first + j // len(places) * period + places[j % len(places)])
-            got[i].append(low + j)
-    assert [sorted(g) for g in got] == [list(range(n)) for n in blocks] and used == set(range(sum(blocks)))
-
-
 def test_rows_follow_the_weights(spark, tmp_path):
     r = random.Random(1)
     rows = [(i, r.choice(["a", "a", "a", "b", "c", None]), "x" * r.randint(0, 60)) for i in range(900)]
@@ -46,10 +24,9 @@ def test_rows_follow_the_weights(spark, tmp_path):
     assert mixed.columns == docs.columns and mixed.count() == len(rows)
 
 
-def test_empty_table_and_many_sources(spark, tmp_path, monkeypatch):
+def test_empty_table_and_many_sources(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, source string, text string").write.parquet(str(tmp_path / "e"))
     assert s.mix(spark.read.parquet(str(tmp_path / "e"))).count() == 0
-    monkeypatch.setattr(s, "SOURCES", 3)
     spark.createDataFrame([(i, f"s{i % 9}", "text") for i in range(90)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "m"))
     assert s.mix(spark.read.parquet(str(tmp_path / "m")), block=8).select("slot", "place").distinct().count() == 90
 
