@@ -1,42 +1,57 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs.  All stages but the last return whole rows of documents.
+again as the next stage's docs.  All stages but the last return whole rows of documents.  An empty
+table goes through all stages and gives no rows.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm import exact_dedup, minhash_dedup, packing, source_mixing, toxicity
-from tessella.llm.store import persist
+from tessella.llm.store import is_scan, persist
+
+#: Successive parts of the mixture whose sequences are packed by themselves.
+STRETCHES = 16
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic."""
+    """Documents that are not predicted to be toxic; null and empty texts and repeated rows are judged too."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.keep_clean(docs, labels)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text; null and empty texts are one text, repeated rows one row."""
     return exact_dedup.dedup_documents(spark, docs)
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates; texts without words are in no group."""
     return minhash_dedup.dedup_documents(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which sources are mixed to their target weights."""
+    """All documents, in files that follow one another in the order in which sources are mixed to their
+    target weights; null sources are a source."""
     return source_mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of all documents and their places in sequences, numbered in the order of the mixture.
+
+    The files of ``docs`` follow one another as the mixture does; each sixteenth of them is packed by
+    itself, so every sixteenth of the sequences has the target weights.  Null texts are empty ones.
+    """
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    if not is_scan(docs):
+        return packing.pack(docs, path)
+    number = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("int"), F.lit(0))
+    files = (docs.agg(F.max(number)).first()[0] or 0) + 1
+    return packing.pack(docs, path, stretch=F.floor(number * STRETCHES / files))
 
 
 STAGES = [("toxicity", clean), ("exact_dedup", distinct), ("minhash_dedup", dissimilar), ("source_mixing", mixed), ("best_fit_packing", packed)]
