@@ -1,10 +1,12 @@
-"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max index.
-
-Terms are words and the beginnings of words.  From a bounded sample of labelled rows come the terms
-that mark toxic texts (by likelihood ratio) and the examples; document frequencies are counted over
-all documents.  The examples stand in an inverted index in blocks, each with the largest weight that
-a term has in it.  A query takes blocks in the order of their upper bounds and stops when the next
-one cannot beat the k-th best cosine, which gives the exact k nearest.  Their votes, weighted by
+"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
+
+Terms are all words of a bounded sample of labelled rows, and those beginnings of words that mark
+toxic texts.  A term's weight is its inverse document frequency, counted over all documents; terms
+that do not tell toxic texts from others beyond chance weigh a tenth of that, so that what a text is
+about does not drown what it is called.  The examples stand in an inverted index in blocks of like
+ones, each posting list with the largest weight of each block.  A query adds these up to a bound for
+every block, goes through the blocks of the highest bounds, and then through all that can still beat
+the k-th best cosine found there, which gives the exact k nearest.  Their votes, weighted by
 nearness against a prior, are calibrated on the sample, each example judged without itself.
 """
 
@@ -18,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,102 +28,132 @@ from tessella.llm.arrow_groups import slices
 from tessella.llm.minhash_dedup import MATCHES, shingle_sets, signature
 from tessella.llm.store import persist
 
-#: Labelled rows that the classifier is fitted on at most (those of smallest hash), and terms that it
-#: uses at most.
-SAMPLE, TERMS = 8000, 1024
-#: Toxic texts that a term is in at least, and how many times as common it is in toxic texts as in
-#: others at least.
-SUPPORT, LIFT = 3, 4
-#: Neighbours that vote, examples in a block of the index, and weight of the prior.
-NEAREST, BLOCK, PRIOR = 15, 64, 1.0
+#: Labelled rows that the classifier is fitted on at most (those of smallest hash).
+SAMPLE = 4000
+#: Weight of a term that marks nothing, against one that does.
+PLAIN = 0.1
+#: Neighbours that vote, examples in a block of the index, blocks gone through first, and weight of
+#: the prior.
+NEAREST, BLOCK, FIRST, PRIOR = 15, 32, 8, 1.0
 THRESHOLD = 0.7
+#: Letters in the beginnings of words.
+HEADS = (4, 5, 6)
 _WORD = re.compile(r"\w+")
 #: Texts longer than this are split into words one by one, so that the words need no room.
 LONG = 1_000_000
 
 
-def terms(text: str | None) -> Counter[str]:
-    """How often each word, and each beginning of four to six letters of a longer word, occurs."""
-    low = (text or "").lower()
-    words = Counter(_WORD.findall(low) if len(low) < LONG else (m[0] for m in _WORD.finditer(low)))
-    out: Counter[str] = Counter()
-    for word, n in words.items():
-        out[word] += n
-        for size in (4, 5, 6):
-            if len(word) > size:
-                out[word[:size] + "*"] += n
-    return out
-
-
-def _found(text: str | None, number: dict[str, int]) -> tuple[list[int], list[int]]:
-    """The chosen terms in a text, and how often each occurs."""
+def words(text: str | None) -> Counter[str]:
     low = (text or "").lower()
-    words = Counter(_WORD.findall(low) if len(low) < LONG else (m[0] for m in _WORD.finditer(low)))
-    out: Counter[int] = Counter()
-    for word, n in words.items():
-        for t in (word, word[:4] + "*", word[:5] + "*", word[:6] + "*") if len(word) > 6 else [word, *(word[:k] + "*" for k in range(4, len(word)))]:
-            if (i := number.get(t)) is not None:
-                out[i] += n
-    return list(out), list(out.values())
+    return Counter(_WORD.findall(low) if len(low) < LONG else (m[0] for m in _WORD.finditer(low)))
 
 
-class Model(NamedTuple):
-    """Everything that scoring needs; its size is bounded by SAMPLE and TERMS."""
+def heads(word: str) -> list[str]:
+    """The beginnings of a longer word, each with a star."""
+    return [word[:n] + "*" for n in HEADS if len(word) > n]
+
+
+class Vocabulary(NamedTuple):
+    """The terms by number: whole words, and marking beginnings of words (without their star)."""
+
+    word: dict[str, int]
+    head: dict[str, int]
+
+    @classmethod
+    def of(cls, terms: list[str]) -> Vocabulary:
+        return cls({t: i for i, t in enumerate(terms) if t[-1:] != "*"}, {t[:-1]: i for i, t in enumerate(terms) if t[-1:] == "*"})
+
+    def __len__(self) -> int:
+        return len(self.word) + len(self.head)
+
+    def found(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text, in order, and how often each occurs."""
+        out: dict[int, int] = {}
+        for word, n in words(text).items():
+            if (i := self.word.get(word)) is not None:
+                out[i] = n
+            if self.head and len(word) > HEADS[0]:
+                for size in HEADS:
+                    if len(word) > size and (i := self.head.get(word[:size])) is not None:
+                        out[i] = out.get(i, 0) + n
+        which = np.fromiter(out.keys(), np.int64, len(out))
+        order = np.argsort(which)
+        return which[order], np.fromiter(out.values(), np.float64, len(out))[order]
+
 
-    number: dict[str, int]
-    idf: np.ndarray
-    examples: np.ndarray  # unit vectors, a row for each example
+class Index(NamedTuple):
+    """Posting lists of the examples' unit vectors.
+
+    Term t has the entries from entry[t] to entry[t + 1], one for each block that has it: the block,
+    the largest weight there, and where its postings (example, weight) begin.
+    """
+
+    factor: np.ndarray  # of each term
+    entry: np.ndarray
+    block: np.ndarray
+    top: np.ndarray
+    start: np.ndarray
+    row: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
-    tops: np.ndarray  # block, term: the largest weight
     base: float
-    silent: float  # the score of a text without any term
-    slope: float
-    shift: float
 
-    def vectors(self, found: list[tuple[list[int], list[int]]]) -> np.ndarray:
-        out = np.zeros((len(found), len(self.number)))
-        for row, (which, often) in zip(out, found, strict=True):
-            row[which] = (1 + np.log(often)) * self.idf[which]
-        return _unit(out)
-
-    def nearest(self, query: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of the k nearest examples and their cosines, nearest first, ties by doc_id."""
-        used = np.flatnonzero(query)
-        weights = query[used]
-        bound = self.tops[:, used] @ weights
-        rows, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(rows) == NEAREST and bound[block] < cosines[-1] - 1e-12:
-                break
-            some = np.arange(block * BLOCK, min(len(self.ids), (block + 1) * BLOCK))
-            cosine = np.round(self.examples[np.ix_(some, used)] @ weights, 12)
-            rows, cosines = np.append(rows, some), np.append(cosines, cosine)
-            keep = (cosines > 0) & (rows != without)
-            rows, cosines = rows[keep], cosines[keep]
+    def vector(self, which: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(often)) * self.factor[which]
+        size = math.sqrt(weight @ weight)
+        return which, weight / size if size > 0 else weight
+
+    def nearest(self, which: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples and their cosines, nearest first, ties by doc_id; without one of
+        the examples if its number is given.  Examples that share no term are no neighbours."""
+        e, often = _ranges(self.entry[which], self.entry[which + 1])
+        q, block = np.repeat(weight, often), self.block[e]
+        bound = np.bincount(block, q * self.top[e], minlength=-(-len(self.ids) // BLOCK))
+        rows, cosines, done = np.zeros(0, np.int64), np.zeros(0), bound <= 0
+        for more in range(2):
+            now = ~done
+            if more:
+                now &= (bound >= cosines[-1] - 1e-9) if len(rows) == NEAREST else now
+            elif len(bound) > FIRST:
+                now[np.argsort(-bound, kind="stable")[FIRST:]] = False
+            some = np.flatnonzero(now[block])
+            at, n = _ranges(self.start[e[some]], self.start[e[some] + 1])
+            cosine = np.round(np.bincount(self.row[at], np.repeat(q[some], n) * self.weight[at], minlength=len(self.ids)), 12)
+            if without >= 0:
+                cosine[without] = 0
+            if len(rows) == NEAREST:
+                cosine[cosine < cosines[-1]] = 0
+            fresh = np.flatnonzero(cosine)
+            rows, cosines = np.append(rows, fresh), np.append(cosines, cosine[fresh])
             order = np.lexsort((self.ids[rows], -cosines))[:NEAREST]
             rows, cosines = rows[order], cosines[order]
+            done |= now
         return rows, cosines
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         weight = cosines / (0.1 + 1 - np.minimum(cosines, 1))
         return float((weight @ self.toxic[rows] + PRIOR * self.base) / (weight.sum() + PRIOR))
 
-    def score(self, found: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, list[list[int]]]:
-        """Scores of texts from their terms, and the examples that speak for them."""
-        score, evidence = np.full(len(found), self.silent), [[] for _ in found]
-        some = [i for i, (which, _) in enumerate(found) if which]
-        for i, query in zip(some, self.vectors([found[i] for i in some]), strict=True):
-            rows, cosines = self.nearest(query)
-            if len(rows):
-                score[i] = _logistic(self.slope * _logit(self.vote(rows, cosines)) + self.shift)
-                evidence[i] = self.ids[rows].tolist()
-        return score, evidence
 
+class Model(NamedTuple):
+    """Everything that scoring needs; its size is bounded by the texts of SAMPLE rows."""
+
+    vocabulary: Vocabulary
+    index: Index
+    slope: float
+    shift: float
+
+    def score(self, text: str | None) -> tuple[float, list[int]]:
+        """The score of a text, and the doc_ids of the examples that speak for it."""
+        rows, cosines = self.index.nearest(*self.index.vector(*self.vocabulary.found(text))) if len(self.index.ids) else (np.zeros(0, np.int64), np.zeros(0))
+        return _logistic(self.slope * _logit(self.index.vote(rows, cosines)) + self.shift), self.index.ids[rows].tolist()
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each low to its high, one after the other, and how many each has."""
+    n = high - low
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
 
 def _logit(p: float) -> float:
@@ -179,8 +212,8 @@ def _distinct(sample: DataFrame) -> list[int]:
     return sorted(set(kept))
 
 
-def _select_terms(sample: DataFrame, n1: int, n0: int) -> list[str]:
-    """The terms that mark toxic texts of the sample.
+def _marking(sample: DataFrame, n1: int, n0: int) -> tuple[list[str], list[str]]:
+    """All words of the sample, and the words and beginnings of words that mark toxic texts.
 
     A term's likelihood ratio must exceed what chance alone gives the luckiest of all terms tried,
     2 ln(number of terms), so that a larger vocabulary lets no more terms through that mark nothing.
@@ -190,17 +223,14 @@ def _select_terms(sample: DataFrame, n1: int, n0: int) -> list[str]:
         seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                seen[toxic].update(terms(text).keys())
-        words = list(seen[1])  # a term that no toxic text has marks none
-        yield pa.record_batch([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([0] * len(words), pa.int64())], ["term", "a", "b"])
-        words = list(seen[0])
-        yield pa.record_batch([pa.array(words, pa.string()), pa.array([0] * len(words), pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], ["term", "a", "b"])
+                own = set(words(text))
+                seen[toxic].update(own.union(*map(heads, own)))
+        terms = list(seen[0] | seen[1])
+        yield pa.record_batch([pa.array(terms, pa.string()), *(pa.array([seen[k][t] for t in terms], pa.int64()) for k in (1, 0))], ["term", "a", "b"])
 
     counted = sample.select("text", "toxic").mapInArrow(run, "term string, a long, b long")
-    counted = counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counted = persist(counted.filter(F.col("a") >= SUPPORT), "term-counts")
+    counted = persist(counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "term-counts")
     least = 2 * math.log(max(2, counted.count()))
-    counted = counted.filter(F.col("a") * n0 >= F.col("b") * (n1 * LIFT))
 
     def part(seen: F.Column, total: F.Column, share: float) -> F.Column:
         return F.when(seen > 0, seen * F.log(seen / (total * share))).otherwise(0.0)
@@ -210,97 +240,156 @@ def _select_terms(sample: DataFrame, n1: int, n0: int) -> list[str]:
         part(F.col("a"), both, n1 / n) + part(F.col("b"), both, n0 / n)
         + part(n1 - F.col("a"), n - both, n1 / n) + part(n0 - F.col("b"), n - both, n0 / n)
     )
-    top = counted.withColumn("ratio", F.round(ratio, 9)).filter(F.col("ratio") >= least).orderBy(F.desc("ratio"), "term").limit(TERMS)
-    return [row["term"] for row in top.select("term").collect()]
+    marks = counted.filter((F.col("a") * n > both * n1) & (F.round(ratio, 9) > least))
+    every = counted.filter(~F.col("term").endswith("*")).select("term").orderBy("term").toArrow()["term"].to_pylist()
+    return every, sorted(r["term"] for r in marks.select("term").collect())
 
 
-def _features(docs: DataFrame, number: dict[str, int]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _document_frequency(rows: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+    """How many of all documents have each term, and how many documents there are.
+
+    Each task counts in an array of the vocabulary's size; arrays are added up in 16 groups.
+    """
+    size = len(vocabulary) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for batch in slices(batches):
-            found = [_found(text, number) for text in batch.column("text").to_pylist()]
-            which, often = (pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))
-            yield pa.record_batch([batch.column("doc_id"), which, often], ["doc_id", "which", "often"])
+            for text in batch.column("text").to_pylist():
+                total[vocabulary.found(text)[0]] += 1
+            total[-1] += batch.num_rows
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId() % 16]), pa.array([total.tobytes()])], ["part", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, which array<int>, often array<int>")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for x in batch.column("counts"):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.record_batch([pa.array([total.tobytes()])], ["counts"])
 
+    parts = rows.select("text").mapInArrow(count, "part long, counts binary").repartition(16, "part").select("counts")
+    total = np.zeros(size, np.int64)
+    for x in parts.mapInArrow(add, "counts binary").toArrow()["counts"]:  # 16 arrays
+        total += np.frombuffer(x.as_buffer(), np.int64)
+    return total[:-1], int(total[-1])
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """A model from labelled rows that are not held out, and the terms found in every document.
+
+def _features(sample: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [vocabulary.found(text) for text in batch.column("text").to_pylist()]
+            which, often = (pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in ((0, pa.int64()), (1, pa.float64())))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), which, often], ["doc_id", "toxic", "which", "often"])
+
+    return sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, which array<long>, often array<double>")
+
+
+def _indexed(examples: pa.Table, factor: np.ndarray, base: float) -> Index:
+    """The index of examples (doc_id, toxic, which, often), like ones in the same blocks."""
+    none = np.zeros(0, np.int64)
+    index = Index(factor, np.zeros(len(factor) + 1, np.int64), none, np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0), none, np.zeros(0), base)
+    ids, toxic = (examples[c].to_numpy() for c in ("doc_id", "toxic"))
+    vectors = [index.vector(np.asarray(w.values), np.asarray(o.values)) for w, o in zip(examples["which"], examples["often"], strict=True)]
+    often = np.bincount(np.concatenate([none, *(w for w, _ in vectors)]), minlength=len(factor))
+
+    def like(i: int) -> tuple:
+        """What puts examples of like terms together: the heaviest term and the most common one."""
+        which, weight = vectors[i]
+        if not len(which):
+            return (-1, -1)
+        return (int(which[weight.argmax()]) if weight.max() > 0.3 else -1, int(which[often[which].argmax()]))
+
+    order = sorted(range(len(ids)), key=lambda i: (*like(i), int(ids[i])))
+    ids, toxic, vectors = ids[order], toxic[order].astype(float), [vectors[i] for i in order]
+    size = np.array([len(w) for w, _ in vectors], np.int64)
+    term, row = np.concatenate([none, *(w for w, _ in vectors)]), np.repeat(np.arange(len(ids)), size)
+    weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+    by = np.lexsort((row, term))
+    term, row, weight = term[by], row[by], weight[by]
+    block = row // BLOCK
+    new = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
+    top = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0)
+    entry = np.searchsorted(term[new], np.arange(len(factor) + 1))
+    return index._replace(entry=entry, block=block[new].astype(np.int32), top=top, start=np.append(new, len(row)), row=row.astype(np.int32), weight=weight, ids=ids, toxic=toxic)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from labelled rows that are not held out.
 
     ``docs``: doc_id, text.  ``labels``: doc_id, toxic (0 or 1); rows with a null in either are not
-    used, and of several labels for a doc_id the largest counts.
+    used, and of several labels for a doc_id the largest counts.  Of several texts of a doc_id the
+    longest is the example, and the last in order of equally long ones.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     labels = labels.agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
     ids = rows.select("doc_id").join(labels, "doc_id").select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     chosen = persist(ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "sample-ids")
-    sample = persist(rows.join(F.broadcast(chosen), "doc_id"), "sample")  # at most SAMPLE ids
-    kept = docs.sparkSession.createDataFrame([(i,) for i in _distinct(sample)], "doc_id long")
-    chosen, sample = (x.join(F.broadcast(kept), "doc_id") for x in (chosen, sample))
+    texts = F.max(F.struct(F.length("text").alias("size"), "text"))["text"].alias("text")
+    sample = persist(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(texts).repartition(8, "doc_id"), "sample")  # at most SAMPLE ids
+    kept = spark.createDataFrame([(i,) for i in _distinct(sample)], "doc_id long")
+    sample = persist(sample.join(F.broadcast(kept), "doc_id"), "examples")
     n1, n0 = (sample.filter(F.col("toxic") == k).count() for k in (1, 0))
-    number = {t: i for i, t in enumerate(_select_terms(sample, n1, n0))} if n1 and n0 else {}
-
-    found = persist(_features(rows, number), "terms")
-    frequency = np.zeros(len(number))
-    for row in found.select(F.explode("which").alias("t")).groupBy("t").count().collect():
-        frequency[row["t"]] = row["count"]
-    idf = np.log((1 + found.count()) / (1 + frequency)) + 1e-3
-    examples = found.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return _indexed(examples, number, idf, n1, n0), found
-
-
-def _indexed(examples: list, number: dict[str, int], idf: np.ndarray, n1: int, n0: int) -> Model:
-    some = [e for e in examples if e["which"]]
-    mute = [e["toxic"] for e in examples if not e["which"]]
-    silent = (sum(mute) + 0.5) / (len(mute) + 1)
     base = (n1 + 0.5) / (n1 + n0 + 1)
-    model = Model(number, idf, np.zeros((0, len(number))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(number))), base, silent, 1.0, 0.0)
-    if not some:
-        return model
-    vectors = model.vectors([(e["which"], e["often"]) for e in some])
-    # Examples of like terms stand together, which keeps the blocks' bounds tight.
-    order = np.lexsort((vectors.max(axis=1), vectors.argmax(axis=1)))
-    vectors = vectors[order]
-    ids, toxic = (np.array([some[i][c] for i in order]) for c in ("doc_id", "toxic"))
-    tops = np.stack([vectors[i : i + BLOCK].max(axis=0) for i in range(0, len(vectors), BLOCK)])
-    model = model._replace(examples=vectors, ids=ids, toxic=toxic.astype(float), tops=tops)
-    votes = np.array([_logit(model.vote(*model.nearest(v, without=i))) for i, v in enumerate(vectors)])
-    slope, shift = _platt(votes, model.toxic)
-    return model._replace(slope=slope, shift=shift)
+    if not n1 + n0:
+        return Model(Vocabulary({}, {}), _indexed(pa.table({"doc_id": pa.array([], pa.int64()), "toxic": pa.array([], pa.int32()), "which": pa.array([], pa.list_(pa.int64())), "often": pa.array([], pa.list_(pa.float64()))}), np.zeros(0), base), 1.0, 0.0)
+    every, marks = _marking(sample, n1, n0)
+    terms = every + [t for t in marks if t[-1:] == "*"]
+    vocabulary, marked = Vocabulary.of(terms), set(marks)
+    frequency, n = _document_frequency(rows, vocabulary)
+    factor = (np.log((1 + n) / (1 + frequency)) + 1e-3) * np.array([1.0 if t in marked else PLAIN for t in terms])
+    index = _indexed(_features(sample, vocabulary).toArrow(), factor, base)
+    held = spark.sparkContext.broadcast((vocabulary, index))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, index = held.value
+        place = {doc: i for i, doc in enumerate(index.ids.tolist())}
+        for batch in slices(batches):
+            votes = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                votes.append(_logit(index.vote(*index.nearest(*index.vector(*vocabulary.found(text)), without=place[doc]))))
+            yield pa.record_batch([batch.column("toxic"), pa.array(votes, pa.float64())], ["toxic", "vote"])
+
+    votes = sample.select("doc_id", "text", "toxic").mapInArrow(judge, "toxic int, vote double").orderBy("vote", "toxic").toArrow()
+    slope, shift = _platt(votes["vote"].to_numpy(), votes["toxic"].to_numpy().astype(float))
+    return Model(vocabulary, index, slope, shift)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence of every row of ``docs`` (doc_id, text).
 
     Labels of rows whose crc32(doc_id) mod 3 is 1 are not learnt from.  evidence: doc_ids of the
-    nearest labelled examples, nearest first.  Texts without any marking term, null and empty ones
-    among them, have the rate of toxic rows among such labelled texts as their score, and no
-    evidence.  Rows that repeat and rows with a null doc_id (not held out) are each scored.  Without
-    usable labels every score is 0.5.  An empty table gives no rows.  Other columns are not read.
+    nearest labelled examples, nearest first, equally near ones by doc_id.  Texts that share no term
+    with any example, null and empty ones among them, have no evidence and the score of the prior.
+    Very long texts are read whole.  Rows that repeat and rows with a null doc_id (not held out) are
+    each scored.  Without usable labels every score is 0.5.  An empty table gives no rows.  Other
+    columns are not read.
     """
-    model, found = fit(docs, labels)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            which, often = (batch.column(c).to_pylist() for c in ("which", "often"))
-            scores, evidence = held.value.score(list(zip(which, often, strict=True)))
-            columns = [pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))]
+        for batch in slices(batches):
+            found = [held.value.score(text) for text in batch.column("text").to_pylist()]
+            scores = np.array([f[0] for f in found])
+            columns = [pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
             yield pa.record_batch([batch.column("doc_id"), *columns], ["doc_id", "score", "predicted", "evidence"])
 
-    out = found.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
-    model, _ = fit(docs, labels)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns.
+
+    Null and empty texts and rows with a null doc_id are judged as in ``score``; repeated rows each
+    stay or go; an empty table gives no rows.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            scores, _ = held.value.score([_found(text, held.value.number) for text in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array(scores < THRESHOLD))
+            yield batch.filter(pa.array([held.value.score(text)[0] < THRESHOLD for text in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
