@@ -13,12 +13,10 @@ join, so an entity that a third of all rows mention is one unit.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import persist, with_row_key
+from tessella.llm.store import persist
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d|\w)"
@@ -45,8 +43,8 @@ SYLLABLES = {
     "cyrillic": "ба во га ден жи ка лов ма нев по ров са та хов чен".split(),
     "greek": "βα γα δη κα λο μα νι πα ρη σα τα χα".split(),
 }
-#: Redraws before the operator gives up; each round leaves a fraction of the collisions.
-ROUNDS = 40
+#: Letters that stand for those of a script.
+LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 #: From this attempt on a unit's surrogate has a character more at each attempt, so that no pool runs out.
 WIDER = 3
 
@@ -103,14 +101,19 @@ def _national(digits: Column) -> Column:
 
 
 def units(value: Column, of: Column) -> Column:
-    """array<struct<kind, canon>>: the units of an entity; a name has its given names and its family name."""
-    digits, words = F.regexp_replace(value, r"\D", ""), _name_words(value)
-    first = F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - 1))
-    given = F.transform(first, lambda x: F.struct(F.concat(F.lit("given-"), _gender(value)).alias("kind"), F.lower(x).alias("canon")))
-    family = F.struct(F.lit("family").alias("kind"), F.lower(F.element_at(words, -1)).alias("canon"))
-    one = lambda c: F.array(F.struct(of.alias("kind"), c.alias("canon")))
+    """array<struct<kind, canon, given, gender>>: the units of an entity.
+
+    Each word of a name is a unit; given is whether others follow it, gender what the title says.
+    """
+    digits, words, gender = F.regexp_replace(value, r"\D", ""), _name_words(value), _gender(value)
+
+    def word(x: Column, i: Column) -> Column:
+        what = F.when(x.endswith("."), "initial").otherwise("name")
+        return F.struct(what.alias("kind"), F.lower(x).alias("canon"), (i < F.size(words) - 1).alias("given"), gender.alias("gender"))
+
+    one = lambda c: F.array(F.struct(of.alias("kind"), c.alias("canon"), F.lit(False).alias("given"), F.lit("x").alias("gender")))
     return (
-        F.when(of == "name", F.concat(given, F.array(family)))
+        F.when(of == "name", F.transform(words, word))
         .when(of == "email", one(F.lower(value)))
         .when(of == "ip", one(value))
         .when(of == "secret", one(_secret(value)))
@@ -130,17 +133,24 @@ def _byte(seed: Column, i: Column) -> Column:
     return F.conv(F.substr(F.sha2(F.concat_ws(":", seed, block), 512), ((i - 1) % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _letter(c: Column, b: Column) -> Column:
+    """A small letter of the script of the letter c."""
+    pick = lambda s: F.substr(F.lit(LETTERS[s]), b % len(LETTERS[s]) + 1, F.lit(1))
+    return F.when(c.rlike(r"^\p{IsCyrillic}"), pick("cyrillic")).when(c.rlike(r"^\p{IsGreek}"), pick("greek")).otherwise(pick("latin"))
+
+
 def _like(text: Column, seed: Column, loose: Column | None = None) -> Column:
-    """Random text of the same shape: letters for letters in their case, digits for digits; where
-    ``loose`` holds, letters for marks too."""
+    """Random text of the same shape: letters for letters in their case and script (of scripts other
+    than Latin, Cyrillic and Greek: Latin ones), digits for digits; where ``loose`` holds, letters
+    for marks too."""
     loose = F.lit(False) if loose is None else loose
 
     def one(i: Column) -> Column:
         c, b = F.substr(text, i, F.lit(1)), _byte(seed, i)
         return (
             F.when(c.rlike("[0-9]"), (b % 10).cast("string"))
-            .when(c.rlike(r"\p{Lu}"), F.char(65 + b % 26))
-            .when(c.rlike(r"\p{L}"), F.char(97 + b % 26))
+            .when(c.rlike(r"\p{Lu}"), F.upper(_letter(c, b)))
+            .when(c.rlike(r"\p{L}"), _letter(c, b))
             .when(loose, F.char(97 + b % 26))
             .otherwise(c)
         )
@@ -148,80 +158,76 @@ def _like(text: Column, seed: Column, loose: Column | None = None) -> Column:
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")).otherwise("")
 
 
-def _wider(seed: Column, attempt: Column, digits: bool = False) -> Column:
-    """What later attempts add to a surrogate."""
-    one = (lambda i: (_byte(seed, i + 1024) % 10).cast("string")) if digits else (lambda i: F.char(97 + _byte(seed, i + 1024) % 26))
-    return F.when(attempt >= WIDER, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), attempt - WIDER + 1)), one), "")).otherwise("")
+def drawn(units: DataFrame, attempt: int, key: str) -> DataFrame:
+    """``units`` (kind, canon, given, gender) with their surrogates at an attempt, in canonical form.
 
-
-def draw(of: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a unit at an attempt, in canonical form."""
-    seed = F.sha2(F.concat_ws("|", F.lit(key), of, canon, attempt.cast("string")), 256)
-    b = lambda i: _byte(seed, F.lit(i))
-    like = _like(canon, seed, (of == "secret") & (attempt >= WIDER))
-    letters, digits = _wider(seed, attempt), _wider(seed, attempt, digits=True)
+    From the attempt WIDER on, surrogates have more characters at each attempt.
+    """
+    wider = max(0, attempt - WIDER + 1)
+    seed = F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon", F.lit(str(attempt))), 256)
+    rows = units.withColumn("seed", seed).withColumn("bytes", F.transform(F.sequence(F.lit(1), F.lit(64 + 3 * wider)), lambda i: _byte(F.col("seed"), i)))
+    of, canon, gender, seed = (F.col(c) for c in ("kind", "canon", "gender", "seed"))
+    b = lambda i: F.col("bytes")[i]
+    like = _like(canon, seed, (of == "secret") & F.lit(wider > 0))
+    more = F.slice("bytes", 65, wider) if wider else F.array().cast("array<int>")
+    letters = F.array_join(F.transform(more, lambda x: F.char(97 + x % 26)), "")
+    digits = F.array_join(F.transform(more, lambda x: (x % 10).cast("string")), "")
     local, n = F.substring_index(canon, "@", 1), F.length(canon)
     email = F.concat(_like(local, seed), letters, F.lit("@mail"), (b(60) % 10).cast("string"), F.lit(".example."), F.element_at(_lit(["com", "org", "net"]), b(61) % 3 + 1))
-    ip = F.concat_ws(".", (240 + b(1) % 16).cast("string"), b(2).cast("string"), b(3).cast("string"), b(4).cast("string"), F.when(attempt >= WIDER, digits))
+    ip = F.concat_ws(".", (240 + b(1) % 16).cast("string"), b(2).cast("string"), b(3).cast("string"), b(4).cast("string"), *([digits] if wider else []))
     # 0 is the first digit of no area or group, so that these numbers are nobody's.
     ssn = F.concat(F.lit("9"), F.substring(like, 2, 20), digits)
     body = F.concat(F.substring(canon, 1, 1), F.substr(like, F.lit(2), n - 2), digits)
     card = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
     # The country code of a long number stays.
     phone = F.when(n > 10, F.concat(F.substr(canon, F.lit(1), n - 10), F.substr(like, n - 9, F.lit(10)), digits)).otherwise(F.concat(like, digits))
-
-    def by_script(make) -> Column:
-        return reduce(lambda rest, s: F.when(_script(canon) == s, make(s)).otherwise(rest), ("cyrillic", "greek"), make("latin"))
-
-    def given(s: str) -> Column:
-        m, f = GIVEN[s]["m"], GIVEN[s]["f"]
-        either = m + f
-        names = F.when(of == "given-m", _lit(m)).when(of == "given-f", _lit(f)).otherwise(_lit(either))
-        first = F.lower(F.element_at(names, b(1) % F.size(names) + 1))
-        # A second name keeps units apart when there are more of them than first names.
-        return F.when(attempt < 3, first).otherwise(F.concat(first, F.lit("-"), F.lower(F.element_at(names, b(2) % F.size(names) + 1)), *more(s, 10)))
-
-    def more(s: str, at: int) -> list[Column]:
-        syllables = _lit(SYLLABLES[s])
-        return [F.when(attempt >= 6 + i, F.element_at(syllables, b(at + i) % F.size(syllables) + 1)).otherwise("") for i in range(8)]
-
-    def family(s: str) -> Column:
-        syllables = _lit(SYLLABLES[s])
-        return F.concat(*[F.element_at(syllables, b(i) % F.size(syllables) + 1) for i in range(1, 5)], *more(s, 20))
-
-    return (
+    # Names: words of the script and, for given ones, the gender; two where the original has two parts.
+    of_script = lambda make: F.when(_script(canon) == "cyrillic", make("cyrillic")).when(_script(canon) == "greek", make("greek")).otherwise(make("latin"))
+    syllables = of_script(lambda s: _lit(SYLLABLES[s]))
+    first = of_script(lambda s: F.when(gender == "m", _lit(GIVEN[s]["m"])).when(gender == "f", _lit(GIVEN[s]["f"])).otherwise(_lit(GIVEN[s]["m"] + GIVEN[s]["f"])))
+    spoken = lambda bytes_: F.array_join(F.transform(bytes_, lambda x: F.element_at(syllables, x % F.size(syllables) + 1)), "")
+    name = lambda at: F.when(F.col("given"), F.lower(F.element_at(first, b(at) % F.size(first) + 1))).otherwise(spoken(F.slice("bytes", at + 1, 3)))
+    # Syllables keep units apart when there are more of them than names.
+    name = F.concat(name(1), F.when(canon.contains("-"), F.concat(F.lit("-"), name(30))).otherwise(""), spoken(more))
+    surrogate = (
         F.when(of == "email", email).when(of == "ip", ip).when(of == "ssn", ssn).when(of == "card", card).when(of == "phone", phone)
-        .when(of == "family", by_script(family)).when(of.startswith("given"), by_script(given)).otherwise(F.concat(like, letters))
+        .when(of == "name", name).when(of == "initial", like).otherwise(F.concat(like, letters))
     )
+    return rows.withColumn("surrogate", surrogate).drop("seed", "bytes")
 
 
 def assign(distinct: DataFrame, key: str) -> DataFrame:
     """(kind, canon, surrogate): a surrogate of its own for each unit, none of them an original.
 
-    Of units that draw the same, the one of the smallest canonical form keeps it; the others, and
-    those that draw a unit of the corpus, draw again.
+    ``distinct``: kind, canon, given, gender.  Of units that draw the same, the one of the smallest
+    canonical form keeps it; the others, and those that draw a unit of the corpus, draw again, from
+    the third time on from a pool that grows each time, so the rounds come to an end.  Initials are
+    too few to be kept apart.
     """
-    # Names of any gender are apart from each other too.
-    family = lambda c: F.substring_index(c, "-", 1)
-    now = persist(distinct.select("kind", "canon", F.lit(0).alias("attempt"), draw(F.col("kind"), F.col("canon"), F.lit(0), key).alias("surrogate")), "surrogates")
-    originals = distinct.select(family(F.col("kind")).alias("f"), F.col("canon").alias("surrogate"), F.lit(True).alias("real")).distinct()
-    for _ in range(ROUNDS):
-        named = now.withColumn("f", family(F.col("kind")))
-        first = named.groupBy("f", "surrogate").agg(F.min(F.struct("canon", "kind")).alias("first"))
-        judged = named.join(first, ["f", "surrogate"]).join(originals, ["f", "surrogate"], "left")
-        clash = (F.struct("canon", "kind") != F.col("first")) | F.col("real").isNotNull()
-        judged = persist(judged.select("kind", "canon", "attempt", "surrogate", clash.alias("clash")), "judged")
-        if judged.filter("clash").isEmpty():
-            return judged.select("kind", "canon", "surrogate")
-        again = F.col("attempt") + 1
-        now = persist(
-            judged.select(
-                "kind", "canon", F.when(F.col("clash"), again).otherwise(F.col("attempt")).alias("attempt"),
-                F.when(F.col("clash"), draw(F.col("kind"), F.col("canon"), again, key)).otherwise(F.col("surrogate")).alias("surrogate"),
-            ),
-            "surrogates",
-        )
-    raise RuntimeError("no surrogates without collisions were found")
+    # A number of partitions that is asked for is not coalesced: drawing is work.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unit = ["kind", "canon", "given", "gender"]
+    dealt = persist(distinct.select(*unit).repartition(tasks, "kind", "canon"), "units")
+    settled = None
+    now = persist(drawn(dealt, 0, key), "surrogates")
+    originals = dealt.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
+    attempt = 0
+    while True:
+        # Those that have kept theirs come before all others.
+        every = now.withColumn("old", F.lit(1))
+        if settled is not None:
+            every = every.unionByName(settled.withColumn("old", F.lit(0)))
+        first = every.groupBy("kind", "surrogate").agg(F.min(F.struct("old", "canon")).alias("first"))
+        judged = now.join(first, ["kind", "surrogate"]).join(originals, ["kind", "surrogate"], "left")
+        clash = (F.col("kind") != "initial") & ((F.col("first.old") == 0) | (F.col("first.canon") != F.col("canon")) | F.col("real").isNotNull())
+        judged = persist(judged.select(*unit, "surrogate", clash.alias("clash")), "judged")
+        fine = judged.filter("NOT clash").drop("clash")
+        settled = fine if settled is None else settled.unionByName(fine)
+        left = judged.filter("clash")
+        if left.isEmpty():
+            return settled.select("kind", "canon", "surrogate")
+        attempt += 1
+        now = persist(drawn(left.select(*unit), attempt, key), "surrogates")
 
 
 def _fill(value: Column, surrogate: Column) -> Column:
@@ -238,15 +244,17 @@ def _fill(value: Column, surrogate: Column) -> Column:
     return F.concat(walked["out"], F.substr(surrogate, walked["n"], F.length(surrogate)))
 
 
-def _capital(name: Column) -> Column:
-    return F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1000))
+def _as(original: Column, name: Column) -> Column:
+    """A name with capitals where the original has them: all letters, or the first of each part."""
+    parts = F.transform(F.split(name, "-"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1000)))
+    return F.when((F.upper(original) == original) & (F.length(original) > 2), F.upper(name)).otherwise(F.array_join(parts, "-"))
 
 
 def _written(value: Column, of: Column, drawn: Column) -> Column:
     """A mention's replacement; drawn: the surrogates of its units in order."""
     digits = F.regexp_replace(value, r"\D", "")
     return (
-        F.when(of == "name", F.concat(_title(value), F.array_join(F.transform(drawn, _capital), " ")))
+        F.when(of == "name", F.concat(_title(value), F.array_join(F.zip_with(_name_words(value), drawn, _as), " ")))
         .when(of.isin("email", "ip"), drawn[0])
         .when(of == "secret", F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(_secret(value))), drawn[0]))
         .when(digits != _national(digits), F.when(of == "phone", _fill(value, F.concat(F.lit("1"), drawn[0]))).otherwise(_fill(value, drawn[0])))
@@ -257,11 +265,11 @@ def _written(value: Column, of: Column, drawn: Column) -> Column:
 def _bare(text: Column, known: Column) -> Column:
     """Text with the words that ``known`` has replaced, where they begin with a capital."""
     bare = rf"(?<![\p{{L}}\p{{M}}]){WORD}"
-    new = F.transform(F.regexp_extract_all(text, F.lit(bare), F.lit(0)), lambda x: F.coalesce(_capital(F.element_at(known, F.lower(x))), x))
+    new = F.transform(F.regexp_extract_all(text, F.lit(bare), F.lit(0)), lambda x: F.coalesce(_as(x, F.element_at(known, F.lower(x))), x))
     return F.array_join(F.flatten(F.zip_with(F.split(text, bare, -1), new, lambda g, x: F.array(g, F.coalesce(x, F.lit(""))))), "")
 
 
-def replace(docs: DataFrame, key: str = "tessella") -> DataFrame:
+def replace(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text, n_entities, kinds of every row of ``docs`` (doc_id, text), personal data replaced.
 
     ``key`` is the secret that surrogates are drawn with: equal keys give equal surrogates.  Found
@@ -271,37 +279,45 @@ def replace(docs: DataFrame, key: str = "tessella") -> DataFrame:
     found, sorted.  E-mail surrogates are in example domains and IPv4 ones in the reserved
     block 240.0.0.0/4, so neither reaches anybody.
 
+    A word of a name has one surrogate in the whole corpus.  It is a given name if others follow it
+    anywhere; its gender is that which most of the different titled names with it have.
+
     A null text stays null and an empty one empty, both with no entities, as do texts without
     personal data, unchanged.  Repeated rows each give the same row; a row with a null doc_id is
-    treated like any other.  An empty table gives no rows.  Other columns are not read.  ``docs``
-    must be a plain scan of files, since rows are told apart by their place.
+    treated like any other.  Very long texts are read whole.  An empty table gives no rows.  Other
+    columns are not read.
+
+    Every row is written once with what was found in it.  Rows without a mention go from there to
+    the result; only the others are joined with their replacements.
     """
-    keyed, row = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    found = persist(keyed.select(row, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found")).filter(F.size("found") > 0), "found")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found"))
+    rows = persist(rows.withColumn("some", F.coalesce(F.size("found") > 0, F.lit(False))), "found")
+    found = rows.filter("some").select("row", "found")
     values = found.select(F.explode("found").alias("value")).distinct()
     values = values.withColumn("kind", kind(F.col("value")))
     values = persist(values.filter("kind IS NOT NULL").withColumn("units", units(F.col("value"), F.col("kind"))), "values")
-    each = values.select("value", F.posexplode("units").alias("place", "u")).select("value", "place", F.col("u.kind").alias("kind"), F.col("u.canon").alias("canon"))
-    drawn = each.join(assign(each.select("kind", "canon").distinct(), key), ["kind", "canon"])
-    drawn = drawn.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("place", "surrogate", "canon"))).alias("drawn"))  # one for each word
-    written = values.select("value", "kind").join(drawn, "value")
+    each = values.select("value", F.posexplode("units").alias("place", "u")).select("value", "place", "u.*")
+    vote = lambda g: F.sum(F.when(F.col("gender") == g, 1).otherwise(0))
+    settled = each.groupBy("kind", "canon").agg(F.max("given").alias("given"), vote("m").alias("m"), vote("f").alias("f"))
+    settled = settled.withColumn("gender", F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("x"))
+    named = each.select("value", "place", "kind", "canon").join(persist(assign(settled, key), "assigned"), ["kind", "canon"])
+    named = named.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("place", "surrogate", "canon"))).alias("drawn"))  # one for each word
+    written = values.select("value", "kind").join(named, "value")
     # Words of a name that may stand without its title; initials are too common.
-    words = F.transform(F.filter("drawn", lambda d: ~d["canon"].endswith(".")), lambda d: F.struct(d["canon"].alias("canon"), d["surrogate"].alias("surrogate")))
-    written = written.withColumn("words", F.when(F.col("kind") == "name", words))
+    names = F.transform(F.filter("drawn", lambda d: ~d["canon"].endswith(".")), lambda d: F.struct(d["canon"].alias("canon"), d["surrogate"].alias("surrogate")))
+    written = written.withColumn("words", F.when(F.col("kind") == "name", names))
     written = persist(written.select("value", "kind", _written(F.col("value"), F.col("kind"), F.col("drawn.surrogate")).alias("new"), "words"), "written")
 
-    mentions = found.select(row, F.posexplode("found").alias("place", "value")).join(written, "value", "left")
-    mentions = mentions.groupBy(row).agg(
+    mentions = found.select("row", F.posexplode("found").alias("place", "value")).join(written, "value", "left")
+    mentions = mentions.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("place", F.coalesce("new", "value").alias("new")))).alias("m"),
-        F.count("kind").alias("n"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"),
+        F.count("kind").alias("n"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"),
     )
-    # Of a word's surrogates, as a given name of any gender or a family name, one.
-    known = F.map_from_entries(F.filter("words", lambda x, i: (i == 0) | (x["canon"] != F.get("words", i - 1)["canon"])))
-    mentions = persist(mentions.filter("n > 0").select(row, F.col("m.new").alias("new"), "n", "kinds", known.alias("known")), "mentions")
-    joined = keyed.join(mentions, row, "left")
+    mentions = persist(mentions.select("row", F.col("m.new").alias("new"), "n", "kinds", F.map_from_entries("words").alias("known")), "mentions")
+    joined = rows.filter("some").select("row", "doc_id", "text").join(mentions.hint("merge"), "row")
     gaps = F.when(F.size("known") > 0, F.transform(F.split("text", PATTERN, -1), lambda g: _bare(g, F.col("known")))).otherwise(F.split("text", PATTERN, -1))
     text = F.array_join(F.flatten(F.zip_with(gaps, "new", lambda g, x: F.array(g, F.coalesce(x, F.lit(""))))), "")
-    return joined.select(
-        "doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_entities"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"),
-    )
+    joined = joined.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"), F.col("n").alias("n_entities"), "kinds")
+    plain = rows.filter("NOT some").select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    return joined.unionByName(plain)

@@ -156,7 +156,7 @@ QUERIES["op10_source_mixing"] = op10_source_mixing
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_surrogates.replace(read(spark, sf_dir, "documents"))
+    return pii_surrogates.replace(read(spark, sf_dir, "documents"), key="op5")
 
 
 QUERIES["op5_pii_surrogates"] = op5_pii_surrogates
