@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are all words of a bounded sample of labelled rows, and those beginnings of words that mark
-toxic texts.  A term's weight is its inverse document frequency, counted over all documents; terms
-that do not tell toxic texts from others beyond chance weigh a tenth of that, so that what a text is
+Terms are all words of the examples, a bounded sample of labelled rows, and the words and beginnings
+of words that mark toxic texts.  A term's weight is its inverse document frequency, counted over all documents (the
+logarithm of the odds against having it); terms that do not tell toxic texts from others beyond chance weigh a tenth of that, so that what a text is
 about does not drown what it is called.  The examples stand in an inverted index in blocks of like
 ones, each posting list with the largest weight of each block.  A query adds these up to a bound for
 every block, goes through the blocks of the highest bounds, and then through all that can still beat
@@ -28,13 +28,14 @@ from tessella.llm.arrow_groups import slices
 from tessella.llm.minhash_dedup import MATCHES, shingle_sets, signature
 from tessella.llm.store import persist
 
-#: Labelled rows that the classifier is fitted on at most (those of smallest hash).
-SAMPLE = 4000
+#: Labelled rows (those of smallest hash) that tell which terms mark toxic texts, and examples among
+#: them, at most.
+SAMPLE, EXAMPLES = 4000, 2000
 #: Weight of a term that marks nothing, against one that does.
 PLAIN = 0.1
 #: Neighbours that vote, examples in a block of the index, blocks gone through first, and weight of
 #: the prior.
-NEAREST, BLOCK, FIRST, PRIOR = 15, 32, 8, 1.0
+NEAREST, BLOCK, FIRST, PRIOR = 15, 64, 4, 1.0
 THRESHOLD = 0.7
 #: Letters in the beginnings of words.
 HEADS = (4, 5, 6)
@@ -80,6 +81,14 @@ class Vocabulary(NamedTuple):
         order = np.argsort(which)
         return which[order], np.fromiter(out.values(), np.float64, len(out))[order]
 
+    def present(self, text: str | None) -> list[int]:
+        """The terms of a text in any order."""
+        own = set(words(text))
+        out = [i for word in own if (i := self.word.get(word)) is not None]
+        if self.head:
+            out += {i for word in own if len(word) > HEADS[0] for size in HEADS if len(word) > size and (i := self.head.get(word[:size])) is not None}
+        return out
+
 
 class Index(NamedTuple):
     """Posting lists of the examples' unit vectors.
@@ -101,8 +110,9 @@ class Index(NamedTuple):
 
     def vector(self, which: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weight = (1 + np.log(often)) * self.factor[which]
-        size = math.sqrt(weight @ weight)
-        return which, weight / size if size > 0 else weight
+        some = weight > 0
+        which, weight = which[some], weight[some]
+        return which, weight / math.sqrt(weight @ weight) if len(weight) else weight
 
     def nearest(self, which: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines, nearest first, ties by doc_id; without one of
@@ -137,7 +147,7 @@ class Index(NamedTuple):
 
 
 class Model(NamedTuple):
-    """Everything that scoring needs; its size is bounded by the texts of SAMPLE rows."""
+    """Everything that scoring needs; its size is bounded by the texts of EXAMPLES rows."""
 
     vocabulary: Vocabulary
     index: Index
@@ -212,8 +222,8 @@ def _distinct(sample: DataFrame) -> list[int]:
     return sorted(set(kept))
 
 
-def _marking(sample: DataFrame, n1: int, n0: int) -> tuple[list[str], list[str]]:
-    """All words of the sample, and the words and beginnings of words that mark toxic texts.
+def _marking(sample: DataFrame, n1: int, n0: int) -> list[str]:
+    """The words and beginnings of words that mark toxic texts.
 
     A term's likelihood ratio must exceed what chance alone gives the luckiest of all terms tried,
     2 ln(number of terms), so that a larger vocabulary lets no more terms through that mark nothing.
@@ -241,8 +251,17 @@ def _marking(sample: DataFrame, n1: int, n0: int) -> tuple[list[str], list[str]]
         + part(n1 - F.col("a"), n - both, n1 / n) + part(n0 - F.col("b"), n - both, n0 / n)
     )
     marks = counted.filter((F.col("a") * n > both * n1) & (F.round(ratio, 9) > least))
-    every = counted.filter(~F.col("term").endswith("*")).select("term").orderBy("term").toArrow()["term"].to_pylist()
-    return every, sorted(r["term"] for r in marks.select("term").collect())
+    return sorted(r["term"] for r in marks.select("term").collect())
+
+
+def _words_of(examples: DataFrame) -> set[str]:
+    """All words of the examples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(set().union(*(words(t) for t in batch.column("text").to_pylist())), pa.string())], ["word"])
+
+    return set(examples.select("text").mapInArrow(run, "word string").distinct().toArrow()["word"].to_pylist())
 
 
 def _document_frequency(rows: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
@@ -256,7 +275,7 @@ def _document_frequency(rows: DataFrame, vocabulary: Vocabulary) -> tuple[np.nda
         total = np.zeros(size, np.int64)
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
-                total[vocabulary.found(text)[0]] += 1
+                total[vocabulary.present(text)] += 1
             total[-1] += batch.num_rows
         yield pa.record_batch([pa.array([TaskContext.get().partitionId() % 16]), pa.array([total.tobytes()])], ["part", "counts"])
 
@@ -329,17 +348,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = F.max(F.struct(F.length("text").alias("size"), "text"))["text"].alias("text")
     sample = persist(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(texts).repartition(8, "doc_id"), "sample")  # at most SAMPLE ids
     kept = spark.createDataFrame([(i,) for i in _distinct(sample)], "doc_id long")
-    sample = persist(sample.join(F.broadcast(kept), "doc_id"), "examples")
+    sample = persist(sample.join(F.broadcast(kept), "doc_id"), "sample")
     n1, n0 = (sample.filter(F.col("toxic") == k).count() for k in (1, 0))
     base = (n1 + 0.5) / (n1 + n0 + 1)
     if not n1 + n0:
         return Model(Vocabulary({}, {}), _indexed(pa.table({"doc_id": pa.array([], pa.int64()), "toxic": pa.array([], pa.int32()), "which": pa.array([], pa.list_(pa.int64())), "often": pa.array([], pa.list_(pa.float64()))}), np.zeros(0), base), 1.0, 0.0)
-    every, marks = _marking(sample, n1, n0)
-    terms = every + [t for t in marks if t[-1:] == "*"]
-    vocabulary, marked = Vocabulary.of(terms), set(marks)
+    marks = _marking(sample, n1, n0)
+    examples = persist(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).repartition(8, "doc_id"), "examples")
+    marked = set(marks)
+    terms = sorted(_words_of(examples) | marked)
+    vocabulary = Vocabulary.of([t for t in terms if t[-1:] != "*"] + [t for t in terms if t[-1:] == "*"])
+    terms = [*vocabulary.word, *(t + "*" for t in vocabulary.head)]
     frequency, n = _document_frequency(rows, vocabulary)
-    factor = (np.log((1 + n) / (1 + frequency)) + 1e-3) * np.array([1.0 if t in marked else PLAIN for t in terms])
-    index = _indexed(_features(sample, vocabulary).toArrow(), factor, base)
+    # A term that more than half of all documents have says nothing and weighs nothing.
+    factor = np.maximum(0, np.log((n - frequency + 0.5) / (frequency + 0.5))) * np.array([1.0 if t in marked else PLAIN for t in terms])
+    index = _indexed(_features(examples, vocabulary).toArrow(), factor, base)
     held = spark.sparkContext.broadcast((vocabulary, index))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +374,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 votes.append(_logit(index.vote(*index.nearest(*index.vector(*vocabulary.found(text)), without=place[doc]))))
             yield pa.record_batch([batch.column("toxic"), pa.array(votes, pa.float64())], ["toxic", "vote"])
 
-    votes = sample.select("doc_id", "text", "toxic").mapInArrow(judge, "toxic int, vote double").orderBy("vote", "toxic").toArrow()
+    votes = examples.select("doc_id", "text", "toxic").mapInArrow(judge, "toxic int, vote double").orderBy("vote", "toxic").toArrow()
     slope, shift = _platt(votes["vote"].to_numpy(), votes["toxic"].to_numpy().astype(float))
     return Model(vocabulary, index, slope, shift)
 
