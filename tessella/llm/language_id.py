@@ -50,9 +50,9 @@ def _hashed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint32(15))) % np.uint32(FEATURES)
 
 
-def counts(text: str | None) -> np.ndarray | None:
-    """How often each feature occurs in the whole text; None for a text without letters."""
-    out, seen = np.zeros(FEATURES, np.int64), False
+def counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The features of the whole text, in order, and how often each occurs; None without letters."""
+    found, total, seen = [], None, False
     text = text or ""
     for at in range(0, len(text), SPAN):
         # Two code points before and after the span: no n-gram is lost at its edges.
@@ -64,12 +64,22 @@ def counts(text: str | None) -> np.ndarray | None:
         one, two, three = x[2:], x[1:-1], x[:-2]
         own = slice(1, None) if at + SPAN >= len(text) else slice(1, -1)
         a, b, c = one[own], two[own], three[own]
-        out += np.bincount(_hashed(a[a > 0] * _MUL + np.uint32(1)), minlength=FEATURES)
-        pair = (a > 0) | (b > 0)
-        out += np.bincount(_hashed((a[pair] * _MUL + b[pair]) * _MUL + np.uint32(2)), minlength=FEATURES)
-        triple = (b > 0) & ((a > 0) | (c > 0))
-        out += np.bincount(_hashed(((a[triple] * _MUL + b[triple]) * _MUL + c[triple]) * _MUL + np.uint32(3)), minlength=FEATURES)
-    return out if seen else None
+        pair, triple = (a > 0) | (b > 0), (b > 0) & ((a > 0) | (c > 0))
+        found += [
+            _hashed(a[a > 0] * _MUL + np.uint32(1)),
+            _hashed((a[pair] * _MUL + b[pair]) * _MUL + np.uint32(2)),
+            _hashed(((a[triple] * _MUL + b[triple]) * _MUL + c[triple]) * _MUL + np.uint32(3)),
+        ]
+        if len(text) > SPAN:
+            # Of a long text only the sums are kept from span to span.
+            more = np.bincount(np.concatenate(found), minlength=FEATURES)
+            total, found = more if total is None else total + more, []
+    if not seen:
+        return None
+    if total is None:
+        return np.unique(np.concatenate(found), return_counts=True)
+    which = np.flatnonzero(total)
+    return which, total[which]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -84,8 +94,8 @@ class Model(NamedTuple):
     weights: np.ndarray  # feature, language; the last row is the bias
     temperature: float
 
-    def logits(self, count: np.ndarray) -> np.ndarray:
-        which, value = vector(count, self.idf)
+    def logits(self, count: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        which, value = vector(*count, self.idf)
         return value @ self.weights[which] + self.weights[-1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -97,9 +107,8 @@ class Model(NamedTuple):
         return self.languages[best], float(p[best])
 
 
-def vector(count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    which = np.flatnonzero(count)
-    value = (1 + np.log(count[which])) * idf[which]
+def vector(which: np.ndarray, often: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    value = (1 + np.log(often)) * idf[which]
     size = np.sqrt(value @ value)
     return which, value / size if size > 0 else value
 
@@ -138,7 +147,7 @@ def _document_frequency(rows: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 if (count := counts(text)) is not None:
-                    total[:-1] += count > 0
+                    total[count[0]] += 1
                     total[-1] += 1
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], ["feature", "n"])
@@ -156,34 +165,39 @@ def fit(docs: DataFrame) -> Model:
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     frequency, n = _document_frequency(rows)
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = persist(rows.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE), "sample-ids")
-    languages = sorted(row["lang"] for row in ids.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    many = persist(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    languages = sorted(row["lang"] for row in many.limit(LANGUAGES + 1).collect())
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    # Those of smallest hash: all that can be among them are about twice as many, whatever a language's size.
+    u = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    near = rows.select("doc_id", "lang", u.alias("u")).join(F.broadcast(many), "lang").filter(F.col("u") / float(1 << 63) * F.col("rows") < 2 * SAMPLE + 100)
+    order = Window.partitionBy("lang").orderBy("u", "doc_id")
+    ids = persist(near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE), "sample-ids")
     if not languages:
         return Model([], idf, np.zeros((FEATURES + 1, 0)), 1.0)
     number = {x: i for i, x in enumerate(languages)}
     # SAMPLE ids a language at most.
     sample = rows.join(F.broadcast(ids.select("doc_id", "lang", "place")), ["doc_id", "lang"]).withColumn("shard", F.col("place") % (SHARDS * 5))
-    sample = persist(sample.repartition(SHARDS, F.col("shard") % SHARDS), "sample")
+    sample = persist(sample, "sample")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = []
+        shards: dict[int, list] = {}
         for batch in batches:
             for doc, text, lang, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "shard")), strict=True):
-                count = counts(text)
-                if count is not None and shard >= SHARDS:
-                    some.append((doc, *vector(count, idf), number[lang]))
-        some.sort(key=lambda r: pretokens._mixed(np.array([r[0]], np.int64).view(np.uint64))[0])
-        if some:
+                if (count := counts(text)) is not None:
+                    shards.setdefault(shard % SHARDS, []).append((doc, *vector(*count, idf), number[lang]))
+        for some in shards.values():
+            some.sort(key=lambda r: pretokens._mixed(np.array([r[0]], np.int64).view(np.uint64))[0])
             w = train([r[1:] for r in some], len(languages))
             where = np.nonzero(w)
             columns = [pa.array(where[0]), pa.array(where[1]), pa.array(w[where] * len(some)), pa.array(np.full(len(where[0]), 0))]
             yield pa.record_batch(columns, ["feature", "language", "weight", "rows"])
             yield pa.record_batch([pa.array([-1]), pa.array([0]), pa.array([0.0]), pa.array([len(some)])], ["feature", "language", "weight", "rows"])
 
-    trained = sample.mapInArrow(learn, "feature long, language long, weight double, rows long")
+    # A range for each shard, so that each is trained in a task of its own.
+    dealt = sample.filter(F.col("shard") >= SHARDS).withColumn("n", F.col("shard") % SHARDS).repartitionByRange(SHARDS, "n")
+    trained = dealt.mapInArrow(learn, "feature long, language long, weight double, rows long")
     trained = trained.groupBy("feature", "language").agg(F.sum("weight").alias("weight"), F.sum("rows").alias("rows"))
     weights, total = np.zeros((FEATURES + 1, len(languages))), 0
     for row in trained.toArrow().to_pylist():  # FEATURES x LANGUAGES at most
@@ -220,7 +234,7 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text, lang).
 
     Rows whose crc32(doc_id) mod 4 is 2, and rows without a language or doc_id, are not learnt from.
-    Null texts and texts without a letter are ``und`` with score 0, as is every text if nothing can
+    Very long texts are read whole, and equal hashes are told apart by doc_id.  Null texts and texts without a letter are ``und`` with score 0, as is every text if nothing can
     be learnt.  Repeated rows each give a row.  An empty table gives no rows.  Other columns are not
     read.
     """
