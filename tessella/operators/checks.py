@@ -83,3 +83,13 @@ def calibration(metrics: DataFrame, value: str) -> DataFrame:
         F.grouping("direction").cast("int").alias("whole_action"), F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"),
     )
     return out
+
+
+def repair_hints(facts: DataFrame, by: list[str], repairs: DataFrame) -> DataFrame:
+    """Targets of failed checks, sorted, by what can mend them: local and regenerate.
+
+    ``facts``: by, id, target, result; ``repairs``: id, repair.
+    """
+    failed = facts.filter("result = 'FAIL'").join(F.broadcast(repairs), "id").groupBy(*by, "repair", "target").count()
+    some = lambda kind: F.array_sort(F.collect_set(F.when(F.col("repair") == kind, F.col("target"))))
+    return failed.groupBy(*by).agg(some("local").alias("local"), some("regenerate").alias("regenerate"))

@@ -124,3 +124,39 @@ def cache_hits(requests: DataFrame, key: str, order: list[str]) -> DataFrame:
     """hit: whether an earlier request had the same key."""
     first = requests.groupBy(key).agg(F.min(F.struct(*order)).alias("first"))
     return requests.join(first, key).withColumn("hit", F.struct(*order) > F.col("first")).drop("first")
+
+
+#: States in which a job that calls the provider has yet to do so.
+UNPAID = ["PLANNED", "GENERATING"]
+
+
+def summary(jobs: DataFrame) -> DataFrame:
+    """One row for each asset_id: total_jobs, estimated_api_calls, derived_jobs, and a count for each status.
+
+    ``jobs``: asset_id, job_id, kind, status.  Derived jobs call no provider.
+    """
+    count = lambda on: F.count(F.when(on, 1))
+    states = jobs.groupBy("asset_id", "status").agg(
+        F.count(F.lit(1)).alias("n"), count((F.col("kind") != "derived") & F.col("status").isin(UNPAID)).alias("calls"), count(F.col("kind") == "derived").alias("derived")
+    )
+    return states.groupBy("asset_id").agg(
+        F.sum("n").alias("total_jobs"), F.sum("calls").alias("estimated_api_calls"), F.sum("derived").alias("derived_jobs"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("by_status"),
+    )
+
+
+def pending(jobs: DataFrame) -> DataFrame:
+    """Jobs that have yet to call the provider."""
+    return jobs.filter((F.col("kind") != "derived") & F.col("status").isin(UNPAID))
+
+
+def signature(jobs: DataFrame) -> DataFrame:
+    """(asset_id, signature): a fingerprint of an asset's jobs that tells whether two plans are the same.
+
+    ``jobs``: asset_id, job_id, kind, frames, derived_from, input_fingerprint.  An asset's jobs are one
+    line each and make one text, in the order of their ids.
+    """
+    mark = F.coalesce(F.when(F.length("input_fingerprint") > 0, F.concat(F.lit("#"), "input_fingerprint")), F.lit(""))
+    line = F.concat("job_id", F.lit("#"), "kind", F.lit("#"), F.col("frames").cast("string"), F.lit("#"), F.coalesce("derived_from", F.lit("")), mark)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("job_id", line.alias("line")))), lambda x: x["line"]), "|")
+    return jobs.groupBy("asset_id").agg(F.substring(F.sha2(lines, 256), 1, 16).alias("signature"))

@@ -79,3 +79,29 @@ def beat_signature(spans: DataFrame, by: list[str]) -> DataFrame:
     out = spans.groupBy(*by).agg(low.cast("double").alias("stride_min"), high.cast("double").alias("other_max")).filter("stride_min IS NOT NULL AND other_max IS NOT NULL")
     ratio = F.when(F.col("other_max") > 0, F.col("stride_min") / F.when(F.col("other_max") > 0, F.col("other_max"))).otherwise(F.lit(float("inf")))
     return out.withColumn("separation", ratio).withColumn("consistent", F.col("separation") > 1)
+
+
+def cell_margins(mask: DataFrame, by: list[str], cols: int, rows: int, width: int, height: int) -> DataFrame:
+    """margin: the smallest distance of content from the border of its cell, as a share of the cell's
+    size, over the cells of a grid that have content.
+
+    ``mask``: opaque pixels.  Pixels are reduced to the box of their cell before anything else.
+    """
+
+    def cut(at: str, n: int, size: int) -> tuple[F.Column, F.Column, F.Column]:
+        edges = [round(i * size / n) for i in range(n + 1)]
+        cell = sum((F.when(F.col(at) >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
+        known = F.array(*map(F.lit, edges))
+        return cell, known[cell], known[cell + 1] - known[cell]
+
+    (cx, x0, w), (cy, y0, h) = cut("x", cols, width), cut("y", rows, height)
+    at = mask.select(*by, cx.alias("cx"), cy.alias("cy"), (F.col("x") - x0).alias("x"), (F.col("y") - y0).alias("y"), w.alias("w"), h.alias("h"))
+    box = at.groupBy(*by, "cx", "cy", "w", "h").agg(F.min("x").alias("l"), F.max("x").alias("r"), F.min("y").alias("t"), F.max("y").alias("b"))
+    least = F.least(F.col("l") / F.col("w"), F.col("t") / F.col("h"), (F.col("w") - 1 - F.col("r")) / F.col("w"), (F.col("h") - 1 - F.col("b")) / F.col("h"))
+    return box.groupBy(*by).agg(F.min(least).alias("margin"))
+
+
+def heights(mask: DataFrame, key: str, frame: str) -> DataFrame:
+    """(key, typical, peak): the median and the largest height of content over the frames of a key."""
+    each = mask.groupBy(key, frame).agg((F.max("y") - F.min("y") + 1).alias("h"))
+    return each.groupBy(key).agg(F.median("h").alias("typical"), F.max("h").cast("double").alias("peak"))

@@ -22,9 +22,9 @@ def palette(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def overflow(counts: DataFrame, allowed: DataFrame, by: list[str]) -> DataFrame:
-    """Share of opaque pixels whose colour is not in ``allowed`` (r, g, b); a palette has at most
-    256 colours and is broadcast behind a limit of that."""
-    known = F.broadcast(allowed.select("r", "g", "b").distinct().limit(256).withColumn("ok", F.lit(1)))
+    """Share of opaque pixels whose colour is not in ``allowed`` (r, g, b).  Distinct colours are
+    joined, each group's once, so a palette of any size is shuffled like them."""
+    known = allowed.select("r", "g", "b").distinct().withColumn("ok", F.lit(1))
     rows = counts.join(known, ["r", "g", "b"], "left")
     return rows.groupBy(*by).agg((F.sum(F.when(F.col("ok").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("overflow"))
 
@@ -96,3 +96,22 @@ def reconstruction_error(px: DataFrame, blocks: DataFrame, by: list[str], width:
     block = blocks.select(*by, "bx", "by", *(F.col(c).alias(f"m{c}") for c in "rgb"))
     both = px.filter("a > 0").withColumns(cell).join(block, [*by, "bx", "by"])
     return both.groupBy(*by).agg(F.avg(F.greatest(*(F.abs(F.col(c) - F.col(f"m{c}")) for c in "rgb"))).alias("error"))
+
+
+def nearest_resize(px: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
+    """Images of ``px`` (any keys, x, y, r, g, b, a) at a new size, each pixel that of the nearest
+    source pixel; transparent pixels are black.
+
+    Which source column and row a new one takes is known beforehand, so a pixel becomes as many
+    pixels as it covers and nothing is shuffled.
+    """
+
+    def covered(at: str, size: int, new: int) -> F.Column:
+        # New pixel i takes the source pixel under its middle, (2 i + 1) size / (2 new).
+        every = [[i for i in range(new) if (2 * i + 1) * size // (2 * new) == s] for s in range(size)]
+        return F.array(*(F.array(*map(F.lit, some)).cast("array<int>") for some in every))[F.col(at)]
+
+    dark = [F.when(F.col("a") > 0, F.col(c)).otherwise(0).alias(c) for c in "rgb"]
+    rest = [c for c in px.columns if c not in ("x", "y", "r", "g", "b")]
+    rows = px.select(*rest, *dark, F.explode(covered("x", width, new_width)).alias("x"), covered("y", height, new_height).alias("ys"))
+    return rows.select(*[c for c in rows.columns if c != "ys"], F.explode("ys").alias("y"))

@@ -64,3 +64,14 @@ def mirror_flips(mask: DataFrame, by: list[str], key: str, width: int, height: i
     chirality = iou(F.col("same"), a, f) - iou(F.col("other"), a, f)
     judged = iou(F.col("own"), a, a) < 0.90
     return rows.select(*by, F.bround(chirality, 4).alias("chirality"), judged.alias("judged"), (judged & (chirality < -0.03)).alias("flipped"))
+
+
+def pixel_difference(px: DataFrame, key: str, frame: str, size: int) -> DataFrame:
+    """(key, frame, diff): the share of pixels whose colour differs from that of the frame before.
+
+    ``px`` has every pixel of every frame.  A pixel meets itself in the next frame by its place.
+    """
+    before = px.select(key, (F.col(frame) + 1).alias(frame), "x", "y", *(F.col(c).alias(f"{c}0") for c in "rgba"))
+    both = px.join(before, [key, frame, "x", "y"])
+    other = F.when(F.struct(*"rgba") != F.struct(*(f"{c}0" for c in "rgba")), 1).otherwise(0)
+    return both.groupBy(key, frame).agg((F.sum(other) / size).alias("diff"))

@@ -121,8 +121,10 @@ def quadrants(px: DataFrame, width: int, height: int) -> DataFrame:
 
 def terrain_corners(quads: DataFrame, bases: DataFrame, distance_max: float = TERRAIN_MAX) -> DataFrame:
     """(tile_id, corner, terrain, distance): the nearest base terrain of each corner, by name among
-    equals; null beyond distance_max.  ``bases``: tile_id, terrain; a handful, at most 256."""
-    base = F.broadcast(bases.limit(256))
+    equals; null beyond distance_max.  ``bases``: tile_id, terrain; more than 256 are an error."""
+    if bases.limit(257).count() > 256:
+        raise ValueError("more than 256 base terrains")
+    base = F.broadcast(bases)
     known = quads.join(base, "tile_id").select("corner", "terrain", F.col("marks").alias("base"))
     gap = lambda i: F.aggregate(F.zip_with(F.col("marks")[i], F.col("base")[i], lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda t, x: t + x)
     size = F.size(F.col("marks")[0])
@@ -231,3 +233,16 @@ def generate_maps(seeds: DataFrame, allowed: dict[str, dict[str, list[str]]], wi
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["map", "x", "y", "tile_id"])
 
     return seeds.select(F.col("map").cast("string").alias("map"), F.col("seed").cast("string").alias("seed")).mapInArrow(run, "map string, x int, y int, tile_id string")
+
+
+def by_gid(atlas: DataFrame, gids: DataFrame) -> DataFrame:
+    """(tileset, gid, tile_id) of ``gids`` (tileset, gid): the inverse of an atlas's numbering, from
+    the places of tiles alone; null for numbers that no tile has."""
+    own = atlas.select("tileset", (F.col("row") * F.col("columns") + F.col("col") + 1).alias("gid"), "tile_id")
+    return gids.join(own, ["tileset", "gid"], "left")
+
+
+def dangling(allowed: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(direction, tile_id, other): neighbours that an adjacency names and that are not tiles."""
+    named = allowed.select("direction", "tile_id", F.explode("neighbours").alias("other"))
+    return named.join(tiles.select(F.col("tile_id").alias("other")), "other", "left_anti").select("direction", "tile_id", "other")

@@ -10,10 +10,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Successive ids that are numbered together.
+PART = 4096
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, key (the label), frame_idx within the key, embedding."""
-    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("key"), at.alias("frame_idx"), "embedding")
+    """vec_id, key (the label), frame_idx within the key, embedding.
+
+    Frames are numbered within parts of successive ids, and parts by how many frames of the key come
+    before them, so a key that holds a third of all frames is never sorted in one task.
+    """
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("key"), F.floor(F.col("vec_id") / PART).alias("part"), "embedding")
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(F.col("key").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy("vec_id")) - 1
+    numbered = rows.withColumn("place", place).join(before, F.col("key").eqNullSafe(F.col("of")) & F.col("part").eqNullSafe(F.col("at")))
+    return numbered.select("vec_id", "key", (F.col("place") + F.col("before")).cast("int").alias("frame_idx"), "embedding")
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +56,6 @@ def rgba4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tiles(spark: SparkSession, sf_dir: str, below: int = 40) -> DataFrame:
-    """A set of 4 x 4 tiles."""
-    px = rgba4(spark, sf_dir).filter(F.col("vec_id") < below)
-    return px.select(F.format_string("t%03d", "vec_id").alias("tile_id"), "x", "y", "r", "g", "b")
-
-
 #: Tiles in a tileset.
 TILESET = 40
 
@@ -115,7 +122,7 @@ RGBA = (
     "max(gray) FILTER (i % 4 = 1) AS g, max(gray) FILTER (i % 4 = 2) AS b, max(CASE WHEN v > 0 THEN 255 ELSE 0 END) FILTER (i % 4 = 3) AS a "
     "FROM pl GROUP BY ALL)"
 )
-TILES = RGBA + ", ti AS (SELECT printf('t%03d', vec_id) AS tile_id, x, y, r, g, b FROM px WHERE vec_id < 40)"
+TILES = RGBA + f", ti AS (SELECT vec_id // {TILESET} AS tileset, printf('t%03d', vec_id) AS tile_id, x, y, r, g, b FROM px)"
 
 
 def mask_sql(over: float = 0.0) -> str:

@@ -128,19 +128,9 @@ def static_animation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return differences(spark, sf_dir).groupBy("key").agg(F.max("diff").alias("most"), F.count(F.lit(1)).alias("n")).filter("n >= 3").select("key", "most", (F.col("most") <= 0.25).alias("still"))
 
 
-@query(
-    f"WITH {b.PLANE}, d AS (SELECT key, frame_idx, string_agg(CASE WHEN v > 0 THEN '1' ELSE '0' END, '' ORDER BY i) AS h FROM pl WHERE x < 3 AND y < 3 GROUP BY ALL), "
-    "f AS (SELECT *, min(frame_idx) OVER (PARTITION BY key, h) AS first FROM d) SELECT key, first, frame_idx FROM f WHERE frame_idx > first"
-)
+@query(f"WITH {b.FRAMES}, f AS (SELECT key, frame_idx, min(frame_idx) OVER (PARTITION BY key, embedding) AS first FROM fr WHERE embedding IS NOT NULL) SELECT key, first, frame_idx FROM f WHERE frame_idx > first")
 def duplicate_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corner = b.plane(spark, sf_dir).filter("x < 3 AND y < 3").withColumn("bit", F.when(F.col("v") > 0, "1").otherwise("0"))
-    digest = corner.groupBy("key", "frame_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "bit"))), lambda s: s["bit"]), "").alias("digest"))
-    return sequence.exact_duplicates(digest, "key", "frame_idx", "digest")
-
-
-@query(None)
-def duplicate_frames_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames that equal an earlier one in all their values; the SQL of duplicate_frames compares a corner's signs."""
+    """Frames that equal an earlier one of their key in all their values."""
     return whole_duplicates(b.frames(spark, sf_dir))
 
 
@@ -229,10 +219,11 @@ def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "n_colors", F.sha2(F.array_join("palette", ","), 256).alias("digest"))
 
 
-@query(f"WITH {b.RGBA}, al AS (SELECT DISTINCT r, g, b FROM px WHERE a > 0 AND vec_id < 20 AND x = 0) SELECT key, round(avg(CASE WHEN (r, g, b) IN (SELECT (r, g, b) FROM al) THEN 0 ELSE 1 END), 6) AS overflow FROM px WHERE a > 0 GROUP BY key")
+@query(f"WITH {b.RGBA}, al AS (SELECT r, g, b FROM px WHERE a > 0 GROUP BY ALL HAVING count(*) >= 2 OR (r + g + b) % 3 = 0) SELECT key, round(avg(CASE WHEN (r, g, b) IN (SELECT (r, g, b) FROM al) THEN 0 ELSE 1 END), 6) AS overflow FROM px WHERE a > 0 GROUP BY key")
 def palette_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = b.rgba4(spark, sf_dir)
-    allowed = px.filter("a > 0 AND vec_id < 20 AND x = 0")
+    # A palette made of all frames: colours that are used twice or whose sum is a multiple of three.
+    allowed = px.filter("a > 0").groupBy("r", "g", "b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2 OR (r + g + b) % 3 = 0")
     return palette.overflow(palette.color_counts(px, ["key"]), allowed, ["key"]).select("key", r6("overflow"))
 
 

