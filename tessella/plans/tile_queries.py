@@ -124,7 +124,7 @@ def map_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.map_violations(maps(spark, sf_dir), allowed(b.tilesets(spark, sf_dir))).select("map", "x", "y", "direction", "tile_id", "other")
 
 
-@query(f"WITH {b.TILES}, n AS (SELECT tile_id, row_number() OVER (PARTITION BY tileset ORDER BY tile_id) - 1 AS i, ceil(sqrt(count(*) OVER (PARTITION BY tileset)))::INT AS columns FROM (SELECT DISTINCT tileset, tile_id FROM ti)) SELECT tileset, tile_id, i % columns AS col, (i // columns)::INT AS row, columns, i + 1 AS gid FROM n")
+@query(f"WITH {b.TILES}, n AS (SELECT tileset, tile_id, row_number() OVER (PARTITION BY tileset ORDER BY tile_id) - 1 AS i, ceil(sqrt(count(*) OVER (PARTITION BY tileset)))::INT AS columns FROM (SELECT DISTINCT tileset, tile_id FROM ti)) SELECT tileset, tile_id, i % columns AS col, (i // columns)::INT AS row, columns, i + 1 AS gid FROM n")
 def tile_atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.atlas(b.tilesets(spark, sf_dir))
 
