@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import looked_up, persist
+from tessella.llm.store import persist
+
+#: Parts that the edges of a node are dealt out in.
+SHARES = 8
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -14,8 +17,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component is the smallest node that can be reached.  Rounds of large-star and small-star
     rewire the edges until each component is a star around its smallest node; their number grows
     with the logarithm of the graph.  Neighbours are reduced to their minimum before the shuffle,
-    and the edges of a hub learn of that minimum from a broadcast of the few hubs that there can be,
-    so they never meet in a task.  Loops and repeated edges are harmless, edges with a null end are
+    and the edges of a node learn of that minimum in SHARES parts, so that those of a hub do not meet
+    in a task.  Loops and repeated edges are harmless, edges with a null end are
     left out, and no edges give no rows.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -23,14 +26,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _mark(now)
     while before[0]:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        nearest = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        nearest = persist(nearest.select("u", F.least("u", "m").alias("m"), "n"), "nearest")
+        nearest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: every greater neighbour of u goes to the smallest of u and its neighbours.
-        large = looked_up(both, nearest, ["u"], "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = persist(large.distinct(), "large")
+        dealt = nearest.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        large = both.withColumn("share", F.pmod(F.xxhash64("v"), F.lit(SHARES)).cast("int")).join(dealt, ["u", "share"])
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours go to the smallest of them.
-        least = persist(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        small = looked_up(large, least, ["u"], "n").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         now = persist(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).filter("u > v").distinct(), "edges")
         after = _mark(now)
         if after == before:
