@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed to the folder named by ``spark.checkpoint.dir``; to a fresh local one only
-    where that is unset, as in tests."""
+    where that is unset and the session runs on one machine, as in tests."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
     return df.checkpoint()
