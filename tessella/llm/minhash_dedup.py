@@ -266,7 +266,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     linked.append(shared > 0 and 100 * shared >= 75 * (len(mine) + len(other) - shared))
                 yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _blocks(members: DataFrame, by: str, room: F.Column) -> DataFrame:
@@ -321,7 +321,7 @@ def _agreeing_across(members: DataFrame, classes: DataFrame) -> DataFrame:
         for group in runs(batches, ("key", "x", "y")):
             yield _edges(group, *_candidates(group))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -370,7 +370,7 @@ def _linked_across(members: DataFrame, classes: DataFrame, texts: DataFrame) ->
                     a, b = a[ok], b[ok]
                 yield _edges(group, a, b)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _decided(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
