@@ -20,10 +20,10 @@ def brute(rows, limit=0.93):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("cell", "block"), [(4096, 1024), (5, 4)])
-def test_against_all_pairs(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(e, "CELL", cell)
-    monkeypatch.setattr(e, "BLOCK", block)
+@pytest.mark.parametrize(("cell", "block", "share", "part"), [(4096, 1024, 8192, 32_768), (5, 4, 8192, 32_768), (5, 4, 7, 9)])
+def test_against_all_pairs(spark, monkeypatch, cell, block, share, part):
+    for name, value in (("CELL", cell), ("BLOCK", block), ("SHARE", share), ("PART", part)):
+        monkeypatch.setattr(e, name, value)
     r = np.random.default_rng(4)
     base = r.normal(size=(8, 6))
     rows = [(int(100 - i), (base[r.integers(8)] + r.normal(size=6) * r.choice([0, 0.05, 0.2])).tolist(), int(r.integers(2))) for i in range(90)]
@@ -40,3 +40,14 @@ def test_odd_rows(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]
     got = sorted((str(x["vec_id"]), x["n_links"], x["kept"]) for x in e.near_duplicates(spark.createDataFrame(rows, schema)).collect())
     assert got == [("1", 1, True), ("1", 1, True), ("None", 0, True)]
+
+
+def test_every_group_has_its_own_pivots(spark):
+    """log2(n + 1) + n / CELL of them, and every vector has a cell."""
+    r = np.random.default_rng(1)
+    rows = [(i, r.normal(size=4).tobytes(), i % 2 if i < 60 else 2, 1, 32) for i in range(400)]
+    classes = spark.createDataFrame(rows, "id long, unit binary, label int, weight long, size int")
+    groups = e._groups(classes)
+    found = {x["label"]: x["count"] for x in e._pivots(classes, groups).groupBy("label").count().collect()}
+    assert found == {0: 5, 1: 5, 2: 9}
+    assert e._dealt(classes, groups, 0.1).count() == 400
