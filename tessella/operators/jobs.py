@@ -14,28 +14,34 @@ from tessella.lineage import cut
 DONE = ("APPROVED", "VALIDATED", "EXPORTED")
 
 
-def topological_layers(jobs: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def topological_layers(jobs: DataFrame, edges: DataFrame) -> DataFrame:
     """(job_id, layer): 0 for jobs that depend on nothing, else one more than the deepest dependency.
 
-    ``edges``: job_id, needs; dependencies that are no jobs are ignored.  One join a layer; a cycle
-    never ends and is an error.
+    ``edges``: job_id, needs; dependencies that are no jobs are ignored.  A layer takes out the edges
+    that it meets, and the jobs that are left without any are the next one, so each job is found once
+    and graphs may be of any depth.  Jobs that no layer reaches are on or behind a cycle, an error.
     """
-    known = cut(edges.join(jobs.select(F.col("job_id").alias("needs")), "needs", "left_semi"))
-    out = cut(jobs.select("job_id").join(known, "job_id", "left_anti").withColumn("layer", F.lit(0)))
-    front, layers = out, [out]
-    for depth in range(1, most + 1):
-        front = cut(known.join(front.select(F.col("job_id").alias("needs")), "needs", "left_semi").select("job_id").distinct().withColumn("layer", F.lit(depth)))
+    left = cut(edges.select("job_id", "needs").distinct().join(jobs.select(F.col("job_id").alias("needs")), "needs", "left_semi"))
+    front = cut(jobs.select("job_id").distinct().join(left, "job_id", "left_anti").withColumn("layer", F.lit(0)))
+    layers = [front]
+    while not left.isEmpty():
+        after = cut(left.join(front.select(F.col("job_id").alias("needs")), "needs", "left_anti"))
+        front = cut(left.select("job_id").distinct().join(after, "job_id", "left_anti").withColumn("layer", F.lit(len(layers))))
         if front.isEmpty():
-            return reduce(DataFrame.unionByName, layers).groupBy("job_id").agg(F.max("layer").alias("layer"))
+            raise ValueError("jobs depend on each other in a cycle")
         layers.append(front)
-    raise ValueError(f"a cycle, or more than {most} layers")
+        left = after
+    return reduce(DataFrame.unionByName, layers)
 
 
-def transitive_dependents(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """(root, job_id): every job that needs a root, directly or not.  ``roots``: root."""
+def transitive_dependents(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, job_id): every job that needs a root, directly or not.  ``roots``: root.
+
+    A round goes on from what the last one newly found, so cycles end as well.
+    """
     front = roots.select("root", F.col("root").alias("needs"))
     out = None
-    for _ in range(most):
+    while True:
         found = front.join(edges, "needs").select("root", "job_id").distinct()
         if out is not None:
             found = found.join(out, ["root", "job_id"], "left_anti")
@@ -44,7 +50,6 @@ def transitive_dependents(edges: DataFrame, roots: DataFrame, most: int = 64) ->
             return out if out is not None else found
         out = found if out is None else out.unionByName(found)
         front = found.select("root", F.col("job_id").alias("needs"))
-    raise ValueError(f"more than {most} steps")
 
 
 def ready(jobs: DataFrame, edges: DataFrame) -> DataFrame:
