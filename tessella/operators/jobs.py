@@ -59,8 +59,19 @@ def ready(jobs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def merged(base: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Base rows and those of incoming whose job_id is new."""
-    return base.unionByName(incoming.join(base.select("job_id"), "job_id", "left_anti"))
+    """Base rows and those of incoming whose job_id is new.
+
+    Where both have a fingerprint, a job that both have with different ones ends the query with an
+    error: its stored state would be that of another input.
+    """
+    fresh = incoming.join(base.select("job_id"), "job_id", "left_anti")
+    if "fingerprint" not in base.columns or "fingerprint" not in incoming.columns:
+        return base.unionByName(fresh)
+    known = base.select("job_id", F.struct("fingerprint").alias("known_job"))
+    differs = F.col("known_job").isNotNull() & ~F.col("known_job.fingerprint").eqNullSafe(F.col("fingerprint"))
+    error = F.raise_error(F.concat(F.lit("job with another fingerprint: "), F.col("job_id"))).cast("boolean")
+    fresh = incoming.join(known, "job_id", "left").filter(F.when(differs, error).otherwise(F.col("known_job").isNull()))
+    return base.unionByName(fresh.drop("known_job"))
 
 
 def conflicts(base: DataFrame, incoming: DataFrame) -> DataFrame:

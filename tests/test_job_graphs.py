@@ -1,4 +1,4 @@
-"""Layers and dependents of job graphs against plain ones."""
+"""Layers, dependents and merging of job tables against plain ones."""
 
 import pytest
 
@@ -30,3 +30,20 @@ def test_dependents_of_a_cycle_end(spark):
     _, edges = graph(spark, [(1, 0), (2, 1), (0, 2), (3, 2)], 4)
     got = jobs.transitive_dependents(edges, spark.createDataFrame([("j0",)], "root string")).collect()
     assert sorted(r["job_id"] for r in got) == ["j0", "j1", "j2", "j3"]
+
+
+def test_merging_keeps_known_jobs(spark):
+    schema = "job_id string, status string, fingerprint string"
+    base = spark.createDataFrame([("a", "DONE", "1"), ("b", "DONE", None)], schema)
+    more = spark.createDataFrame([("a", "PLANNED", "1"), ("b", "PLANNED", None), ("c", "PLANNED", "3")], schema)
+    assert sorted(map(tuple, jobs.merged(base, more).collect())) == [("a", "DONE", "1"), ("b", "DONE", None), ("c", "PLANNED", "3")]
+    assert jobs.conflicts(base, more).count() == 0
+
+
+@pytest.mark.parametrize("fingerprint", ["2", None])
+def test_merging_another_input_is_an_error(spark, fingerprint):
+    schema = "job_id string, status string, fingerprint string"
+    base, more = spark.createDataFrame([("a", "DONE", "1")], schema), spark.createDataFrame([("a", "PLANNED", fingerprint)], schema)
+    assert jobs.conflicts(base, more).count() == 1
+    with pytest.raises(Exception, match="another fingerprint"):
+        jobs.merged(base, more).collect()
