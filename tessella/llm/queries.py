@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import chat_format, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, pii_surrogates, source_mixing, token_counts, toxicity
+from tessella.llm import (
+    centroid_clusters,
+    chat_format,
+    embedding_dedup,
+    exact_dedup,
+    filter_audit,
+    language_id,
+    minhash_dedup,
+    packing,
+    piece_model,
+    pii_surrogates,
+    source_mixing,
+    token_counts,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -160,3 +174,80 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_pii_surrogates"] = op5_pii_surrogates
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES["op11_filter_audit"] = op11_filter_audit
+#: Filter by filter, in every order, over the rows counted by what they fail.
+ORACLE_SQL["op11_filter_audit"] = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+f AS (
+  SELECT part, [w.letter FOR w IN [
+           {'letter': 'A', 'fails': len(ws) < 200},
+           {'letter': 'B', 'fails': 100 * len(list_distinct(ws)) < 50 * len(ws)},
+           {'letter': 'C', 'fails': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text)},
+           {'letter': 'D', 'fails': regexp_matches(text, '[#$%&*|]')},
+           {'letter': 'E', 'fails': doc_id > min(doc_id) OVER (PARTITION BY text)}] IF w.fails] AS fails,
+         coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad
+  FROM t LEFT JOIN labels USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f GROUP BY part, fails),
+o(filter_order) AS (
+  SELECT '' UNION ALL SELECT filter_order || l FROM o, unnest(['A', 'B', 'C', 'D', 'E']) u(l) WHERE NOT contains(filter_order, l)),
+s AS (
+  SELECT part, filter_order, step, filter_order[step] AS letter, len(list_intersect(fails, string_split(filter_order[1:step - 1], ''))) > 0 AS gone,
+         list_contains(fails, filter_order[step]) AS here, fails, n, good, bad
+  FROM g, o, range(1, 6) r(step) WHERE length(filter_order) = 5),
+c AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT gone AND NOT here), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND here), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND here), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = [letter]), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND here), 0)::BIGINT AS good_lost,
+         coalesce(sum(bad) FILTER (NOT gone AND here), 0)::BIGINT AS toxic_lost
+  FROM s GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM c
+"""
+
+
+def op12_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_model.round_trip_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op12_piece_round_trip"] = op12_piece_round_trip
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.clusters(read(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql(rounds: int) -> str:
+    """Every round as two steps: all distances, then the floors of the means."""
+    out = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v AS m FROM e QUALIFY c < 40)"""
+    for i in range(rounds + 1):
+        out += f""",
+a{i} AS MATERIALIZED (
+  SELECT vec_id, v, min({{'d': list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m), 'c': c}}) AS best
+  FROM e, c{i} GROUP BY ALL)"""
+        if i < rounds:
+            out += f""",
+s{i} AS (SELECT best.c AS c, i, floor(sum(v[i]) / count(*)) AS x FROM a{i}, range(1, 65) r(i) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c AS c, coalesce(n.m, c{i}.m) AS m FROM c{i} LEFT JOIN (SELECT c, list(x ORDER BY i) AS m FROM s{i} GROUP BY c) n ON n.c = c{i}.c)"""
+    return f"""{out}
+SELECT vec_id, best.c::INT AS cluster, best.d::BIGINT AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(m, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} f ON f.c = best.c
+"""
+
+
+QUERIES["op13_centroid_clusters"] = op13_centroid_clusters
+ORACLE_SQL["op13_centroid_clusters"] = _clusters_sql(5)

@@ -46,6 +46,18 @@ def persist(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`persist` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    own = f"{shared_dir(spark)}/tessella/"
+    jvm = spark.sparkContext._jvm
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        if own.split(":", 1)[-1].lstrip("/") not in folder:
+            raise ValueError(f"{folder} is not a table of the shared folder")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a variation of it that no column of ``df`` has (names compare without case)."""
     taken = {c.lower() for c in df.columns}
