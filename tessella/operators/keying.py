@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import colors
+from tessella.operators import stencil
 
 BINS = 256
 
@@ -46,6 +47,32 @@ def key_stats(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(ratio.alias("background_ratio"), F.count_if("halo").alias("halo"), (~ratio.between(0.20, 0.98)).alias("suspicious"))
 
 
+def cut_out(px: DataFrame, limits: DataFrame, by: list[str], key: tuple[int, int, int], width: int | str, height: int | str) -> DataFrame:
+    """``px`` with distance, threshold, ground and a, cut out of its background: what is near the key
+    and connected with the border becomes 0, 0, 0, 0, all else opaque.
+
+    ``limits``: the key columns and threshold, found by :func:`otsu` or stored; images without one
+    are left out.  A hole in a figure keeps its colours, however near the key they are.
+    """
+    d = colors.distance(F.col("r"), F.col("g"), F.col("b"), key)
+    rows = px.join(limits.select(*by, "threshold"), by).withColumn("distance", d)
+    rows = stencil.grounded(rows.withColumn("under", F.col("distance") <= F.col("threshold")), by, "under", width, height)
+    dark = {c: F.when(F.col("ground"), 0).otherwise(F.col(c)).alias(c) for c in "rgb"}
+    a = F.when(F.col("ground"), 0).otherwise(255).alias("a")
+    return rows.select(*(dark.get(c, F.col(c)) for c in rows.columns if c != "a"), a)
+
+
+def cut_out_stats(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of images that were cut out: background_ratio, halo pixels (beyond the threshold, nearer than
+    200), whether the ratio is beyond 0.20 to 0.98, holes (near the key but not ground) and filled
+    (ground that was not near it)."""
+    ratio = F.avg(F.col("ground").cast("int"))
+    return rows.groupBy(*by).agg(
+        ratio.alias("background_ratio"), F.count_if((F.col("distance") > F.col("threshold")) & (F.col("distance") < 200)).alias("halo"),
+        (~ratio.between(0.20, 0.98)).alias("suspicious"), F.count_if(F.col("under") & ~F.col("ground")).alias("holes"), F.count_if(~F.col("under") & F.col("ground")).alias("filled"),
+    )
+
+
 def residue(px: DataFrame, by: list[str], key: tuple[int, int, int], tolerance: float = 90.0) -> DataFrame:
     """Share of opaque pixels (a > 0) within tolerance of the key."""
     d = colors.distance(F.col("r"), F.col("g"), F.col("b"), key)

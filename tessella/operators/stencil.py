@@ -63,10 +63,31 @@ def closed(mask: DataFrame, by: list[str], width: int, height: int) -> DataFrame
     return eroded(dilated(mask, by, width, height), by, width, height, 1, outside=True)
 
 
-def components(mask: DataFrame, by: list[str]) -> DataFrame:
+def _roots(place: np.ndarray, span: int) -> np.ndarray:
+    """For each of the sorted places (row by row, ``span`` to a row) the number of the first one that
+    it is four-connected with."""
+    low = np.arange(len(place))
+    links = []
+    for step in (1, span):
+        at = np.minimum(np.searchsorted(place, place + step), len(place) - 1)
+        hit = np.flatnonzero(place[at] == place + step)
+        links.append((hit, at[hit]))
+    a, b = (np.concatenate([link[k] for link in links]) for k in (0, 1))
+    while True:
+        before = low.copy()
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def components(mask: DataFrame, by: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """(x, y, component): four-connected components, numbered from 0 in the order of their first
-    pixel by row.  Images are independent of each other; each is one group."""
-    names = [*by, "x", "y"]
+    pixel by row.  Images are independent of each other; each is one group.  ``keep``: columns of
+    the mask that stay with its pixels."""
+    names = [*by, "x", "y", *keep]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mask.select(*names).schema) + ", component int"
 
     def label(table: pa.Table) -> pa.Table:
@@ -74,28 +95,50 @@ def components(mask: DataFrame, by: list[str]) -> DataFrame:
         order = np.lexsort((x, y))
         x, y = x[order], y[order]
         span = int(x.max()) - int(x.min()) + 2
-        place = (y - y.min()).astype(np.int64) * span + (x - x.min())
-        low = np.arange(len(place))
-        links = []
-        for step in (1, span):
-            at = np.minimum(np.searchsorted(place, place + step), len(place) - 1)
-            hit = np.flatnonzero(place[at] == place + step)
-            links.append((hit, at[hit]))
-        a, b = (np.concatenate([link[k] for link in links]) for k in (0, 1))
-        while True:
-            before = low.copy()
-            least = np.minimum(low[a], low[b])
-            np.minimum.at(low, a, least)
-            np.minimum.at(low, b, least)
-            low = low[low]
-            if (low == before).all():
-                break
+        low = _roots((y - y.min()).astype(np.int64) * span + (x - x.min()), span)
         number = np.unique(low, return_inverse=True)[1].astype(np.int32)
         return table.select(names).take(pa.array(order)).append_column("component", pa.array(number))
 
     return mask.select(*names).groupBy(*by).applyInArrow(label, schema)
 
 
+#: Width of the frame of set pixels that an image gets before its mask is cleaned.
+FRAME = 3
+
+
+def grounded(px: DataFrame, by: list[str], under: str, width: int | str, height: int | str) -> DataFrame:
+    """All rows of ``px`` with ``ground``: whether the pixel belongs to the mask ``under`` (a boolean
+    column) after opening and closing, and is connected there with the outside of the image.
+
+    What lies outside counts as set, so a mask keeps its outermost ring, and parts of it that a
+    figure encloses are not ground.  ``width`` and ``height`` are numbers or columns.  An image is
+    one group: its mask is reconstructed from the border by the components of the cleaned mask.
+    A null ``under`` is not in the mask; pixels without a row are not either.
+    """
+    size = lambda v: F.lit(v) if isinstance(v, int) else F.col(v)
+    rows = px.select("*", size(width).cast("int").alias("_w"), size(height).cast("int").alias("_h"), F.coalesce(F.col(under), F.lit(False)).alias("_under"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in px.schema) + ", ground boolean"
+    names = px.columns
+
+    def clean(table: pa.Table) -> pa.Table:
+        x, y, set_ = (table[c].to_numpy() for c in ("x", "y", "_under"))
+        grid = np.ones((table["_h"][0].as_py() + 2 * FRAME, table["_w"][0].as_py() + 2 * FRAME), bool)
+        grid[FRAME:-FRAME, FRAME:-FRAME] = False
+        grid[y + FRAME, x + FRAME] = set_
+        for grow in (False, True, True, False):
+            wide = np.pad(grid, 1, constant_values=True)
+            near = [wide[i : i + grid.shape[0], j : j + grid.shape[1]] for i in range(3) for j in range(3)]
+            grid = np.logical_or.reduce(near) if grow else np.logical_and.reduce(near)
+        at = np.flatnonzero(grid.ravel())
+        rows, cols = np.divmod(at, grid.shape[1])
+        low = _roots(rows * (grid.shape[1] + 1) + cols, grid.shape[1] + 1)
+        # The first place is a corner, and all of the border is connected with it.
+        grid.ravel()[at[low != 0]] = False
+        return table.select(names).append_column("ground", pa.array(grid[y + FRAME, x + FRAME]))
+
+    return rows.groupBy(*by).applyInArrow(clean, schema)
+
+
 def component_boxes(labelled: DataFrame, by: list[str]) -> DataFrame:
     """area and half-open box of each component."""
     return labelled.groupBy(*by, "component").agg(
