@@ -119,6 +119,15 @@ def quadrants(px: DataFrame, width: int, height: int) -> DataFrame:
     return rows.groupBy("tile_id", "corner").agg(F.array(*(F.array_sort(F.collect_list(f"v{i}")) for i in range(len(views)))).alias("marks"))
 
 
+def _quadrant_distance() -> Column:
+    """Distance of the marks of a quadrant to those of a base: the mean over the channels, or the worst projection."""
+    gap = lambda i: F.aggregate(F.zip_with(F.col("marks")[i], F.col("base")[i], lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda t, x: t + x)
+    size = F.size(F.col("marks")[0])
+    margin = (gap(0) + gap(1) + gap(2)) / (size * 18)
+    joint = F.greatest(*(gap(i) / (size * 6) for i in range(3, 13)))
+    return F.bround(F.greatest(margin, joint), 6)
+
+
 def terrain_corners(quads: DataFrame, bases: DataFrame, distance_max: float = TERRAIN_MAX) -> DataFrame:
     """(tile_id, corner, terrain, distance): the nearest base terrain of each corner, by name among
     equals; null beyond distance_max.  ``bases``: tile_id, terrain; more than 256 are an error."""
@@ -126,11 +135,7 @@ def terrain_corners(quads: DataFrame, bases: DataFrame, distance_max: float = TE
         raise ValueError("more than 256 base terrains")
     base = F.broadcast(bases)
     known = quads.join(base, "tile_id").select("corner", "terrain", F.col("marks").alias("base"))
-    gap = lambda i: F.aggregate(F.zip_with(F.col("marks")[i], F.col("base")[i], lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda t, x: t + x)
-    size = F.size(F.col("marks")[0])
-    margin = (gap(0) + gap(1) + gap(2)) / (size * 18)
-    joint = F.greatest(*(gap(i) / (size * 6) for i in range(3, 13)))
-    near = quads.join(F.broadcast(known), "corner").withColumn("distance", F.bround(F.greatest(margin, joint), 6))
+    near = quads.join(F.broadcast(known), "corner").withColumn("distance", _quadrant_distance())
     best = near.groupBy("tile_id", "corner").agg(F.min(F.struct("distance", "terrain")).alias("n"))
     return best.select("tile_id", "corner", F.when(F.col("n.distance") <= distance_max, F.col("n.terrain")).alias("terrain"), F.col("n.distance").alias("distance"))
 
