@@ -176,3 +176,31 @@ def signature(jobs: DataFrame) -> DataFrame:
     line = F.concat("job_id", F.lit("#"), "kind", F.lit("#"), F.col("frames").cast("string"), F.lit("#"), F.coalesce("derived_from", F.lit("")), mark)
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("job_id", line.alias("line")))), lambda x: x["line"]), "|")
     return jobs.groupBy("asset_id").agg(F.substring(F.sha2(lines, 256), 1, 16).alias("signature"))
+
+
+#: What may become of an asset of a pack, in the order in which it is reported.
+OUTCOMES = ["exported", "validation_failed", "provider_failed", "processing_failed", "paused", "skipped", "awaiting_approval", "outcome_missing"]
+FLAGS = ["cached", "resumed", "outcome_unknown"]
+
+
+def pack_counts(assets: DataFrame, by: str = "pack_id") -> DataFrame:
+    """For each pack total and a count of every outcome and flag, zeros included.
+
+    ``assets``: the pack, outcome, cached, resumed, outcome_unknown; null flags are not set.  An
+    outcome that is none of ``OUTCOMES`` is an error.
+    """
+    known = F.when(F.col("outcome").isin(OUTCOMES), F.col("outcome")).otherwise(F.raise_error(F.concat(F.lit("unknown outcome "), F.coalesce("outcome", F.lit("null")))))
+    rows = assets.withColumn("outcome", known)
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES), *(F.count_if(F.coalesce(f, F.lit(False))).alias(f) for f in FLAGS)
+    )
+
+
+def pack_plan(jobs: DataFrame, by: str = "pack_id") -> DataFrame:
+    """For each pack assets, total_jobs and the calls still to be paid for: of all jobs that are not
+    derived, of seeds and of animations.  ``jobs``: the pack, asset_id, kind, status."""
+    unpaid = F.col("status").isin(UNPAID)
+    return jobs.groupBy(by).agg(
+        F.count_distinct("asset_id").alias("assets"), F.count(F.lit(1)).alias("total_jobs"), F.count_if(unpaid & (F.col("kind") != "derived")).alias("estimated_api_calls"),
+        F.count_if(unpaid & (F.col("kind") == "seed")).alias("estimated_seed_api_calls"), F.count_if(unpaid & (F.col("kind") == "animation")).alias("estimated_animation_api_calls"),
+    )

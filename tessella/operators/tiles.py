@@ -251,3 +251,29 @@ def dangling(allowed: DataFrame, tiles: DataFrame) -> DataFrame:
     """(direction, tile_id, other): neighbours that an adjacency names and that are not tiles."""
     named = allowed.select("direction", "tile_id", F.explode("neighbours").alias("other"))
     return named.join(tiles.select(F.col("tile_id").alias("other")), "other", "left_anti").select("direction", "tile_id", "other")
+
+
+#: The corners of a tile in their order.
+CORNERS = ("top_left", "top_right", "bottom_left", "bottom_right")
+
+
+def peering_bits(corners: DataFrame, by: list[str]) -> DataFrame:
+    """For each tile whose four corners are known, its terrain and the number of every corner's terrain
+    among the names of its tileset: terrain, top_left, top_right, bottom_left, bottom_right, names.
+
+    ``corners``: the key columns of a tileset, tile_id, corner, terrain.  The tile's own terrain is the
+    commonest of its corners, the first of them among equals.  A tile with an unknown corner has
+    null numbers; its terrains do not count among the names.
+    """
+    one = corners.groupBy(*by, "tile_id").agg(*(F.max(F.when(F.col("corner") == c, F.col("terrain"))).alias(c) for c in CORNERS))
+    known = F.lit(True)
+    for c in CORNERS:
+        known &= F.col(c).isNotNull()
+    one = one.withColumn("all", F.when(known, F.array(*CORNERS)))
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("all"))))
+    listed = one.groupBy(*by).agg(names.alias("names"))
+    rows = one.join(listed, by)
+    number = lambda c: F.when(known, F.array_position("names", c) - 1).cast("int")
+    count = lambda c: F.size(F.filter("all", lambda o: o == c))
+    best = F.array_min(F.transform("all", lambda c, i: F.struct((-count(c)).alias("n"), i.alias("i"), c.alias("c"))))["c"]
+    return rows.select(*by, "tile_id", number(best).alias("terrain"), *(number(F.col(c)).alias(c) for c in CORNERS), "names")

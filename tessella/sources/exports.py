@@ -70,3 +70,46 @@ def representative_terrain(corners: F.Column) -> F.Column:
     count = lambda c: F.size(F.filter(corners, lambda o: o == c))
     scored = F.transform(corners, lambda c, i: F.struct((-count(c)).alias("n"), i.alias("i"), c.alias("c")))
     return F.array_min(scored)["c"]
+
+
+def _terrain_color(index: F.Column) -> F.Column:
+    """A colour for the number of a terrain: hues that follow the golden ratio, of one saturation and value."""
+    hue = (index * F.lit(0.6180339887498949)) % 1.0
+    value, saturation = 0.85, 0.55
+    sector = F.floor(hue * 6.0).cast("int")
+    part = hue * 6.0 - sector
+    low, fall, rise = F.lit(value * (1.0 - saturation)), (1.0 - part * saturation) * value, (1.0 - (1.0 - part) * saturation) * value
+    top = F.lit(value)
+    wheel = [(top, rise, low), (fall, top, low), (low, top, rise), (low, fall, top), (rise, low, top), (top, low, fall)]
+    pick = lambda k: F.coalesce(*(F.when(sector == i, w[k]) for i, w in enumerate(wheel)))
+    return F.format_string("Color(%.6f, %.6f, %.6f, 1)", pick(0), pick(1), pick(2))
+
+
+def tile_set(bits: DataFrame, places: DataFrame, by: list[str], texture: str, width: int, height: int) -> DataFrame:
+    """(the key columns, text, skipped): a tile set resource with terrain for each tileset, and the tiles
+    whose corners are not all known, which have none.
+
+    ``bits``: :func:`tiles.peering_bits`; ``places``: the key columns, tile_id, col, row in the atlas.
+    A tileset's tiles make one text, in the order of their places.
+    """
+    from tessella.operators.tiles import CORNERS
+
+    rows = places.join(bits, [*by, "tile_id"], "left")
+    cell = F.format_string("%d:%d/0", "col", "row")
+    lines = [F.concat(cell, F.lit(" = 0")), F.when(F.col("terrain").isNotNull(), F.concat(cell, F.lit("/terrain_set = 0"))), F.concat(cell, F.lit("/terrain = "), F.col("terrain").cast("string"))]
+    lines += [F.concat(cell, F.lit(f"/terrains_peering_bit/{c}_corner = "), F.col(c).cast("string")) for c in CORNERS]
+    block = F.concat_ws("\n", *lines)
+    one = rows.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("col", "row", block.alias("block")))).alias("cells"), F.max("names").alias("names"),
+        F.array_sort(F.collect_list(F.when(F.col("terrain").isNull(), F.col("tile_id")))).alias("skipped"),
+    )
+    body = F.array_join(F.transform("cells", lambda c: c["block"]), "\n")
+    named = F.transform("names", lambda n, i: F.concat(F.format_string('terrain_set_0/terrain_%d/name = "%s"\nterrain_set_0/terrain_%d/color = ', i, n, i), _terrain_color(i), F.lit("\n")))
+    terrain = F.when(F.size("names") > 0, F.concat(F.lit("terrain_set_0/mode = 1\n"), F.array_join(named, ""))).otherwise("")
+    text = F.concat(
+        F.format_string(
+            '[gd_resource type="TileSet" load_steps=3 format=3]\n\n[ext_resource type="Texture2D" path="%s" id="1_atlas"]\n\n[sub_resource type="TileSetAtlasSource" id="TileSetAtlasSource_000"]\n'
+            'texture = ExtResource("1_atlas")\ntexture_region_size = Vector2i(%d, %d)\n', F.lit(texture), F.lit(width), F.lit(height),
+        ), body, F.format_string("\n\n[resource]\ntile_size = Vector2i(%d, %d)\n", F.lit(width), F.lit(height)), terrain, F.lit('sources/0 = SubResource("TileSetAtlasSource_000")\n'),
+    )
+    return one.select(*by, text.alias("text"), "skipped")
