@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import pretokens
+from tessella.llm.arrow_groups import slices
 from tessella.llm.store import persist
 
 #: Hashed features, sampled rows for each language (those of smallest hash), shards and passes of
@@ -144,7 +145,7 @@ def _document_frequency(rows: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FEATURES + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 if (count := counts(text)) is not None:
                     total[count[0]] += 1
@@ -159,36 +160,46 @@ def _document_frequency(rows: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame) -> Model:
-    """A model from the texts and languages of rows that are not held out."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    frequency, n = _document_frequency(rows)
-    idf = np.log((1 + n) / (1 + frequency)) + 1
-    many = persist(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+def sampled(rows: DataFrame) -> tuple[list[str], DataFrame]:
+    """The languages of ``rows`` (doc_id, text, lang), and of each the SAMPLE documents of smallest hash:
+    doc_id, lang, place, text, shard, once each."""
+    # Documents, not rows: one that repeats counts once, up to a hundredth or two, for which there is room below.
+    many = persist(rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.01).alias("rows")), "languages")
     languages = sorted(row["lang"] for row in many.limit(LANGUAGES + 1).collect())
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     # Those of smallest hash: all that can be among them are about twice as many, whatever a language's size.
     u = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
     near = rows.select("doc_id", "lang", u.alias("u")).join(F.broadcast(many), "lang").filter(F.col("u") / float(1 << 63) * F.col("rows") < 2 * SAMPLE + 100)
+    near = near.select("doc_id", "lang", "u").distinct()
     order = Window.partitionBy("lang").orderBy("u", "doc_id")
     ids = persist(near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE), "sample-ids")
+    # SAMPLE ids a language at most.
+    sample = rows.join(F.broadcast(ids.select("doc_id", "lang", "place")), ["doc_id", "lang"])
+    # One text of each document: its repeats meet in the tasks that read them.
+    sample = sample.groupBy("doc_id", "lang", "place").agg(F.min("text").alias("text")).withColumn("shard", F.col("place") % (SHARDS * 5))
+    return languages, persist(sample, "sample")
+
+
+def fit(docs: DataFrame) -> Model:
+    """A model from the texts and languages of rows that are not held out."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    frequency, n = _document_frequency(rows)
+    idf = np.log((1 + n) / (1 + frequency)) + 1
+    languages, sample = sampled(rows)
     if not languages:
         return Model([], idf, np.zeros((FEATURES + 1, 0)), 1.0)
     number = {x: i for i, x in enumerate(languages)}
-    # SAMPLE ids a language at most.
-    sample = rows.join(F.broadcast(ids.select("doc_id", "lang", "place")), ["doc_id", "lang"]).withColumn("shard", F.col("place") % (SHARDS * 5))
-    sample = persist(sample, "sample")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[int, list] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text, lang, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "shard")), strict=True):
                 if (count := counts(text)) is not None:
                     shards.setdefault(shard % SHARDS, []).append((doc, *vector(*count, idf), number[lang]))
         for some in shards.values():
-            some.sort(key=lambda r: pretokens._mixed(np.array([r[0]], np.int64).view(np.uint64))[0])
+            some.sort(key=lambda r: (pretokens._mixed(np.array([r[0]], np.int64).view(np.uint64))[0], r[3]))
             w = train([r[1:] for r in some], len(languages))
             where = np.nonzero(w)
             columns = [pa.array(where[0]), pa.array(where[1]), pa.array(w[where] * len(some)), pa.array(np.full(len(where[0]), 0))]
@@ -213,7 +224,7 @@ def _temperature(sample: DataFrame, model: Model, number: dict[str, int]) -> flo
     """The temperature under which sampled rows that were not trained on are likeliest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             logits, own = [], []
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if (count := counts(text)) is not None:
@@ -234,14 +245,16 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text, lang).
 
     Rows whose crc32(doc_id) mod 4 is 2, and rows without a language or doc_id, are not learnt from.
-    Very long texts are read whole, and equal hashes are told apart by doc_id.  Null texts and texts without a letter are ``und`` with score 0, as is every text if nothing can
-    be learnt.  Repeated rows each give a row.  An empty table gives no rows.  Other columns are not
-    read.
+    A document that repeats is learnt from once for each language, by its least text, so at most SAMPLE
+    rows of a language are learnt from however often they come.  Very long texts are read whole, and
+    equal hashes are told apart by doc_id.  Null texts and texts without a letter are ``und`` with
+    score 0, as is every text if nothing can be learnt.  Repeated rows each give a row.  An empty
+    table gives no rows.  Other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [held.value.predict(text) for text in batch.column("text").to_pylist()]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.record_batch([batch.column("doc_id"), *columns], ["doc_id", "lang_pred", "score"])

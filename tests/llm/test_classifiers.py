@@ -124,3 +124,48 @@ def test_ngrams_of_a_text_in_spans(monkeypatch):
         monkeypatch.setattr(language_id, "SPAN", span)
         assert np.array_equal(whole, language_id.counts(text))
     assert language_id.counts("12 .") is None and language_id.counts(None) is None
+
+
+def test_a_document_that_repeats_is_learnt_from_once(spark):
+    rows = [(5, f"immer wieder {i % 3}", "de") for i in range(5000)] + [(i, "rari quam", "la") for i in range(10, 3000)] + [(5, "semper idem", "la")]
+    languages, sample = language_id.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = [(r["doc_id"], r["lang"], r["text"]) for r in sample.collect()]
+    assert languages == ["de", "la"] and len(got) == len(set(got)) == 1 + language_id.SAMPLE
+    assert (5, "de", "immer wieder 0") in got and sum(g[1] == "la" for g in got) == language_id.SAMPLE
+
+
+def plain_ftrl(rows, languages):
+    """One feature and one language at a time."""
+    z, n, w = {}, {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= language_id.L1:
+            return 0.0
+        sign = 1 if z[k] > 0 else -1
+        return -sign * (abs(z[k]) - language_id.L1) / ((language_id.BETA + n[k] ** 0.5) / language_id.ALPHA + language_id.L2)
+
+    for _ in range(language_id.PASSES):
+        for features, values, own in rows:
+            given = [*zip(features, values, strict=True), (language_id.FEATURES, 1.0)]
+            logits = [sum(v * weight((f, c)) for f, v in given) for c in range(languages)]
+            each = [np.exp(x - max(logits)) for x in logits]
+            for c in range(languages):
+                error = each[c] / sum(each) - (c == own)
+                for f, v in given:
+                    g, k = error * v, (f, c)
+                    before = n.get(k, 0.0)
+                    w[k] = weight(k)
+                    z[k] = z.get(k, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / language_id.ALPHA * w[k]
+                    n[k] = before + g * g
+    return {k: weight(k) for k in z}
+
+
+def test_weights_of_a_plain_learner():
+    r = random.Random(4)
+    rows = []
+    for _ in range(60):
+        own = r.randrange(3)
+        features = np.array(sorted(r.sample(range(own * 20, own * 20 + 30), 6)))
+        rows.append((features, np.array([r.random() for _ in features]), own))
+    got, want = language_id.train(rows, 3), plain_ftrl(rows, 3)
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and np.count_nonzero(got) == sum(v != 0 for v in want.values())
