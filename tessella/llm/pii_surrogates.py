@@ -16,21 +16,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import persist
+from tessella.llm.store import looked_up, persist
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d|\w)"
+#: Eight groups, or fewer around one ``::``; a digit somewhere, so that no word is taken for one.
+IP6 = r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?|1[ .-])?(?:\(\d{2,4}\)|(?<=[ .-])\d{2,4}|\d{3})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])"
-SECRET = r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}\x22?[A-Za-z0-9+/_.=-]{7,}[A-Za-z0-9+/_=-])"
+#: International numbers of 7 to 15 digits in any groups, and national ones after a 0 in two groups at least.
+WORLD = r"(?<![\w+])\+\d{1,3}(?:[ ./-]?\(?\d{1,12}\)?){1,6}(?![\w-])"
+TRUNK = r"(?<![\w.+-])\(?0\d{2,4}\)?[ /-]\d{3,8}(?:[ -]\d{2,6}){0,3}(?![\w-])"
+SECRET = r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}\x22?[^\s\x22<>]{7,}[^\s\x22<>.,;:)])"
 TITLES_M = "Mr|Herr|Herrn|Señor|Monsieur|Sir|г-н|Κύριος"
 TITLES_F = "Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mademoiselle|г-жа|Κυρία"
 #: A name's word without a genitive's 's; repeats of it are possessive, which Java matches without recursion.
 WORD = r"\p{Lu}[\p{L}\p{M}'’-]*[\p{L}\p{M}](?<!['’]s)(?![\p{L}\p{M}])"
 PART = rf"(?:\p{{Lu}}\.(?= \p{{Lu}})|{WORD})"
-NAME = rf"(?<!\p{{L}})(?:{TITLES_M}|{TITLES_F}|Dr|Prof)\.? {PART}(?: {PART})*+"
-PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IP, SSN, CARD, PHONE, NAME))
+TITLE = rf"(?:{TITLES_M}|{TITLES_F}|Dr|Prof)\.? "
+NAME = rf"(?<!\p{{L}})(?:{TITLE})++{PART}(?: {PART})*+"
+PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IP, IP6, SSN, CARD, PHONE, WORLD, TRUNK, NAME))
 
 #: Given names by script and gender, and syllables of family names by script.
 GIVEN = {
@@ -57,10 +63,10 @@ def kind(value: Column) -> Column:
     """What an entity is; null for what only looks like one."""
     digits = F.regexp_replace(value, r"\D", "")
     return (
-        F.when(value.contains("@"), "email")
-        .when(value.rlike(rf"^(?:{SECRET})$"), "secret")
+        F.when(value.rlike(rf"^(?:{SECRET})$"), "secret")
+        .when(value.contains("@"), "email")
+        .when(value.rlike(rf"^(?:\d+\.\d+\.\d+\.\d+|{IP6})$"), "ip")
         .when(value.rlike(r"^\p{L}"), "name")
-        .when(value.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(value.rlike(r"^\d(?:[ -]?\d){12,18}$"), F.when(luhn(digits) == 0, "card"))
         .when((F.length(digits) >= 7) & (F.length(digits) <= 15), "phone")
@@ -79,7 +85,8 @@ def luhn(digits: Column) -> Column:
 
 
 def _title(value: Column) -> Column:
-    return F.regexp_extract(value, r"^(\p{L}+(?:-\p{L}+)?\.? )", 1)
+    """All titles before a name."""
+    return F.regexp_extract(value, rf"^((?:{TITLE})+)", 1)
 
 
 def _name_words(value: Column) -> Column:
@@ -87,8 +94,9 @@ def _name_words(value: Column) -> Column:
 
 
 def _gender(value: Column) -> Column:
-    title = F.regexp_replace(_title(value), r"[. ]+$", "")
-    return F.when(title.isin(TITLES_M.split("|")), "m").when(title.isin(TITLES_F.split("|")), "f").otherwise("x")
+    title = _title(value)
+    has = lambda titles: title.rlike(rf"(?:^| )(?:{titles})\.? ")
+    return F.when(has(TITLES_M), "m").when(has(TITLES_F), "f").otherwise("x")
 
 
 def _script(word: Column) -> Column:
@@ -115,7 +123,7 @@ def units(value: Column, of: Column) -> Column:
     return (
         F.when(of == "name", F.transform(words, word))
         .when(of == "email", one(F.lower(value)))
-        .when(of == "ip", one(value))
+        .when(of == "ip", one(F.lower(value)))
         .when(of == "secret", one(_secret(value)))
         .when(of == "phone", one(_national(digits)))
         .otherwise(one(digits))
@@ -174,13 +182,16 @@ def drawn(units: DataFrame, attempt: int, key: str) -> DataFrame:
     digits = F.array_join(F.transform(more, lambda x: (x % 10).cast("string")), "")
     local, n = F.substring_index(canon, "@", 1), F.length(canon)
     email = F.concat(_like(local, seed), letters, F.lit("@mail"), (b(60) % 10).cast("string"), F.lit(".example."), F.element_at(_lit(["com", "org", "net"]), b(61) % 3 + 1))
+    # 2001:db8::/32 is for documentation.
+    hexes = F.array_join(F.transform(F.sequence(F.lit(5), F.lit(10)), lambda i: F.lower(F.hex(F.element_at("bytes", i) * 256 + F.element_at("bytes", i + 6)))), ":")
+    ip6 = F.concat(F.lit("2001:db8:"), hexes)
     ip = F.concat_ws(".", (240 + b(1) % 16).cast("string"), b(2).cast("string"), b(3).cast("string"), b(4).cast("string"), *([digits] if wider else []))
     # 0 is the first digit of no area or group, so that these numbers are nobody's.
     ssn = F.concat(F.lit("9"), F.substring(like, 2, 20), digits)
     body = F.concat(F.substring(canon, 1, 1), F.substr(like, F.lit(2), n - 2), digits)
     card = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
     # The country code of a long number stays.
-    phone = F.when(n > 10, F.concat(F.substr(canon, F.lit(1), n - 10), F.substr(like, n - 9, F.lit(10)), digits)).otherwise(F.concat(like, digits))
+    phone = F.when(canon.startswith("0"), F.concat(F.lit("0"), F.substring(like, 2, 20), digits)).when(n > 10, F.concat(F.substr(canon, F.lit(1), n - 10), F.substr(like, n - 9, F.lit(10)), digits)).otherwise(F.concat(like, digits))
     # Names: words of the script and, for given ones, the gender; two where the original has two parts.
     of_script = lambda make: F.when(_script(canon) == "cyrillic", make("cyrillic")).when(_script(canon) == "greek", make("greek")).otherwise(make("latin"))
     syllables = of_script(lambda s: _lit(SYLLABLES[s]))
@@ -190,7 +201,7 @@ def drawn(units: DataFrame, attempt: int, key: str) -> DataFrame:
     # Syllables keep units apart when there are more of them than names.
     name = F.concat(name(1), F.when(canon.contains("-"), F.concat(F.lit("-"), name(30))).otherwise(""), spoken(more))
     surrogate = (
-        F.when(of == "email", email).when(of == "ip", ip).when(of == "ssn", ssn).when(of == "card", card).when(of == "phone", phone)
+        F.when(of == "email", email).when((of == "ip") & canon.contains(":"), ip6).when(of == "ip", ip).when(of == "ssn", ssn).when(of == "card", card).when(of == "phone", phone)
         .when(of == "name", name).when(of == "initial", like).otherwise(F.concat(like, letters))
     )
     return rows.withColumn("surrogate", surrogate).drop("seed", "bytes")
@@ -273,11 +284,13 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text, n_entities, kinds of every row of ``docs`` (doc_id, text), personal data replaced.
 
     ``key`` is the secret that surrogates are drawn with: equal keys give equal surrogates.  Found
-    are e-mail addresses, telephone and social security numbers, cards with a valid check digit,
-    IPv4 addresses, secrets (keys, passwords, tokens) and names after a title, whose words are
-    replaced in the rest of the row too (n_entities does not count those).  kinds holds the kinds
-    found, sorted.  E-mail surrogates are in example domains and IPv4 ones in the reserved
-    block 240.0.0.0/4, so neither reaches anybody.
+    are e-mail addresses, telephone numbers (North American ones, international ones after a + and
+    national ones after a 0) and social security numbers, cards with a valid check digit, IPv4 and
+    IPv6 addresses, secrets (keys, passwords, tokens) and names after one or more titles, whose words
+    are replaced in the rest of the row too (n_entities does not count those).  kinds holds the kinds
+    found, sorted.  E-mail surrogates are in example domains, IPv4 ones in the reserved
+    block 240.0.0.0/4 and IPv6 ones in 2001:db8::/32, so none reaches anybody.  Spellings of one IPv6
+    address with and without ``::`` are two units, as are a number with and without its country code.
 
     A word of a name has one surrogate in the whole corpus.  It is a given name if others follow it
     anywhere; its gender is that which most of the different titled names with it have.
@@ -309,7 +322,11 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     written = written.withColumn("words", F.when(F.col("kind") == "name", names))
     written = persist(written.select("value", "kind", _written(F.col("value"), F.col("kind"), F.col("drawn.surrogate")).alias("new"), "words"), "written")
 
-    mentions = found.select("row", F.posexplode("found").alias("place", "value")).join(written, "value", "left")
+    each = persist(found.select("row", F.posexplode("found").alias("place", "value")), "each")
+    often = each.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    # An entity that many rows mention finds its replacement in a broadcast.
+    table = persist(often.join(written, "value", "left"), "often")
+    mentions = looked_up(each, table, ["value"], "n", "left")
     mentions = mentions.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("place", F.coalesce("new", "value").alias("new")))).alias("m"),
         F.count("kind").alias("n"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"),

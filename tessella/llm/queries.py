@@ -170,7 +170,8 @@ QUERIES["op10_source_mixing"] = op10_source_mixing
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_surrogates.replace(read(spark, sf_dir, "documents"), key="op5")
+    # Surrogates are only as secret as their key: a job sets its own.
+    return pii_surrogates.replace(read(spark, sf_dir, "documents"), key=spark.conf.get("tessella.pii.key", "op5"))
 
 
 QUERIES["op5_pii_surrogates"] = op5_pii_surrogates
