@@ -16,6 +16,8 @@ from tessella.llm.store import is_scan, persist
 
 #: Successive parts of the mixture whose sequences are packed by themselves.
 STRETCHES = 16
+#: Code points of a source that the mixture places together.
+BLOCK = source_mixing.BLOCK
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,19 +38,24 @@ def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in files that follow one another in the order in which sources are mixed to their
-    target weights; null sources are a source."""
-    return source_mixing.mixed_documents(docs)
+    target weights; null sources are a source.
+
+    The number of files is asked for, so that it does not depend on what adaptive execution makes of
+    small tables: the next stage finds its stretches in them.
+    """
+    files = max(STRETCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return source_mixing.mixed_documents(docs, partitions=files, block=BLOCK)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences, numbered in the order of the mixture.
 
     The files of ``docs`` follow one another as the mixture does; each sixteenth of them is packed by
-    itself, so every sixteenth of the sequences has the target weights.  Null texts are empty ones.
+    itself, so every sixteenth of the sequences has the target weights.  What is not a table of files
+    is written first, in the order of its partitions.  Null texts are empty ones.
     """
     path = public_tokenizers.path("byte_bpe_50k.json")
-    if not is_scan(docs):
-        return packing.pack(docs, path)
+    docs = docs if is_scan(docs) else persist(docs, "mixed")
     number = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("int"), F.lit(0))
     files = (docs.agg(F.max(number)).first()[0] or 0) + 1
     return packing.pack(docs, path, stretch=F.floor(number * STRETCHES / files))

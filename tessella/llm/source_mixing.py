@@ -154,14 +154,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     )
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, partitions: int | None = None) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, partitions: int | None = None, block: int = BLOCK) -> DataFrame:
     """All rows of ``docs`` in the order of the mixture: sorted partitions of successive slots.
 
+    ``partitions``: how many; without it adaptive execution decides.
+
     Every row is kept, repeated ones, null and empty texts, and null sources and doc_ids included; a
     very long text stands where its first block does.  An empty table gives no rows.
     """
     keyed, key = with_row_key(docs)
-    placed = mix(keyed, weights, row_key=key)
+    placed = mix(keyed, weights, block, row_key=key)
     slot, place = free_name(docs, "slot"), free_name(docs, "place")
     placed = placed.select(key, F.col("slot").alias(slot), F.col("place").alias(place))
     joined = keyed.join(placed, key)

@@ -1,7 +1,10 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tessella.llm import store
+from tessella.llm import source_mixing, store
 
 
 def test_stages_over_a_small_corpus(spark, tmp_path):
@@ -34,3 +37,33 @@ def test_stages_over_a_small_corpus(spark, tmp_path):
     assert sorted(set(kept["best_fit_packing"])) == kept["minhash_dedup"]
     whole = corpus_pipeline.run(spark, path).collect()
     assert sorted(x["doc_id"] for x in whole) == kept["best_fit_packing"]
+
+
+@pytest.mark.parametrize("written", [True, False])
+def test_every_stretch_of_the_sequences_has_the_target_weights(spark, tmp_path, monkeypatch, written):
+    """Sources in one lump each, by far unequal: after mixing and packing, each prefix of stretches has
+    the tempered shares of every source, within a few blocks; and the files are as many as asked for."""
+    monkeypatch.setattr(corpus_pipeline, "BLOCK", 400)
+    r = random.Random(3)
+    sizes = {"a": 900, "b": 300, "c": 300, "d": 100}
+    rows, n = [], 0
+    for source, count in sizes.items():
+        for _ in range(count):
+            rows.append((n, "".join(r.choices("abcdefgh ", k=r.randint(20, 180))), "en", source, 0))
+            n += 1
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    docs = spark.read.parquet(path)
+    mixed = corpus_pipeline.mixed(spark, docs, "")
+    if written:
+        mixed = store.persist(mixed, "mixed")
+        assert mixed.select(F.input_file_name()).distinct().count() >= corpus_pipeline.STRETCHES - 1
+    packed = {x["doc_id"]: x["sequence_id"] for x in corpus_pipeline.packed(spark, mixed, "").filter("piece = 0").collect()}
+    assert len(packed) == len(rows)
+    mass = {s: sum(len(x[1]) for x in rows if x[3] == s) for s in sizes}
+    weight = {s: m**source_mixing.TEMPER for s, m in mass.items()}
+    last = max(packed.values()) + 1
+    for part in range(1, 9):  # While all sources last.
+        have = {s: sum(len(x[1]) for x in rows if x[3] == s and packed[x[0]] < last * part / 16) for s in sizes}
+        for s in sizes:
+            assert abs(have[s] - weight[s] / sum(weight.values()) * sum(have.values())) < 0.03 * sum(mass.values()), (part, s, have)
