@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +10,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def give_back() -> None:
+    """Return freed memory to the system.  Workers live on between tasks, and would keep what the
+    largest batch of any of them took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # Not this C library.
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("text",), rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows and, in the columns ``by``, bytes at most (or one row):
-    what a task makes of texts is held for one part only."""
+    what a task makes of texts is held for one part only, and given back at the task's end."""
     for batch in batches:
         upto = np.zeros(batch.num_rows + 1, np.int64)
         for c in by:
@@ -21,6 +32,8 @@ def slices(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("text",), r
             to = max(at + 1, min(at + rows, int(np.searchsorted(upto, upto[at] + size, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
+        del batch, upto
+    give_back()
 
 
 def runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -47,6 +60,8 @@ def runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.
             held = [part]
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    give_back()
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
