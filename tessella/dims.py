@@ -135,3 +135,10 @@ def checks(spark: SparkSession) -> DataFrame:
 
 def transitions(spark: SparkSession) -> DataFrame:
     return table(spark, TRANSITIONS, "status string, event string, next string")
+
+#: What is taken for a secret in a text, and what of it stays.
+REDACTIONS = [
+    (r"\bsk-[A-Za-z0-9_\-]{8,}", ""),
+    (r"(?i)\bbearer\s+[A-Za-z0-9._\-]{8,}", ""),
+    (r"""(?i)(api[_-]?key\s*[=:]\s*)[^\s,;"']{8,}""", "$1"),
+]

@@ -56,9 +56,7 @@ def asymmetric(text: Column) -> Column:
 
 def redacted(text: Column) -> Column:
     """A text without keys and tokens."""
-    text = F.regexp_replace(text, r"\bsk-[A-Za-z0-9_\-]{8,}", HIDDEN)
-    text = F.regexp_replace(text, r"(?i)\bbearer\s+[A-Za-z0-9._\-]{8,}", HIDDEN)
-    return F.regexp_replace(text, r"""(?i)(api[_-]?key\s*[=:]\s*)[^\s,;"']{8,}""", "$1" + HIDDEN)
+    return reduce(lambda t, x: F.regexp_replace(t, x[0], x[1] + HIDDEN), dims.REDACTIONS, text)
 
 
 def without(text: Column, secrets: list[str]) -> Column:

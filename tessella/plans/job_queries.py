@@ -40,10 +40,16 @@ def asymmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.descriptions(spark, sf_dir).select("p_partkey", F.array_join(rules.asymmetric(F.col("text")), ",").alias("things"))
 
 
+def _redacted(text: str) -> str:
+    for pattern, kept in dims.REDACTIONS:
+        quoted, kept = pattern.replace("'", "''"), kept.replace("$", "\\")
+        text = f"regexp_replace({text}, '{quoted}', '{kept}***REDACTED***', 'g')"
+    return text
+
+
 @query(
     "WITH s AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'call Bearer ' || md5(c_name) WHEN 1 THEN 'api_key=' || md5(c_name) WHEN 2 THEN 'sk-' || md5(c_name) ELSE c_name END AS text FROM customer) "
-    "SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(text, '\\bsk-[A-Za-z0-9_\\-]{8,}', '***REDACTED***', 'g'), '(?i)\\bbearer\\s+[A-Za-z0-9._\\-]{8,}', '***REDACTED***', 'g'), "
-    "'(?i)(api[_-]?key\\s*[=:]\\s*)[^\\s,;\"'']{8,}', '\\1***REDACTED***', 'g') AS text FROM s"
+    f"SELECT c_custkey, {_redacted('text')} AS text FROM s"
 )
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.secrets(spark, sf_dir).select("c_custkey", rules.redacted(F.col("text")).alias("text"))

@@ -20,6 +20,7 @@ def fold(events: DataFrame, delay: str = "1 day") -> DataFrame:
     ``delay`` of event time are dropped.
     """
     table = {(s, e): n for s, e, n in dims.TRANSITIONS}
+    kept_for = int(pd.Timedelta(delay).total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,7 +42,7 @@ def fold(events: DataFrame, delay: str = "1 day") -> DataFrame:
                 attempts = 0
             rounds += event == "PLAN_REPAIR"
         state.update((status, attempts, rounds, illegal, last))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1) + 86_400_000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1) + kept_for)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "rounds": [rounds], "illegal": [illegal], "last": [last]})
 
     out = "job_id string, status string, attempts int, rounds int, illegal int, last long"
