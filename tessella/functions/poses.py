@@ -59,3 +59,35 @@ def grown_size(w: Column, h: Column, wanted: Column, canvas: Column) -> Column:
     scale = wanted / F.when(h > 0, h)
     ok = (h > 0) & (w > 0) & (F.greatest(w, h) * scale <= MOST_GROWTH * canvas)
     return F.when(ok, F.struct(F.greatest(F.lit(1), half_even(w * scale)).alias("w"), F.greatest(F.lit(1), half_even(h * scale)).alias("h")))
+
+
+def frame_order(keyframes: Column, frames: Column, loop: Column) -> Column:
+    """array<string>: the frames of a sequence in order, key:i for the i-th keyframe and gap:i:j for the
+    j-th in-between after it.
+
+    A loop has a gap after every keyframe, other sequences none after the last; what is left over
+    goes to the first gaps.  Fewer frames than keyframes leave no gaps filled.
+    """
+    gaps, more = F.when(loop, keyframes).otherwise(keyframes - 1), F.greatest(frames - keyframes, F.lit(0))
+
+    def after(i: Column) -> Column:
+        n = F.when(i < gaps, F.floor(more / F.greatest(gaps, F.lit(1))).cast("int") + (i < more % F.greatest(gaps, F.lit(1))).cast("int")).otherwise(0)
+        filled = F.transform(F.sequence(F.lit(1), n), lambda j: F.format_string("gap:%d:%d", i, j - 1))
+        return F.concat(F.array(F.format_string("key:%d", i)), F.when(n > 0, filled).otherwise(F.array().cast("array<string>")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), keyframes - 1), after))
+
+
+#: Sizes that images are made at, the largest that is suggested, and the share of its
+#: native height below which a figure loses detail.
+SIZES, MOST_SUGGESTED, ENOUGH = (16, 24, 32, 48, 64, 96, 128), 96, 0.85
+
+
+def lost_detail(native: Column, target: Column) -> Column:
+    """Share of a figure's native height that a target drops; null where it drops little, or without heights."""
+    return F.when((native > 0) & (target > 0) & (target < native * ENOUGH), F.lit(1) - target / native)
+
+
+def suggested_size(native: Column) -> Column:
+    """The least size that holds a native height, within what is suggested."""
+    return F.least(F.lit(MOST_SUGGESTED), F.coalesce(*(F.when(native <= s, s) for s in SIZES), F.lit(SIZES[-1])))

@@ -115,3 +115,9 @@ def nearest_resize(px: DataFrame, width: int, height: int, new_width: int, new_h
     rest = [c for c in px.columns if c not in ("x", "y", "r", "g", "b")]
     rows = px.select(*rest, *dark, F.explode(covered("x", width, new_width)).alias("x"), covered("y", height, new_height).alias("ys"))
     return rows.select(*[c for c in rows.columns if c != "ys"], F.explode("ys").alias("y"))
+
+
+def introduced(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """(r, g, b): colours of opaque pixels after a step that no opaque pixel of the group had before."""
+    seen = lambda px: px.filter("a > 0").select(*by, "r", "g", "b").distinct()
+    return seen(after).join(seen(before), [*by, "r", "g", "b"], "left_anti")

@@ -50,6 +50,16 @@ def scaled(actions: DataFrame, found: DataFrame, by: list[str], canvas: tuple[in
     return rows.withColumn("uneven", F.coalesce((F.col("scale") > 1) & (F.abs(F.col("scale") - F.bround("scale")) > 1e-6), F.lit(False)))
 
 
+def warnings(scaled_actions: DataFrame, by: list[str], canvas_height: int) -> DataFrame:
+    """What is worth saying of actions from :func:`scaled`: overrun (the share by which an action had to
+    be shrunk to stay on the canvas), lost (the share of its height that the canvas drops) and
+    suggested (a size that would hold it); null where there is nothing to say."""
+    wanted = F.when(F.col("content_height") > 0, F.col("target_height") / F.col("content_height"))
+    overrun = F.when(F.col("scale") < wanted - 1e-6, 1 - F.col("scale") / wanted)
+    lost = poses.lost_detail(F.col("content_height"), F.lit(canvas_height))
+    return scaled_actions.select(*by, "action", overrun.alias("overrun"), lost.alias("lost"), F.when(lost.isNotNull(), poses.suggested_size(F.col("content_height"))).alias("suggested"))
+
+
 def shared_palettes(px: DataFrame, by: list[str], colors_max: int) -> DataFrame:
     """entry, r, g, b: the colours that the frames of all measured actions of an asset share.
 

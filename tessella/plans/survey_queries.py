@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import drift, jobs, masks, overview, survey, tiles
+from tessella.functions import poses
+from tessella.operators import drift, jobs, masks, overview, palette, survey, tiles
 from tessella.plans import bindings as b
-from tessella.plans.drift_queries import DECLARED, _declare, CORNERS, _quads
-from tessella.plans.frame_queries import FRAME, METRICS
+from tessella.plans.drift_queries import CORNERS, DECLARED, _declare, _quads
+from tessella.plans.frame_queries import BLOCKS, FRAME, METRICS
 from tessella.plans.registry import query
 from tessella.plans.tile_queries import _VIEWS
 
@@ -136,3 +137,37 @@ def pack_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "O", "PLANNED").when(F.col("o_orderstatus") == "P", "GENERATING").otherwise("COMPLETED")
     rows = b.read(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 100).alias("pack_id"), F.col("o_custkey").alias("asset_id"), F.when(k == 0, "seed").when(k == 1, "derived").otherwise("animation").alias("kind"), status.alias("status"))
     return jobs.pack_plan(rows)
+
+
+@query(
+    f"WITH {ACT}, sc AS (SELECT key, action, h, w, CASE WHEN reference IS NULL THEN 32.0 ELSE canvas_fraction * (h / 8 / subject_ratio) * 32 END AS t FROM ac LEFT JOIN pf USING (key)), "
+    "s2 AS (SELECT *, least(t / h, 32 / w, 32 / h) AS scale FROM sc) SELECT key, action, round(CASE WHEN scale < t / h - 1e-6 THEN 1 - scale / (t / h) END, 6) AS overrun, "
+    "round(CASE WHEN 6 < h * 0.85 THEN 1 - 6 / h END, 6) AS lost, CASE WHEN 6 < h * 0.85 THEN 16 END AS suggested FROM s2"
+)
+def survey_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions that had to be shrunk, and those that a canvas of six pixels would spoil."""
+    rows = actions(spark, sf_dir)
+    out = survey.scaled(rows, survey.profiles(rows, ["key"], CANVAS[1]), ["key"], CANVAS)
+    found = survey.warnings(out, ["key"], 6)
+    return found.select("key", "action", F.round("overrun", 6).alias("overrun"), F.round("lost", 6).alias("lost"), "suggested")
+
+
+@query(f"WITH {b.RGBA}, {BLOCKS} SELECT DISTINCT vec_id, r, g, b FROM bl WHERE opaque AND (vec_id, r, g, b) NOT IN (SELECT (vec_id, r, g, b) FROM px WHERE a > 0)")
+def introduced_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours that halving an image by medians brings in."""
+    px = b.rgba4(spark, sf_dir)
+    half = palette.block_medians(px, ["vec_id"], 4, 4, 2, 2).withColumn("a", F.when(F.col("opaque"), 255).otherwise(0))
+    return palette.introduced(px, half, ["vec_id"])
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey, (o_orderkey % 7 + 1)::INT AS k, (o_orderkey % 7 + 1 + o_custkey % 14 - 2)::INT AS n, o_orderkey % 2 = 0 AS loop FROM orders), "
+    "g AS (SELECT *, CASE WHEN loop THEN k ELSE k - 1 END AS gaps, greatest(n - k, 0) AS more FROM o), "
+    "f AS (SELECT o_orderkey, i, -1 AS j, 'key:' || i AS name FROM g, range(8) t(i) WHERE i < k UNION ALL SELECT o_orderkey, i, j, 'gap:' || i || ':' || j FROM g, range(8) t(i), range(16) u(j) WHERE i < gaps AND j < more // gaps + (i < more % gaps)::INT) "
+    "SELECT o_orderkey, string_agg(name, ',' ORDER BY i, j) AS frames FROM f GROUP BY o_orderkey"
+)
+def frame_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of keyframes and in-betweens of a sequence for every order."""
+    k = (F.col("o_orderkey") % 7 + 1).cast("int")
+    order = poses.frame_order(k, (k + F.col("o_custkey") % 14 - 2).cast("int"), F.col("o_orderkey") % 2 == 0)
+    return b.read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(order, ",").alias("frames"))
