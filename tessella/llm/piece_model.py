@@ -101,8 +101,10 @@ class PieceModel:
         self.rank = {piece: ranks[model.get_score(i)] for piece, i in self.number.items()}
         self.byte = [names.index(f"<0x{b:02X}>") for b in range(256)]
         # Characters of pieces are symbols, be they pieces or not.
+        self.alphabet = {c for piece in self.number for c in piece}
+        self.outside = re.compile("([^" + re.escape("".join(sorted(self.alphabet))) + "])", re.DOTALL)
         self.automaton = ahocorasick.Automaton()
-        for token in {*self.number, *(c for piece in self.number for c in piece)}:
+        for token in {*self.number, *self.alphabet}:
             self.automaton.add_word(token, token)
         self.automaton.make_automaton()
         crossed = any(SPACE == b != a for piece in self.number for a, b in pairwise(piece))
@@ -138,20 +140,19 @@ class PieceModel:
 
     def last_tokens(self, word: str) -> list[str]:
         """The last token of each prefix of a word, shortest prefix first."""
-        last = [""] * (len(word) + 1)
-        matches = self.automaton.iter(word)
-        upto, token = next(matches, (len(word), ""))
-        for end in range(len(word)):
-            # A character of no piece stands for itself.
-            if upto > end:
-                last[end + 1] = word[end]
-                continue
-            while upto == end:
-                if not last[end + 1] and self.meet(last[end + 1 - len(token)], token):
-                    last[end + 1] = token
-                upto, token = next(matches, (len(word), ""))
-            if not last[end + 1]:
-                raise ValueError(f"no last token for a prefix of {word[: end + 1][-40:]!r}")
+        if not self.alphabet.issuperset(word):
+            # A character of no piece stands for itself, and the words around it for themselves.
+            parts = self.outside.split(word)
+            return ["", *(t for part in parts if part for t in ([part] if self.outside.fullmatch(part) else self.last_tokens(part)[1:]))]
+        last, met = [""] * (len(word) + 1), self.met
+        for upto, token in self.automaton.iter(word):
+            if not last[upto + 1]:
+                before = last[upto + 1 - len(token)]
+                fits = met.get((before, token))
+                if fits or (fits is None and self.meet(before, token)):
+                    last[upto + 1] = token
+        if "" in last[1:]:
+            raise ValueError(f"no last token for a prefix of {word[:40]!r}")
         return last
 
     def word_ids(self, word: str) -> list[int]:
