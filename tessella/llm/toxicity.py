@@ -2,9 +2,12 @@
 
 Terms are all words of the examples, a bounded sample of labelled rows, and the words and beginnings
 of words that mark toxic texts.  A term's weight is its inverse document frequency, counted over all documents (the
-logarithm of the odds against having it); terms that do not tell toxic texts from others beyond chance weigh a tenth of that, so that what a text is
-about does not drown what it is called.  The examples stand in an inverted index in blocks of like
-ones, each posting list with the largest weight of each block.  A query adds these up to a bound for
+logarithm of the odds against having it); terms that do not tell toxic texts from others beyond
+chance weigh a part of that, so that what a text is about does not drown what it is called.  How large
+that part is, and whether repeated terms count by their logarithm or by their number, is taken from
+a few fixed WEIGHTINGS by the loss of the examples' own scores, each judged without itself.  The
+examples stand in an inverted index in blocks of like ones, each posting list with the largest
+weight of each block.  A query adds these up to a bound for
 every block, goes through the blocks of the highest bounds, and then through all that can still beat
 the k-th best cosine found there, which gives the exact k nearest.  Their votes, weighted by
 nearness against a prior, are calibrated on the sample, each example judged without itself.
@@ -31,8 +34,10 @@ from tessella.llm.store import persist
 #: Labelled rows (those of smallest hash) that tell which terms mark toxic texts, and examples among
 #: them, at most.
 SAMPLE, EXAMPLES = 4000, 2000
-#: Weight of a term that marks nothing, against one that does.
-PLAIN = 0.1
+#: Ways to weigh that a model chooses from: whether the occurrences of a term count by their logarithm,
+#: and the weight of a term that marks nothing, against one that does.  The first suits long texts
+#: with few marks, the second texts that tell by how often they have them.
+WEIGHTINGS = ((True, 0.1), (False, 0.3))
 #: Neighbours that vote, examples in a block of the index, blocks gone through first, and weight of
 #: the prior.
 NEAREST, BLOCK, FIRST, PRIOR = 15, 64, 4, 1.0
@@ -107,9 +112,10 @@ class Index(NamedTuple):
     ids: np.ndarray
     toxic: np.ndarray
     base: float
+    damped: bool = True
 
     def vector(self, which: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weight = (1 + np.log(often)) * self.factor[which]
+        weight = (1 + np.log(often) if self.damped else often) * self.factor[which]
         some = weight > 0
         which, weight = which[some], weight[some]
         return which, weight / math.sqrt(weight @ weight) if len(weight) else weight
@@ -190,6 +196,12 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
+def _loss(curve: tuple[float, float], x: np.ndarray, y: np.ndarray) -> float:
+    """Mean log loss of a logistic curve at (x, y)."""
+    z = np.clip(curve[0] * x + curve[1], -40, 40)
+    return float(np.mean(np.logaddexp(0, z) - y * z))
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
@@ -303,10 +315,10 @@ def _features(sample: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, which array<long>, often array<double>")
 
 
-def _indexed(examples: pa.Table, factor: np.ndarray, base: float) -> Index:
+def _indexed(examples: pa.Table, factor: np.ndarray, base: float, damped: bool = True) -> Index:
     """The index of examples (doc_id, toxic, which, often), like ones in the same blocks."""
     none = np.zeros(0, np.int64)
-    index = Index(factor, np.zeros(len(factor) + 1, np.int64), none, np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0), none, np.zeros(0), base)
+    index = Index(factor, np.zeros(len(factor) + 1, np.int64), none, np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0), none, np.zeros(0), base, damped)
     ids, toxic = (examples[c].to_numpy() for c in ("doc_id", "toxic"))
     vectors = [index.vector(np.asarray(w.values), np.asarray(o.values)) for w, o in zip(examples["which"], examples["often"], strict=True)]
     often = np.bincount(np.concatenate([none, *(w for w, _ in vectors)]), minlength=len(factor))
@@ -361,22 +373,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     terms = [*vocabulary.word, *(t + "*" for t in vocabulary.head)]
     frequency, n = _document_frequency(rows, vocabulary)
     # A term that more than half of all documents have says nothing and weighs nothing.
-    factor = np.maximum(0, np.log((n - frequency + 0.5) / (frequency + 0.5))) * np.array([1.0 if t in marked else PLAIN for t in terms])
-    index = _indexed(_features(examples, vocabulary).toArrow(), factor, base)
-    held = spark.sparkContext.broadcast((vocabulary, index))
+    rarity = np.maximum(0, np.log((n - frequency + 0.5) / (frequency + 0.5)))
+    marking = np.array([t in marked for t in terms])
+    features = _features(examples, vocabulary).toArrow()
+    indexes = [_indexed(features, rarity * np.where(marking, 1.0, plain), base, damped) for damped, plain in WEIGHTINGS]
+    held = spark.sparkContext.broadcast((vocabulary, indexes))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, index = held.value
-        place = {doc: i for i, doc in enumerate(index.ids.tolist())}
+        vocabulary, indexes = held.value
+        places = [{doc: i for i, doc in enumerate(index.ids.tolist())} for index in indexes]
         for batch in slices(batches):
-            votes = []
+            votes: list[list[float]] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                votes.append(_logit(index.vote(*index.nearest(*index.vector(*vocabulary.found(text)), without=place[doc]))))
-            yield pa.record_batch([batch.column("toxic"), pa.array(votes, pa.float64())], ["toxic", "vote"])
-
-    votes = examples.select("doc_id", "text", "toxic").mapInArrow(judge, "toxic int, vote double").orderBy("vote", "toxic").toArrow()
-    slope, shift = _platt(votes["vote"].to_numpy(), votes["toxic"].to_numpy().astype(float))
-    return Model(vocabulary, index, slope, shift)
+                found = vocabulary.found(text)
+                votes.append([_logit(x.vote(*x.nearest(*x.vector(*found), without=place[doc]))) for x, place in zip(indexes, places, strict=True)])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(votes, pa.list_(pa.float64()))], ["doc_id", "toxic", "votes"])
+
+    votes = examples.select("doc_id", "text", "toxic").mapInArrow(judge, "doc_id long, toxic int, votes array<double>").orderBy("doc_id").toArrow()
+    toxic = votes["toxic"].to_numpy().astype(float)
+    each = np.array(votes["votes"].to_pylist())
+    curves = [_platt(x, toxic) for x in each.T]
+    best = int(np.argmin([round(_loss(curve, x, toxic), 9) for curve, x in zip(curves, each.T, strict=True)]))
+    return Model(vocabulary, indexes[best], *curves[best])
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -85,6 +85,30 @@ def test_query_against_all_pairs_of_whole_texts(spark):
     assert all(r["predicted"] == 0 for r in held if not truth[r["doc_id"]])
 
 
+def test_found_among_those_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    got = toxicity.score(docs, labels).filter("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    toxic, clean = ([r["predicted"] for r in got if r["toxic"] == k] for k in (1, 0))
+    assert len(toxic) > 100 and np.mean(toxic) >= 0.9 and np.mean(clean) < 0.01 and sum(toxic) > 0.9 * sum(toxic + clean)
+
+
+def test_weighting_by_the_loss_of_the_sample(spark, monkeypatch):
+    # Every text has the mark; toxic ones have it often.
+    r = random.Random(9)
+    rows = [(i, [r.choice("abcdefgh") * r.randint(2, 5) for _ in range(30)] + ["slur"] * (8 if i % 4 == 0 else 1), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w, _ in rows] + [(1000 + i, f"other {i}") for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, toxic) for i, _, toxic in rows], "doc_id long, toxic int")
+    losses = {}
+    loss = toxicity._loss
+    monkeypatch.setattr(toxicity, "_loss", lambda curve, x, y: losses.setdefault(len(losses), loss(curve, x, y)))
+    model = toxicity.fit(docs, labels)
+    assert len(losses) == 2 and model.index.damped == toxicity.WEIGHTINGS[min(losses, key=losses.get)][0]
+    curve, x, y = (1.3, -0.2), np.array([-2.0, 0.5, 3.0]), np.array([0.0, 1.0, 1.0])
+    p = 1 / (1 + np.exp(-(1.3 * x - 0.2)))
+    assert abs(loss(curve, x, y) + np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))) < 1e-12
+
+
 def test_ties_repeats_and_long_texts(spark):
     rows = [(i, f"plain words number {i} here", i % 2) for i in range(40)] + [(100 + i, "vile slur vile slur", 1) for i in range(20)]
     docs = spark.createDataFrame([r[:2] for r in rows] + [(7, "plain words number 7 here"), (8, "vile slur " * 60_000), (9, "other"), (9, "another longer text")], "doc_id long, text string")
