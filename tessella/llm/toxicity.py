@@ -18,7 +18,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -49,9 +50,13 @@ _WORD = re.compile(r"\w+")
 LONG = 1_000_000
 
 
-def words(text: str | None) -> Counter[str]:
+def _split(text: str | None) -> Iterable[str]:
     low = (text or "").lower()
-    return Counter(_WORD.findall(low) if len(low) < LONG else (m[0] for m in _WORD.finditer(low)))
+    return _WORD.findall(low) if len(low) < LONG else (m[0] for m in _WORD.finditer(low))
+
+
+def words(text: str | None) -> Counter[str]:
+    return Counter(_split(text))
 
 
 def heads(word: str) -> list[str]:
@@ -60,39 +65,40 @@ def heads(word: str) -> list[str]:
 
 
 class Vocabulary(NamedTuple):
-    """The terms by number: whole words, and marking beginnings of words (without their star)."""
+    """The terms by number: whole words, and marking beginnings of words (without their star), which
+    are looked for in words that begin as one of them does."""
 
     word: dict[str, int]
     head: dict[str, int]
+    first: frozenset[str]
 
     @classmethod
     def of(cls, terms: list[str]) -> Vocabulary:
-        return cls({t: i for i, t in enumerate(terms) if t[-1:] != "*"}, {t[:-1]: i for i, t in enumerate(terms) if t[-1:] == "*"})
+        head = {t[:-1]: i for i, t in enumerate(terms) if t[-1:] == "*"}
+        return cls({t: i for i, t in enumerate(terms) if t[-1:] != "*"}, head, frozenset(h[: HEADS[0]] for h in head))
 
     def __len__(self) -> int:
         return len(self.word) + len(self.head)
 
+    def _occurrences(self, text: str | None) -> np.ndarray:
+        """The terms of a text, each as often as it occurs."""
+        parts, number, head, first, size = [], self.word.get, self.head.get, self.first, HEADS[0]
+        for own in batched(_split(text), 1 << 16):
+            parts.append(np.fromiter(map(number, own, repeat(-1)), np.int64, len(own)))
+            begun = [w for w in own if w[:size] in first] if first else []
+            if begun:
+                parts.append(np.array([head(w[:n], -1) for w in begun for n in HEADS if len(w) > n] or [-1], np.int64))
+        every = np.concatenate([np.zeros(0, np.int64), *parts])
+        return every[every >= 0]
+
     def found(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text, in order, and how often each occurs."""
-        out: dict[int, int] = {}
-        for word, n in words(text).items():
-            if (i := self.word.get(word)) is not None:
-                out[i] = n
-            if self.head and len(word) > HEADS[0]:
-                for size in HEADS:
-                    if len(word) > size and (i := self.head.get(word[:size])) is not None:
-                        out[i] = out.get(i, 0) + n
-        which = np.fromiter(out.keys(), np.int64, len(out))
-        order = np.argsort(which)
-        return which[order], np.fromiter(out.values(), np.float64, len(out))[order]
-
-    def present(self, text: str | None) -> list[int]:
-        """The terms of a text in any order."""
-        own = set(words(text))
-        out = [i for word in own if (i := self.word.get(word)) is not None]
-        if self.head:
-            out += {i for word in own if len(word) > HEADS[0] for size in HEADS if len(word) > size and (i := self.head.get(word[:size])) is not None}
-        return out
+        which, often = np.unique(self._occurrences(text), return_counts=True)
+        return which, often.astype(np.float64)
+
+    def present(self, text: str | None) -> np.ndarray:
+        """The terms of a text."""
+        return np.unique(self._occurrences(text))
 
 
 class Index(NamedTuple):
@@ -124,8 +130,8 @@ class Index(NamedTuple):
         """The k nearest examples and their cosines, nearest first, ties by doc_id; without one of
         the examples if its number is given.  Examples that share no term are no neighbours."""
         e, often = _ranges(self.entry[which], self.entry[which + 1])
-        q, block = np.repeat(weight, often), self.block[e]
-        bound = np.bincount(block, q * self.top[e], minlength=-(-len(self.ids) // BLOCK))
+        q, block = np.repeat(weight, often), self.block.take(e)
+        bound = np.bincount(block, q * self.top.take(e), minlength=-(-len(self.ids) // BLOCK))
         rows, cosines, done = np.zeros(0, np.int64), np.zeros(0), bound <= 0
         for more in range(2):
             now = ~done
@@ -133,9 +139,10 @@ class Index(NamedTuple):
                 now &= (bound >= cosines[-1] - 1e-9) if len(rows) == NEAREST else now
             elif len(bound) > FIRST:
                 now[np.argsort(-bound, kind="stable")[FIRST:]] = False
-            some = np.flatnonzero(now[block])
-            at, n = _ranges(self.start[e[some]], self.start[e[some] + 1])
-            cosine = np.round(np.bincount(self.row[at], np.repeat(q[some], n) * self.weight[at], minlength=len(self.ids)), 12)
+            some = np.flatnonzero(now.take(block))
+            own = e.take(some)
+            at, n = _ranges(self.start.take(own), self.start.take(own + 1))
+            cosine = np.round(np.bincount(self.row.take(at), np.repeat(q.take(some), n) * self.weight.take(at), minlength=len(self.ids)), 12)
             if without >= 0:
                 cosine[without] = 0
             if len(rows) == NEAREST:
@@ -341,7 +348,7 @@ def _indexed(examples: pa.Table, factor: np.ndarray, base: float, damped: bool =
     new = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
     top = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0)
     entry = np.searchsorted(term[new], np.arange(len(factor) + 1))
-    return index._replace(entry=entry, block=block[new].astype(np.int32), top=top, start=np.append(new, len(row)), row=row.astype(np.int32), weight=weight, ids=ids, toxic=toxic)
+    return index._replace(entry=entry, block=block[new], top=top, start=np.append(new, len(row)), row=row, weight=weight, ids=ids, toxic=toxic)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -364,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n1, n0 = (sample.filter(F.col("toxic") == k).count() for k in (1, 0))
     base = (n1 + 0.5) / (n1 + n0 + 1)
     if not n1 + n0:
-        return Model(Vocabulary({}, {}), _indexed(pa.table({"doc_id": pa.array([], pa.int64()), "toxic": pa.array([], pa.int32()), "which": pa.array([], pa.list_(pa.int64())), "often": pa.array([], pa.list_(pa.float64()))}), np.zeros(0), base), 1.0, 0.0)
+        return Model(Vocabulary.of([]), _indexed(pa.table({"doc_id": pa.array([], pa.int64()), "toxic": pa.array([], pa.int32()), "which": pa.array([], pa.list_(pa.int64())), "often": pa.array([], pa.list_(pa.float64()))}), np.zeros(0), base), 1.0, 0.0)
     marks = _marking(sample, n1, n0)
     examples = persist(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).repartition(8, "doc_id"), "examples")
     marked = set(marks)
