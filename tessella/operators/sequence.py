@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,10 +46,13 @@ def exact_duplicates(frames: DataFrame, key: str, at: str, digest: str) -> DataF
     return frames.join(first, [key, digest]).filter(F.col(at) > F.col("first")).select(key, "first", at)
 
 
-def mirror_flips(mask: DataFrame, by: list[str], key: str, width: int, height: int) -> DataFrame:
+def mirror_flips(mask: DataFrame, by: list[str], key: str, width: int | Column, height: int | Column) -> DataFrame:
     """For each frame chirality (overlap with the first frame, less that of its mirror image),
-    judged (it is not symmetric) and flipped.  Frames are centred on their mean, around the edges."""
-    mean = mask.groupBy(*by).agg((F.lit(height // 2) - F.avg("y").cast("int")).alias("dy"), (F.lit(width // 2) - F.avg("x").cast("int")).alias("dx"))
+    judged (it is not symmetric) and flipped.  Frames are centred on their mean, around the edges.
+
+    ``width`` and ``height`` may be columns that ``by`` has."""
+    middle = lambda size: F.floor(F.lit(size) / 2).cast("int")
+    mean = mask.groupBy(*by).agg((middle(height) - F.avg("y").cast("int")).alias("dy"), (middle(width) - F.avg("x").cast("int")).alias("dx"))
     px = mask.join(mean, by).select(*by, F.pmod(F.col("x") + F.col("dx"), F.lit(width)).alias("x"), F.pmod(F.col("y") + F.col("dy"), F.lit(height)).alias("y"))
     flip = px.withColumn("x", F.lit(width - 1) - F.col("x"))
     area = px.groupBy(*by).agg(F.count(F.lit(1)).alias("area"))
