@@ -93,6 +93,35 @@ def despill(px: DataFrame, key: tuple[int, int, int], edge: str = "edge") -> Dat
     return px.select(*[new[c].alias(c) if c in new else F.col(c) for c in px.columns])
 
 
+def defringed(px: DataFrame, by: list[str], key: tuple[int, int, int], width: int, height: int, strength: float = 1.0, reach: int = 2, edge_only: bool = True) -> DataFrame:
+    """``px`` with the key's spill taken off figures, times ``strength``, cut to whole numbers.
+
+    Only opaque pixels within ``reach`` of transparent ones or of the image's border change, or all of
+    them with ``edge_only`` off or a reach below 1.  Images with a changed pixel have their transparent
+    ones zeroed; others are as they were, as is all with a key that is high or low in every channel.
+    ``px`` has a row for every pixel; key columns are not null.
+    """
+    rows, banded = px, edge_only and reach >= 1
+    if banded:
+        band = stencil.edge_band(px.filter("a > 0"), by, width, height, reach).withColumn("_edge", F.lit(True))
+        rows = px.join(band, [*by, "x", "y"], "left")
+    amount = colors.spill(F.col("r"), F.col("g"), F.col("b"), key)
+    hit = (F.col("a") > 0) & (amount > 0) & (F.coalesce("_edge", F.lit(False)) if banded else F.lit(True))
+    rows = rows.withColumn("_hit", hit)
+    touched = rows.filter("_hit").select(*by).distinct().withColumn("_touched", F.lit(True))
+    rows = rows.join(touched, by, "left")
+    clear = F.coalesce("_touched", F.lit(False)) & (F.col("a") == 0)
+    new = {c: F.when(clear, 0).otherwise(colors.despilled(F.col(c), k, amount, F.col("_hit"), strength)) for c, k in zip("rgb", key, strict=True)}
+    return rows.select(*[new[c].cast(px.schema[c].dataType).alias(c) if c in new else F.col(c) for c in px.columns])
+
+
+def without_residue(px: DataFrame, key: tuple[int, int, int], tolerance: float = 90.0) -> DataFrame:
+    """``px`` with opaque pixels within tolerance of the key made transparent and black; :func:`residue`
+    tells their share beforehand."""
+    near = (F.col("a") > 0) & (colors.distance(F.col("r"), F.col("g"), F.col("b"), key) <= tolerance)
+    return px.select(*[F.when(near, 0).otherwise(F.col(c)).cast(px.schema[c].dataType).alias(c) if c in "rgba" else F.col(c) for c in px.columns])
+
+
 def transparent_residue(px: DataFrame, by: list[str]) -> DataFrame:
     """Transparent pixels that still have a colour."""
     dirty = (F.col("a") == 0) & ((F.col("r") != 0) | (F.col("g") != 0) | (F.col("b") != 0))

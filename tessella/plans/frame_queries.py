@@ -208,6 +208,26 @@ def despilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keying.despill(px, MAGENTA).groupBy("key").agg(*(F.sum(c).alias(c) for c in "rgb"))
 
 
+@query(
+    f"WITH {b.RGBA}, o AS (SELECT vec_id, x, y FROM px WHERE a > 0), i AS (SELECT p.vec_id, p.x, p.y FROM o p JOIN o q ON q.vec_id = p.vec_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY ALL HAVING count(*) = 9), "
+    "h AS (SELECT px.*, greatest(least(px.r, px.b) - px.g, 0) AS s, px.a > 0 AND least(px.r, px.b) > px.g AND i.x IS NULL AS hit FROM px LEFT JOIN i ON i.vec_id = px.vec_id AND i.x = px.x AND i.y = px.y), "
+    "t AS (SELECT *, bool_or(hit) OVER (PARTITION BY vec_id) AS touched FROM h) "
+    "SELECT vec_id, x, y, CASE WHEN touched AND a = 0 THEN 0 WHEN hit THEN greatest(r - trunc(s * 0.5)::INT, 0) ELSE r END AS r, CASE WHEN touched AND a = 0 THEN 0 ELSE g END AS g, CASE WHEN touched AND a = 0 THEN 0 WHEN hit THEN greatest(b - trunc(s * 0.5)::INT, 0) ELSE b END AS b, a FROM t"
+)
+def defringed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the spill taken off the edges of figures."""
+    return keying.defringed(b.rgba4(spark, sf_dir), ["vec_id"], MAGENTA, 4, 4, 0.5, 1).select("vec_id", "x", "y", *"rgba")
+
+
+@query(
+    f"WITH {b.RGBA}, n AS (SELECT *, a > 0 AND sqrt((r - 255) * (r - 255) + g * g + (b - 255) * (b - 255)) <= 200 AS near FROM px) "
+    "SELECT vec_id, count(*) FILTER (a > 0 AND NOT near) AS opaque, sum(CASE WHEN near THEN 0 ELSE r + g + b END)::BIGINT AS tone FROM n GROUP BY vec_id"
+)
+def residue_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = keying.without_residue(b.rgba4(spark, sf_dir), MAGENTA, 200.0)
+    return px.groupBy("vec_id").agg(F.count_if(F.col("a") > 0).alias("opaque"), F.sum(F.col("r") + F.col("g") + F.col("b")).alias("tone"))
+
+
 @query(f"WITH {b.RGBA} SELECT vec_id, count(*) FILTER (a = 0 AND (r <> 0 OR g <> 0 OR b <> 0)) AS residue FROM px GROUP BY vec_id")
 def transparent_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keying.transparent_residue(b.rgba4(spark, sf_dir), ["vec_id"])
