@@ -21,19 +21,21 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer, pre_tokenizers
 
 from tessella.llm import pretokens
 from tessella.llm.arrow_groups import runs, slices
+from tessella.llm.remembered import Remembered, strung
 from tessella.llm.store import exclusive_offsets, persist
 
-#: Encodings of text pieces that a worker remembers (about 150 bytes each); beyond it begins anew,
-#: which costs time only.
-REMEMBERED = 150_000
+#: Text pieces whose ids a worker remembers (41 bytes each), and the most ids that one of them has.
+REMEMBERED, WIDTH = 1 << 20, 8
+#: Pieces of text that go through the library together, joined by a character that no text should hold.
+TOGETHER, SEPARATOR = 512, "\U0010fffe"
 
 
 class Encoder:
-    """Ids of whole texts, each different pre-token going through the library once."""
+    """Ids of whole texts, each different pre-token going through the library once while it is remembered."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
@@ -42,32 +44,37 @@ class Encoder:
             raise ValueError("one special string at most is handled")
         self.special = special[0] if special else None
         self.seams = pretokens.Seams(path)
-        self.known: dict[int, bytes] = {}
-
-    def _encoded(self, pieces: list[str]) -> Iterator[bytes]:
-        """The ids of each piece as bytes; long ones are encoded between seams."""
-        parts = [self.seams.cut(x) for x in pieces]
-        found = iter(self.library.encode_batch_fast([x for some in parts for x in some], add_special_tokens=False))
-        for some in parts:
-            yield b"".join(np.array(next(found).ids, "<u4").tobytes() for _ in some)
+        # The same model, for pieces that are found already, with an id of its own between them.
+        self.joined = Tokenizer.from_file(path)
+        self.joined.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.joined.add_special_tokens([AddedToken(SEPARATOR, normalized=False)])
+        self.between = self.joined.token_to_id(SEPARATOR)
+        self.known = Remembered(REMEMBERED, WIDTH)
+
+    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some parts of pieces, one after the other, and how many each has."""
+        text = SEPARATOR.join(parts)
+        if text.count(SEPARATOR) == len(parts) - 1:
+            (found,) = self.joined.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            between = ids == self.between
+            return ids[~between], np.diff(np.flatnonzero(between), prepend=-1, append=len(ids)) - 1
+        each = [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has; long ones are encoded between seams."""
+        cut = [self.seams.cut(x) for x in pieces]
+        parts = [x for some in cut for x in some]
+        found = [self._together(parts[at : at + TOGETHER]) for at in range(0, len(parts), TOGETHER)]
+        first = np.cumsum([0, *map(len, cut[:-1])])
+        return np.concatenate([ids for ids, _ in found]), np.add.reduceat(np.concatenate([n for _, n in found]), first)
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the text, ids), in order; a very long text comes in several parts."""
         for low, high, pieces in pretokens.split(texts, self.special):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            known, keys = self.known, pieces.keys.tolist()
-            new = [i for i, key in enumerate(keys) if key not in known]
-            if new:
-                known.update(zip([keys[i] for i in new], self._encoded([pieces.text(i) for i in new]), strict=True))
-            pool = [known[key] for key in keys]
-            flat = np.frombuffer(b"".join(pool), "<u4")
-            size = np.array([len(b) for b in pool], np.int64) // 4
-            begin = np.cumsum(size) - size
-            each = size[pieces.codes]
-            upto = np.zeros(len(each) + 1, np.int64)
-            np.cumsum(each, out=upto[1:])
-            ids = flat[np.repeat(begin[pieces.codes] - upto[:-1], each) + np.arange(upto[-1])]
+            known = self.known.find(pieces.keys, lambda new, pieces=pieces: self._encoded([pieces.text(i) for i in new]))
+            ids, upto = strung(*known, pieces.codes)
             at = 0
             for i, end in enumerate(upto[pieces.ends].tolist(), low):
                 yield i, ids[at:end]

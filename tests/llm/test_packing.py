@@ -65,3 +65,29 @@ def test_two_replace_the_smallest():
     counts[[60, 30, 21, 19]] = 1
     rows, bins = packing.plan(counts)
     assert {r[0] for r in rows if r[3] == 0} == {60, 21, 19} and bins == 2
+
+
+def test_pieces_stay_known_beyond_many_others():
+    """200,000 different words, twice: most of them go through the library once."""
+    words = [f" {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(200_000)]
+    texts = ["".join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
+    encoder, encoded = packing.Encoder(PATH), []
+    through = encoder._encoded
+    encoder._encoded = lambda pieces: encoded.append(len(pieces)) or through(pieces)
+    first = [ids.tolist() for _, ids in encoder.encode(texts)]
+    before = sum(encoded)
+    assert before == len(words) and [ids.tolist() for _, ids in encoder.encode(texts)] == first
+    assert sum(encoded) - before < before / 4
+    assert first[7] == Tokenizer.from_file(PATH).encode(texts[7], add_special_tokens=False).ids
+
+
+def test_pieces_that_go_through_the_library_together(monkeypatch):
+    odd = ["a\U0010fffeb \U0010fffe\U0010fffe", "\U0010fffe", "\U0010ffff \U0010fffd", "<|endoftext|><|endoftext|>x", "z" * 20_000 + " é'", "it's it're", "", None, " " * 70 + "\n\n\n"]
+    texts = [f"{x or ''}{word} {x or ''}" for x in odd for word in ("", "plain", "words that Are new 12345")]
+    library = Tokenizer.from_file(PATH)
+    for together, places in ((512, 1 << 20), (3, 4), (1, 1)):
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        monkeypatch.setattr(packing, "REMEMBERED", places)
+        for at in (0, 1):
+            got = [ids.tolist() for _, ids in packing.Encoder(PATH).encode(texts[at:])]
+            assert got == [library.encode(x, add_special_tokens=False).ids for x in texts[at:]]
