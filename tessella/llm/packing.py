@@ -28,7 +28,7 @@ from tessella.llm.arrow_groups import runs, slices
 from tessella.llm.remembered import Remembered, strung
 from tessella.llm.store import exclusive_offsets, persist
 
-#: Text pieces whose ids a worker remembers (41 bytes each), and the most ids that one of them has.
+#: Text pieces whose ids a worker remembers (42 bytes each), and the most ids that one of them has.
 REMEMBERED, WIDTH = 1 << 20, 8
 #: Pieces of text that go through the library together, joined by a character that no text should hold.
 TOGETHER, SEPARATOR = 512, "\U0010fffe"

@@ -5,8 +5,9 @@ automaton over the vocabulary, and that stands next to the last token of the pre
 tokens may stand next to each other if merging their joined characters gives the two again.  The
 table of last tokens is filled from left to right, and the ids are read from it from right to left.
 
-A word is worked on by itself where no piece of the vocabulary reaches over its beginning, and once
-for each worker that remembers it.
+Texts are cut into words between any two characters that no piece of the vocabulary holds next to each
+other.  Words are numbered by their fingerprints, many texts at a time, and each is worked on once while
+the worker remembers it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import ahocorasick
 import numpy as np
@@ -24,14 +25,18 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm import pretokens
 from tessella.llm.arrow_groups import slices
+from tessella.llm.remembered import Remembered, strung
 
 #: Fixed value of the file format: the character that stands for a space.
 SPACE = "▁"
-#: Words and pairs that a worker remembers; beyond it begins anew, which costs time only.
-REMEMBERED = 400_000
-#: Longer words are not remembered.
-LONG_WORD = 64
+#: Words that a worker remembers (42 bytes each), and half as many pairs, which then begin anew: it costs time only.
+REMEMBERED = 1 << 20
+#: Words of more ids are not remembered.
+LONG_WORD = 8
+#: Code points that are worked on together.
+CHUNK = 250_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -60,22 +65,6 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
-class Words(dict):
-    """The ids of words, as little-endian 32-bit numbers; unknown words are encoded when asked for."""
-
-    def __init__(self, model: PieceModel) -> None:
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.model.word_ids(word), "<i4").tobytes()
-        if len(word) <= LONG_WORD:
-            if len(self) > REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class PieceModel:
     """A model of merges with byte fallback whose text is taken as it is, as far as such a file says so.
 
@@ -103,14 +92,17 @@ class PieceModel:
         # Characters of pieces are symbols, be they pieces or not.
         self.alphabet = {c for piece in self.number for c in piece}
         self.outside = re.compile("([^" + re.escape("".join(sorted(self.alphabet))) + "])", re.DOTALL)
+        # Of each token, whether it may stand after others.
+        self.met: dict[str, dict[str, bool]] = {token: {} for token in {*self.number, *self.alphabet}}
+        self.pairs = 0
         self.automaton = ahocorasick.Automaton()
-        for token in {*self.number, *self.alphabet}:
-            self.automaton.add_word(token, token)
+        for token, met in self.met.items():
+            self.automaton.add_word(token, (len(token), token, met))
         self.automaton.make_automaton()
-        crossed = any(SPACE == b != a for piece in self.number for a, b in pairwise(piece))
-        self.words = re.compile(".+" if crossed else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
-        self.met: dict[tuple[str, str], bool] = {}
-        self.known = Words(self)
+        self.within = np.zeros(1 << 20, bool)
+        for piece in self.number:
+            self.within[self._pairs(pretokens.code_points(piece))] = True
+        self.known = Remembered(REMEMBERED, LONG_WORD)
         byte_of = {i: bytes([b]) for b, i in enumerate(self.byte)}
         self.is_byte = np.isin(np.arange(len(names)), self.byte)
         unknown = trainer.get(44, b" \xe2\x81\x87 ")
@@ -119,23 +111,38 @@ class PieceModel:
         self.control = np.array([kind == 3 for kind in kinds])
         self.spaced = np.array([kind == 1 and name.startswith(SPACE) for kind, name in zip(kinds, names, strict=True)])
 
+    @staticmethod
+    def _pairs(points: np.ndarray) -> np.ndarray:
+        """A number below 2^20 for each two neighbours.  Others may have it too: then a word is not cut, which is as right."""
+        return ((points[:-1] * np.uint32(0x9E3779B1)) ^ (points[1:] * np.uint32(0x85EBCA77))) >> np.uint32(12)
+
     def merged(self, text: str) -> list[str]:
         """A short text's symbols after all merges: best rank first, then leftmost."""
-        symbols = list(text)
-        while True:
-            best = min(((self.rank[a + b], i) for i, (a, b) in enumerate(pairwise(symbols)) if a + b in self.rank), default=None)
-            if best is None:
-                return symbols
-            i = best[1]
+        symbols, rank, none = list(text), self.rank, len(self.rank)
+        ranks = [rank.get(a + b, none) for a, b in pairwise(symbols)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get(symbols[i - 1] + symbols[i], none)
+            if i < len(ranks):
+                ranks[i] = rank.get(symbols[i] + symbols[i + 1], none)
+        return symbols
 
     def meet(self, before: str, token: str) -> bool:
         """Whether the tokens may stand next to each other (before: empty at the beginning)."""
-        found = self.met.get((before, token))
+        found = self.met[token].get(before)
         if found is None:
-            if len(self.met) > REMEMBERED:
-                self.met.clear()
-            found = self.met[before, token] = self.merged(before + token) == ([before, token] if before else [token])
+            if self.pairs > REMEMBERED // 2:
+                for met in self.met.values():
+                    met.clear()
+                self.pairs = 0
+            self.pairs += 1
+            joined = before + token
+            # Two that make a piece would have been merged.
+            found = not (before and joined in self.rank) and self.merged(joined) == ([before, token] if before else [token])
+            self.met[token][before] = found
         return found
 
     def last_tokens(self, word: str) -> list[str]:
@@ -144,11 +151,11 @@ class PieceModel:
             # A character of no piece stands for itself, and the words around it for themselves.
             parts = self.outside.split(word)
             return ["", *(t for part in parts if part for t in ([part] if self.outside.fullmatch(part) else self.last_tokens(part)[1:]))]
-        last, met = [""] * (len(word) + 1), self.met
-        for upto, token in self.automaton.iter(word):
+        last = [""] * (len(word) + 1)
+        for upto, (size, token, met) in self.automaton.iter(word):
             if not last[upto + 1]:
-                before = last[upto + 1 - len(token)]
-                fits = met.get((before, token))
+                before = last[upto + 1 - size]
+                fits = met.get(before)
                 if fits or (fits is None and self.meet(before, token)):
                     last[upto + 1] = token
         if "" in last[1:]:
@@ -164,10 +171,72 @@ class PieceModel:
             out.extend([number] if number is not None else [self.byte[b] for b in reversed(token.encode())])
         return out[::-1]
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has."""
+        found = [self.word_ids(word) for word in words]
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _cut(self, text: str) -> Iterator[str]:
+        """A text in parts of about CHUNK code points, cut only between words; a longer word is a part with what is before it."""
+        at = 0
+        while len(text) - at > 2 * CHUNK:
+            stop, look = at + CHUNK, 1 << 10
+            while True:
+                cuts = np.flatnonzero(~self.within[self._pairs(pretokens.code_points(text[stop - 1 : stop + look]))])
+                if len(cuts) or stop + look >= len(text):
+                    break
+                look *= 4
+            stop = stop + int(cuts[0]) if len(cuts) else len(text)
+            yield text[at:stop]
+            at = stop
+        if at < len(text):
+            yield text[at:]
+
+    def _chunk(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of each of some parts of texts."""
+        joined = "".join(parts)
+        points, upto = pretokens.code_points(joined), np.cumsum([len(x) for x in parts])
+        start = np.ones(len(points), bool)
+        start[1:] = ~self.within[self._pairs(points)]
+        start[upto[:-1]] = True
+        begin = np.flatnonzero(start)
+        stop = np.append(begin[1:], len(points))
+        codes, keys, where = pretokens.numbered(points, begin, stop)
+        known = self.known.find(keys, lambda new: self._encoded([joined[begin[i] : stop[i]] for i in where[new]]))
+        ids, before = strung(*known, codes)
+        at = 0
+        for end in before[np.searchsorted(begin, upto)].tolist():
+            yield ids[at:end].tobytes()
+            at = end
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers; null and empty texts have none."""
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, self.words.findall(self.prefix + t.replace(" ", SPACE)))) if t else b"" for t in texts]
+        rows: list[list[bytes]] = [[] for _ in texts]
+        parts: list[str] = []
+        owner: list[int] = []
+        size = 0
+
+        def work() -> None:
+            nonlocal size
+            for i, ids in zip(owner, self._chunk(parts) if parts else (), strict=True):
+                rows[i].append(ids)
+            parts.clear()
+            owner.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            for part in self._cut(self.prefix + text.replace(" ", SPACE)) if text else ():
+                if size + len(part) > CHUNK:
+                    work()
+                if len(part) > 4 * CHUNK:
+                    # Its code points need no arrays.
+                    rows[i].append(np.array(self.word_ids(part), "<i4").tobytes())
+                    continue
+                parts.append(part)
+                owner.append(i)
+                size += len(part)
+        work()
+        return [b"".join(row) for row in rows]
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The text of each row of ids.  Bytes that are no UTF-8 become U+FFFD, each by itself."""

@@ -185,6 +185,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def numbered(points: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each piece ``points[begin:stop]``, fingerprint of each number, first place of each)."""
+    up, down = _powers(max(4 * CHUNK, 1 << int(len(points)).bit_length()))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(_mixed(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])
+        keys = (total[stop] - total[begin]) * down[begin]
+        keys = _mixed(keys + (stop - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    codes, distinct = pd.factorize(keys)
+    where = np.empty(len(distinct), np.int64)
+    where[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, np.asarray(distinct), where
+
+
 def _chunk(parts: list[str], owner: list[int], special: str | None) -> tuple[int, int, Pieces]:
     low, high = owner[0], owner[-1] + 1
     joined = "".join(parts)
@@ -195,22 +213,14 @@ def _chunk(parts: list[str], owner: list[int], special: str | None) -> tuple[int
     if not len(first):
         nil = np.zeros(0, np.int64)
         return low, high, Pieces(nil, np.zeros(high - low, np.int64), nil.astype(np.uint64), "", nil, nil)
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    points = code_points(joined)
     start = _starts(points, first)
     if special:
         for k in [k for k, x in enumerate(parts) if x == special]:
             start[upto[k] - sizes[k] + 1 : upto[k]] = False
     begin = np.flatnonzero(start)
     stop = np.append(begin[1:], len(points))
-    up, down = _powers(max(4 * CHUNK, 1 << int(len(points)).bit_length()))
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(_mixed(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])
-        keys = (total[stop] - total[begin]) * down[begin]
-        keys = _mixed(keys + (stop - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    codes, distinct = pd.factorize(keys)
-    where = np.empty(len(distinct), np.int64)
-    where[codes[::-1]] = np.arange(len(codes))[::-1]
+    codes, keys, where = numbered(points, begin, stop)
     ends = np.zeros(high - low, np.int64)
     np.maximum.at(ends, np.array(owner) - low, np.searchsorted(begin, upto))
-    return low, high, Pieces(codes, np.maximum.accumulate(ends), np.asarray(distinct), joined, begin[where], stop[where])
+    return low, high, Pieces(codes, np.maximum.accumulate(ends), keys, joined, begin[where], stop[where])

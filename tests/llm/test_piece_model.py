@@ -75,6 +75,28 @@ def test_digests_of_rows(spark):
     assert pm.round_trip_digests(docs.limit(0), PATH).count() == 0
 
 
+def test_words_end_where_no_piece_goes_on():
+    """50 words with 50 marks after them: each word and each mark is worked on once."""
+    model, worked_on = pm.PieceModel(PATH), []
+    one = model.word_ids
+    model.word_ids = lambda word: worked_on.append(word) or one(word)
+    marks = [chr(0x4DC0 + i) for i in range(50)]
+    rows = [" ".join(f"{word}{mark}" for word in (f"{a}l{b}m" for a in "abcdefghij" for b in "rstuv")) for mark in marks]
+    assert [np.frombuffer(b, "<i4").tolist() for b in model.encode(rows)] == LIBRARY.encode(rows)
+    assert len(worked_on) <= 150
+
+
+def test_parts_of_long_texts(monkeypatch):
+    monkeypatch.setattr(pm, "CHUNK", 40)
+    r = random.Random(8)
+    rows = ["word " * 300, " " * 500, "".join(r.choices("abcdefgh", k=700)), "".join(r.choices("abcde \n語😀.", k=2000)), "", None, "x" * 70 + "\n" + "y" * 900 + " z", *texts(200, 9)]
+    for uncut in (slice(0), slice(None, None, 3), slice(None)):
+        model = pm.PieceModel(PATH)
+        # Other pairs may have the numbers of pairs within pieces: words are not cut there.
+        model.within[uncut] = True
+        assert [np.frombuffer(b, "<i4").tolist() for b in model.encode(rows)] == [LIBRARY.encode(t or "") for t in rows]
+
+
 def pm_row(*values):
     from pyspark.sql import Row
 
